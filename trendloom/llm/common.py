@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,15 +31,19 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def labelled_sample(labels: DataFrame, target: str, train: Column, bound: int, seed: int) -> DataFrame:
-    """(doc_id, y): one row for each labelled document of the training folds, about bound rows at most.
+def labelled_sample(labels: DataFrame, target: str, train: Column, bound: int, seed: int) -> tuple[DataFrame, float]:
+    """(doc_id, y) of labelled documents of the training folds, and the log odds to add to what is learnt from them.
 
-    Ids with several labels get the largest. The sample is the ids whose seeded hash falls
-    under bound / count, so it doesn't depend on partitioning, and it is small enough to
-    broadcast: bound is a parameter of the caller.
+    y is 1 if any label of the id isn't 0. Of either class, the ids are drawn whose seeded
+    hash falls under bound / (2 * its count), so about ``bound`` rows come out at most, which
+    may be broadcast, and they don't depend on partitioning. As the classes are drawn
+    apart, the odds of the sample differ from those of all labels; the second value is the
+    logarithm of their ratio.
     """
     rows = labels.where(F.col(target).isNotNull() & F.col("doc_id").isNotNull() & train)
-    rows = rows.groupBy("doc_id").agg(F.max(target).cast("int").alias("y"))
-    share = min(1.0, bound / max(1, rows.count()))
-    keep = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000)
-    return rows.where(keep)
+    rows = rows.groupBy("doc_id").agg(F.max((F.col(target) != 0).cast("int")).alias("y"))
+    n = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
+    share = {y: min(1.0, bound / 2 / max(1, n.get(y, 0))) for y in (0, 1)}
+    least = F.when(F.col("y") == 1, int(share[1] * 1_000_000)).otherwise(int(share[0] * 1_000_000))
+    drawn = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) < least)
+    return drawn, math.log(share[0] / share[1])

@@ -160,11 +160,13 @@ class RuleEnsemble:
 
 def fit(docs: DataFrame, labels: DataFrame, keep: Column, sample: int = SAMPLE_DOCS, seed: int = 41) -> RuleEnsemble:
     """Learns labels.quality of about ``sample`` labelled documents where ``keep`` holds; only their statistics reach the driver."""
-    chosen = labelled_sample(labels.select("doc_id", "quality"), "quality", keep, sample, seed)
+    chosen, odds = labelled_sample(labels.select("doc_id", "quality"), "quality", keep, sample, seed)
     stats = statistics()
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "y", *[c.alias(k) for k, c in stats.items()])
     got = rows.toPandas().sort_values(["doc_id", "y", *stats], kind="stable")
-    return RuleEnsemble.learn(list(stats), got[list(stats)].to_numpy(dtype=float), got["y"].to_numpy(dtype=float))
+    model = RuleEnsemble.learn(list(stats), got[list(stats)].to_numpy(dtype=float), got["y"].to_numpy(dtype=float))
+    model.intercept += odds if len(model.weights) else 0.0
+    return model
 
 
 def quality(docs: DataFrame, labels: DataFrame, parts: int = 3, held: int = 1) -> DataFrame:

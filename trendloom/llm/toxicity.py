@@ -16,7 +16,7 @@ from trendloom.llm.common import bounded_batches, fold, fresh, labelled_sample
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: log2 of the number of weights; labelled documents that a model learns from at most, about.
-BITS, SAMPLE_DOCS = 20, 8192
+BITS, SAMPLE_DOCS = 20, 16_384
 THRESHOLD = 0.3
 
 
@@ -37,7 +37,7 @@ def features(text: str | None, bits: int = BITS) -> np.ndarray:
 class Ftrl:
     """Per-coordinate rates and L1: a weight stays zero until its gradients outweigh l1."""
 
-    def __init__(self, size: int, alpha: float = 0.1, beta: float = 1.0, l1: float = 1.5, l2: float = 1.0):
+    def __init__(self, size: int, alpha: float = 1.0, beta: float = 1.0, l1: float = 3.0, l2: float = 1.0):
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
         self.z, self.n = np.zeros(size), np.zeros(size)
         self.bias = 0.0
@@ -59,7 +59,7 @@ class Ftrl:
         self.bias -= self.alpha / (self.beta + np.sqrt(self._bias_n)) * g
 
 
-def train(examples: list[tuple[np.ndarray, float]], bits: int = BITS, epochs: int = 4) -> tuple[np.ndarray, np.ndarray, float]:
+def train(examples: list[tuple[np.ndarray, float]], bits: int = BITS, epochs: int = 8) -> tuple[np.ndarray, np.ndarray, float]:
     """Slots and values of the weights that aren't zero, and the bias, after ``epochs`` passes in the given order."""
     model = Ftrl(1 << bits)
     for _ in range(epochs):
@@ -77,7 +77,7 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Column, sample: int = SAMPLE_D
     weights that L1 left, at most 2**bits.
     """
     bounded_batches(docs.sparkSession)
-    chosen = labelled_sample(labels.select("doc_id", "toxic"), "toxic", keep, sample, seed)
+    chosen, odds = labelled_sample(labels.select("doc_id", "toxic"), "toxic", keep, sample, seed)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("y").cast("double").alias("y"))
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,7 +90,7 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Column, sample: int = SAMPLE_D
         seen = []
         for b in batches:
             at = b.column(1)
-            seen += [(i, at[k].values.to_numpy(zero_copy_only=False).astype(np.int64), y) for k, (i, y) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True))]
+            seen += [(i, at[k].values.to_numpy(zero_copy_only=False), y) for k, (i, y) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True))]
         seen.sort(key=lambda x: (zlib.crc32(str(x[0]).encode()), x[0], x[1].tobytes()))
         at, w, bias = train([x[1:] for x in seen], bits)
         yield pa.RecordBatch.from_pydict({"slot": pa.array([-1, *at.tolist()], pa.int64()), "w": pa.array([bias, *w.tolist()], pa.float64())})
@@ -98,7 +98,7 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Column, sample: int = SAMPLE_D
     got = rows.mapInArrow(slots, "doc_id long, at array<int>, y double").repartition(1).mapInArrow(learn, "slot long, w double").toPandas()
     bias = float(got.loc[got.slot < 0, "w"].sum())
     got = got[got.slot >= 0]
-    return got.slot.to_numpy(), got.w.to_numpy(), bias
+    return got.slot.to_numpy(), got.w.to_numpy(), bias + (odds if len(got) else 0.0)
 
 
 def score_column(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], bits: int = BITS, text: str = "text") -> Column:

@@ -22,8 +22,10 @@ from trendloom.plans.scratch import Scratch
 CORNERS, SCALES = 24, (1.0, 0.75, 0.5)
 #: Pixels around a corner that its tests look at; those that have to lie inside the image, whose edges are repeated beyond; number of tests.
 PATCH, MARGIN, TESTS = 22, 12, 256
+#: Orientations are rounded to multiples of this, so that small noise leaves the tests' places alone.
+TURN = 2 * np.pi / 12
 #: Hamming tables: bits of a descriptor that a key is made of, tables.
-KEY_BITS, TABLES = 32, 8
+KEY_BITS, TABLES = 48, 5
 #: Differing bits of matching descriptors at most; matches that one similarity has to explain; pixels they may be off.
 MATCH_BITS, INLIERS, OFF = 55, 6, 2.0
 #: Images of one bucket that are compared with those of another chunk in one go.
@@ -138,11 +140,11 @@ def describe(x: np.ndarray | None) -> bytes:
         found = sorted(corners(level), key=lambda t: (-t[0], t[1], t[2]))[:CORNERS]
         if not found:
             continue
-        smooth = box(level, 3)
+        smooth = box(level, 4)
         ys, xs = np.array([f[1] for f in found]), np.array([f[2] for f in found])
         patch = smooth[np.clip(ys[:, None] + _DY, 0, level.shape[0] - 1), np.clip(xs[:, None] + _DX, 0, level.shape[1] - 1)]
         patch = patch - patch.mean(axis=1, keepdims=True)
-        turn = np.arctan2(patch @ _DY, patch @ _DX)
+        turn = np.rint(np.arctan2(patch @ _DY, patch @ _DX) / TURN) * TURN
         cos, sin = np.cos(turn)[:, None, None], np.sin(turn)[:, None, None]
         dy, dx = _PAIRS[None, :, :, 0], _PAIRS[None, :, :, 1]
         py = np.rint(ys[:, None, None] + sin * dx + cos * dy).astype(int)
@@ -161,8 +163,9 @@ def keys(signature: bytes) -> list[int]:
     """Bucket keys of a signature: for each corner and table, the table's bits; distinct."""
     if not signature:
         return []
-    bits = np.frombuffer(signature, dtype=_CORNER)["bits"].copy().view("<u4").astype(np.int64)
-    return np.unique((np.arange(TABLES) << KEY_BITS) + bits[:, :TABLES]).tolist()
+    bits = np.unpackbits(np.frombuffer(signature, dtype=_CORNER)["bits"].copy().view(np.uint8).reshape(-1, TESTS // 8), axis=1)
+    parts = bits[:, : TABLES * KEY_BITS].reshape(-1, TABLES, KEY_BITS).astype(np.int64) @ (1 << np.arange(KEY_BITS))
+    return np.unique((np.arange(TABLES) << KEY_BITS) + parts).tolist()
 
 
 def consensus(a: np.ndarray, b: np.ndarray) -> int:
@@ -205,6 +208,44 @@ def link_images(signatures: pa.ChunkedArray, starts: np.ndarray) -> np.ndarray:
     return label
 
 
+def verify(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose images one similarity transform links."""
+    a = signatures.select(F.col("id").alias("u"), F.col("signature").alias("a"))
+    b = signatures.select(F.col("id").alias("v"), F.col("signature").alias("b"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            sigs = [[np.frombuffer(s, dtype=_CORNER) for s in t.column(k).to_pylist()] for k in (2, 3)]
+            yield t.select(["u", "v"]).filter(pa.array([consensus(x, y) >= INLIERS for x, y in zip(*sigs, strict=True)], pa.bool_()))
+
+    return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+
+
+def image_links(rows: DataFrame, signatures: DataFrame, scratch: Scratch, rounds: int = 2) -> DataFrame:
+    """(u, v) links that connect what all links between images with a common bucket connect, from rows (id, bucket).
+
+    First, ids alone: in each round an image is held against one smallest id of a bucket of its
+    own, that which it shares most buckets with, outside its class so far. Copies of one
+    image meet in nearly all their buckets, so that joins them by a pair each. Then, exactly:
+    buckets that still hold several classes get their signatures, and all pairs of different
+    classes in them are held against each other.
+    """
+    counted = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
+    rows = scratch.save(rows.join(counted, "bucket").select("bucket", "id"), "shared")
+    links = scratch.save(rows.select(F.col("id").alias("u"), F.col("id").alias("v")).limit(0), "none")
+    classed = rows.withColumn("component", F.col("id"))
+    for _ in range(rounds):
+        lead = classed.groupBy("bucket").agg(F.min(F.struct("id", "component")).alias("lead"))
+        met = classed.join(lead, "bucket").where("component <> lead.component").groupBy(F.col("lead.id").alias("u"), F.col("id").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+        best = met.groupBy("v").agg(F.max(F.struct("n", (-F.col("u")).alias("m"))).alias("b")).select((-F.col("b.m")).alias("u"), "v")
+        links = scratch.save(links.union(verify(best, signatures)), "verified")
+        parts = connected_components(links, scratch).select(F.col("node").alias("id"), "component")
+        classed = scratch.save(rows.join(parts, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component")), "classed")
+    mixed = classed.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("bucket")
+    left = classed.join(mixed, "bucket").join(signatures, "id").select("bucket", "id", "signature")
+    return links.union(bucket_links(left, "signature", pa.binary(), CHUNK, link_images))
+
+
 def signature_column(image: Column, docs: DataFrame) -> Column:
     """struct(content string, signature binary, keys array<long>) of encoded images."""
     bounded_batches(docs.sparkSession)
@@ -237,8 +278,8 @@ def copies(images: DataFrame, image: Column | None = None) -> DataFrame:
     marked = scratch.save(images.select(F.col("image_id").cast("long").alias("image_id"), made.alias("m")).select("image_id", "m.*"), "signatures")
     groups = marked.where("content is not null").groupBy("content").agg(F.min("image_id").alias("id"), F.max("signature").alias("signature"), F.max("keys").alias("keys"))
     groups = scratch.save(groups, "distinct")
-    rows = groups.where("id is not null").select("id", "signature", F.explode("keys").alias("bucket"))
-    links = scratch.save(bucket_links(rows, "signature", pa.binary(), CHUNK, link_images), "links")
+    rows = groups.where("id is not null").select("id", F.explode("keys").alias("bucket"))
+    links = scratch.save(image_links(rows, groups.where("id is not null").select("id", "signature"), scratch), "links")
     parts = connected_components(links, scratch).select(F.col("node").alias("id"), "component")
     named = groups.select("content", "id").join(parts, "id", "left").select("content", F.coalesce("component", "id").alias("class_id"), F.col("component").isNotNull().alias("linked"))
     out = marked.join(named, "content", "left")

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from trendloom.plans import queries_relational, queries_text, queries_topics, queries_trends, queries_vectors
+from trendloom.plans.registry import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES", "queries_relational", "queries_text", "queries_topics", "queries_trends", "queries_vectors"]

@@ -62,10 +62,15 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = N
     schema all columns are strings.
     """
     reader = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"')
-    reader = reader.option("encoding", file_encoding(spark, path)).option("mode", "DROPMALFORMED" if lenient else "FAILFAST")
+    encoding = file_encoding(spark, path)
+    reader = reader.option("encoding", "UTF-8" if encoding == "UTF-8" else "ISO-8859-1").option("mode", "DROPMALFORMED" if lenient else "FAILFAST")
     df = (reader.schema(schema) if schema is not None else reader).csv(path)
     first = df.columns[0]
-    df = df.withColumnRenamed(first, first.lstrip("﻿"))
+    df = df.withColumnRenamed(first, first.lstrip("\ufeff"))
+    if encoding == "windows-1252":  # Spark reads no such files; where Latin-1 has control characters, these have others
+        codes = [c for c in range(128, 160) if bytes([c]).decode("windows-1252", "ignore")]
+        low, high = "".join(map(chr, codes)), bytes(codes).decode("windows-1252")
+        df = df.withColumns({c: F.translate(c, low, high) for c, t in df.dtypes if t == "string"})
     return df.withColumn("doc_id", F.col("doc_id").cast("string")) if "doc_id" in df.columns else df
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,7 +16,7 @@ WEIGHTS = (5, 2, 1)
 #: Words of the mix over words of the input; times a source may be used at most.
 SHARE, CAP = 1.5, 2.0
 #: Words that are left to the dynamic programme; hash buckets that ranks are counted in.
-EXACT, BUCKETS = 4096, 1024
+EXACT, BUCKETS = 65_536, 1024
 
 
 def size_of(text: str = "text") -> Column:
@@ -96,7 +97,8 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
                 take[i] += 1
                 left -= int(lengths[i])
                 changed = True
-    small = [i for i in range(len(lengths)) if 0 < lengths[i] <= min(left, EXACT) and take[i] < counts[i]]
+    mixed_up = sorted(range(len(lengths)), key=lambda i: xxhash.xxh64_intdigest(str(int(lengths[i])), 5))  # else short ones would come first
+    small = [i for i in mixed_up if 0 < lengths[i] <= min(left, EXACT) and take[i] < counts[i]]
     if small and left <= EXACT:
         extra = subset_sum([int(lengths[i]) for i in small], [int(counts[i] - take[i]) for i in small], left)
         take[small] += np.array(extra, dtype=np.int64)

@@ -76,8 +76,9 @@ def subset_sum(lengths: list[int], counts: list[int], budget: int) -> list[int]:
 def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many documents of each length fill the budget.
 
-    Each length gives its share, rounded down; then single documents in order of the fraction
-    cut off, while they fit; the last EXACT words or less are filled by subset_sum().
+    Beyond EXACT words, each length gives its share, rounded down, and then single documents in
+    order of the fraction cut off, while they fit; the last EXACT words or less are filled by
+    subset_sum().
     """
     lengths, counts = lengths.astype(np.int64), counts.astype(np.int64)
     total = int((lengths * counts).sum())
@@ -85,7 +86,7 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
     if not total or not budget:
         return np.zeros(len(lengths), dtype=np.int64)
     exact = [int(c) * budget for c in counts]
-    take = np.array([e // total for e in exact], dtype=np.int64)
+    take = np.array([e // total if budget > EXACT else 0 for e in exact], dtype=np.int64)
     take[lengths == 0] = 0
     left = budget - int((take * lengths).sum())
     order = sorted(range(len(lengths)), key=lambda i: (-(exact[i] % total), int(lengths[i])))

@@ -128,8 +128,22 @@ def test_npy_csv_and_artifacts(spark, tmp_path):
     assert made.count() == tables.cached(spark, str(tmp_path / "cache"), "v1", lambda: spark.range(9)).count() == 2
 
 
-def test_plans(spark, sf):
+def test_top_k_join_agrees_with_matrix(spark, sf, monkeypatch):
     v = doc_topics_vec(spark, sf)
-    ranked = C.top_k(v, C.centroids(v.where("topic <> -1"), ["topic"]).select("topic", F.col("centroid").alias("embedding")), 2)
+    labels = C.centroids(v.where("topic <> -1"), ["topic"]).select("topic", F.col("centroid").alias("embedding"))
+    fast = sorted((r["doc_id"], r["rank"], r["topic"], round(r["sim"], 7)) for r in C.top_k(v, labels, 2).collect())
+    monkeypatch.setattr(C, "MATRIX_CELLS", 0)
+    ranked = C.top_k(v, labels, 2)
+    assert sorted((r["doc_id"], r["rank"], r["topic"], round(r["sim"], 7)) for r in ranked.collect()) == fast
     plan = ranked._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Python" not in plan
+    assert C.top_k(v, labels, 0).count() == 0
+
+
+def test_pushdown_reaches_the_scan(spark, sf):
+    from trendloom.plans.catalog import QUERIES
+
+    plan = QUERIES["j8_semi"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(o_totalprice,200000.0)" in plan and "o_orderpriority" not in plan
+    plan = QUERIES["a1_topic_sizes"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "l_extendedprice" not in plan and "BroadcastHashJoin" in plan

@@ -45,6 +45,20 @@ def nfkc(t: Column | str) -> Column:
     return compose(_c(t))
 
 
+def repair_encoding(t: Column | str) -> Column:
+    """Text decoded by the wrong encoding put right, if the optional ftfy library is installed; else t as it is."""
+    try:
+        import ftfy
+    except ImportError:
+        return _c(t)
+
+    @F.pandas_udf("string")
+    def fix(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else ftfy.fix_text(x))
+
+    return fix(_c(t))
+
+
 def unify_dashes(t: Column | str) -> Column:
     """P5: six dashes become '-', tabs and no-break spaces blanks."""
     return F.translate(_c(t), DASHES + "\t ", "-" * len(DASHES) + "  ")
@@ -52,7 +66,7 @@ def unify_dashes(t: Column | str) -> Column:
 
 def clean(t: Column | str, compose: bool = True) -> Column:
     """P3 to P5 in order."""
-    return repair_breaks(unify_dashes(nfkc(_c(t)) if compose else _c(t)))
+    return repair_breaks(unify_dashes(nfkc(repair_encoding(t)) if compose else _c(t)))
 
 
 def foreign_letters(t: Column | str, letters: str = TURKISH_LETTERS) -> Column:

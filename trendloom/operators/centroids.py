@@ -77,12 +77,41 @@ def top_two(docs: DataFrame, cents: DataFrame, keep: list[str], vector: str = "e
 
 
 def top_k(docs: DataFrame, labels: DataFrame, k: int, doc: str = "doc_id", vector: str = "embedding") -> DataFrame:
-    """(doc, label columns, sim, rank) of the k nearest rows of labels (label, embedding) to each document."""
-    right = F.broadcast(labels.withColumn("_b", unit("embedding")).drop("embedding")) if labels.count() * 64 <= MATRIX_CELLS else labels.withColumn("_b", unit("embedding")).drop("embedding")
-    pairs = docs.select(doc, unit(vector).alias("_a")).join(right).withColumn("sim", F.round(dot("_a", "_b"), 9)).drop("_a", "_b")
+    """(doc, label columns, sim, rank) of the k nearest rows of labels (..., embedding) to each document, ties by the label columns.
+
+    As a product with the labels' matrix where it is small enough to broadcast, which keeps k
+    rows of a document and no more; else as a join whose window keeps k rows of a partition.
+    """
     names = [c for c in labels.columns if c != "embedding"]
-    w = Window.partitionBy(doc).orderBy(F.desc("sim"), *names)
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    size = labels.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d")).first()
+    if k < 1 or not size["n"] or size["n"] * size["d"] > MATRIX_CELLS:
+        right = labels.withColumn("_b", unit("embedding")).drop("embedding")
+        pairs = docs.select(doc, unit(vector).alias("_a")).join(right).withColumn("sim", F.round(dot("_a", "_b"), 9)).drop("_a", "_b")
+        w = Window.partitionBy(doc).orderBy(F.desc("sim"), *names)
+        return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    table = labels.orderBy(*names).toArrow()
+    matrix = np.array(table["embedding"].to_pylist(), dtype=float)
+    matrix = matrix / np.maximum(np.sqrt((matrix * matrix).sum(1, keepdims=True)), EPS)
+    shared = docs.sparkSession.sparkContext.broadcast((table.select(names).combine_chunks(), matrix))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, m = shared.value
+        n = min(k, len(m))
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = np.array(b.column(1).to_pylist(), dtype=float).reshape(b.num_rows, -1)
+            x = x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), EPS)
+            s = np.round(x @ m.T, 9)
+            best = np.argsort(-s, axis=1, kind="stable")[:, :n]
+            found = rows.take(pa.array(best.ravel())).combine_chunks()
+            cols = [b.column(0).take(pa.array(np.repeat(np.arange(len(s)), n))), *[found[c].combine_chunks() for c in names]]
+            cols += [pa.array(np.take_along_axis(s, best, axis=1).ravel()), pa.array(np.tile(np.arange(1, n + 1, dtype=np.int32), len(s)))]
+            yield pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in cols], [doc, *names, "sim", "rank"])
+
+    fields = [docs.schema[doc], *[labels.schema[c] for c in names]]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+    return docs.where(F.col(vector).isNotNull()).select(doc, vector).mapInArrow(score, f"{schema}, sim double, rank int")
 
 
 def quantile(df: DataFrame, column: str, q: float) -> float | None:

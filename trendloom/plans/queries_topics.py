@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from trendloom.functions.vectors import unit
 from trendloom.operators.clusters import DensityClusters, augment, fit_topics, split_topics, stability
 from trendloom.operators.concepts import concept_entropy, promotable, purity, retrieve, symbolic_topics
+from trendloom.operators.keys import topic_cards
 from trendloom.plans.registry import query, rounded
-from trendloom.plans.views import V3_SQL, centroid_sql, corpus, doc_topics_vec, table
+from trendloom.plans.views import V1_SQL, V3_SQL, centroid_sql, corpus, dense_id, doc_topics_li, doc_topics_vec, table
 from trendloom.providers.choosers import FirstCandidate, assign_labels, label_ids, llm_gate, refine_taxonomy
 from trendloom.providers.embedders import embed
 
@@ -147,6 +148,18 @@ def m20(spark, d):
     return label_ids(c)
 
 
+@query("m16_topic_cards", f"""
+    WITH {V1_SQL}, s AS (SELECT topic, count(*) AS size, min(year) AS first_year, max(year) AS last_year FROM v1 WHERE topic <> -1 GROUP BY 1),
+    f AS (SELECT topic, count(*) FILTER (flag = 1) AS flagged FROM v1 WHERE topic <> -1 GROUP BY 1), l AS (SELECT DISTINCT t AS topic, p_type AS label FROM part JOIN pt USING (p_partkey))
+    SELECT topic, label, size, first_year, last_year, flagged FROM l LEFT JOIN s USING (topic) LEFT JOIN f USING (topic)
+""")
+def m16(spark, d):
+    docs = doc_topics_li(spark, d).where("topic <> -1")
+    labels = dense_id(table(spark, d, "part").select("p_type"), "p_type", "topic").groupBy("topic").agg(F.min("p_type").alias("label"))
+    sizes = docs.groupBy("topic").agg(F.count(F.lit(1)).alias("size"), F.min("year").alias("first_year"), F.max("year").alias("last_year"))
+    return topic_cards(labels, sizes, docs.groupBy("topic").agg(F.count_if(F.col("flag") == 1).alias("flagged")))
+
+
 @query("m2_label_vectors")
 def m2(spark, d):
     """Labels of parts, encoded."""

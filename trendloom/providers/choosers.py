@@ -188,6 +188,17 @@ def topic_object(x: object) -> dict | None:
     return {"label": str(x.get("label") or x.get("topic") or x.get("name")).strip(), "desc": str(x.get("desc") or x.get("description") or "")[:500], "keywords": kws[:400]}
 
 
+def taxonomy_text(topics: list[dict], most: int = 12_000) -> str:
+    """A line for each topic; the first line that passes ``most`` characters is the last."""
+    out, size = [], 0
+    for t in topics:
+        out.append(f"- {t['label']}: {t['desc']} ({t['keywords']})")
+        size += len(out[-1]) + 1
+        if size > most:
+            break
+    return "\n".join(out)
+
+
 def discover(texts: Iterator[str], ask_one: Callable[[str], str], batch: int = 5, patience: int = 200, most: int = 2000) -> list[dict]:
     """Topics named over batches of texts, until ``patience`` texts bring none or there are ``most``.
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from trendloom.functions import text, vectors
 from trendloom.operators.concepts import concept_entropy, purity
 from trendloom.operators.evaluate import ami, gini, render
-from trendloom.operators.keys import assert_present, normalize_columns, preprocess, require, unique_ids
+from trendloom.operators.keys import assert_present, keyword_column, normalize_columns, numeric, preprocess, require, unique_ids
 from trendloom.providers.choosers import discover, parse_choice, parse_json
 
 
@@ -83,6 +83,12 @@ def test_keys(spark):
     assert len(got) == 1 and got[0]["year"] == 2001 and got[0]["flag_non_english_title"] and len(got[0]["doc_id"]) == 40
 
 
+def test_numeric_and_keyword_column(spark):
+    assert _one(spark, numeric(F.lit("1.5"))) == 1.5 and _one(spark, numeric(F.lit("x"), 0.0)) == 0.0 and _one(spark, numeric(F.lit("NaN"))) is None
+    df = spark.createDataFrame([("", "a; b", "L"), (None, " ", "M")], "keywords_core string, keywords string, label string")
+    assert [r["k"] for r in df.select(keyword_column(df).alias("k")).collect()] == ["a; b", "M"]
+
+
 def test_ami():
     assert ami([(0, 0, 5), (1, 1, 5)]) == pytest.approx(1.0)
     assert ami([(0, 0, 5), (0, 1, 5), (1, 0, 5), (1, 1, 5)]) == pytest.approx(-0.05, abs=0.06)

@@ -100,6 +100,13 @@ def test_logit_recovers_coefficients():
     assert beta == pytest.approx(0.5, abs=1e-6) and p < 1e-6
 
 
+def test_rank_correlation_of_cells():
+    rho, p = trends.spearman_cells(np.array([0.0, 5.0, 10.0]), np.array([10.0, 10.0, 10.0]), np.array([0.0, 1.0, 2.0]))
+    x, y = np.repeat([5.5, 15.5, 25.5], 10), np.repeat([0, 1, 0, 1], [10, 5, 5, 10])
+    assert rho == pytest.approx(np.corrcoef(x, y)[0, 1]) and p < 0.001
+    assert trends.spearman_cells(np.zeros(2), np.zeros(2), np.zeros(2)) == (0.0, 1.0)
+
+
 def test_trends_without_three_years_are_empty(spark):
     docs = spark.createDataFrame([(2000, 1)] * 50 + [(2001, 1)] * 50, "year int, topic int")
     assert trends.topic_trends(docs).count() == 0

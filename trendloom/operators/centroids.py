@@ -119,18 +119,19 @@ def quantile(df: DataFrame, column: str, q: float) -> float | None:
     return df.agg(F.percentile(column, q)).first()[0]
 
 
-def reassign(docs: DataFrame, sim: float = 0.65, margin: float = 0.0, auto_quantile: float | None = None, gate: tuple[float, float] | None = None, least: int = 2) -> DataFrame:
+def reassign(docs: DataFrame, sim: float = 0.65, margin: float = 0.0, auto_quantile: float | None = None, gate: tuple[float, float] | None = None, least: int = 2, most: int = 0) -> DataFrame:
     """M6: docs (doc_id, topic, embedding, ...) with outliers given to the nearest centroid that is near and clear enough.
 
     Centroids are of topics of ``least`` documents. An outlier (-1) moves if its best cosine is
     ``sim`` or more and its margin to the second is ``margin`` or more; with ``auto_quantile``
     the margin is that quantile among outliers near enough. ``gate`` (similarity, entropy)
     protects documents whose cso_top1_sim reaches the one and whose entropy is no more than the
-    other. Assigned rows never change. Adds old_topic, similarity_score, similarity_margin,
+    other. With ``most`` above 0, only the first so many outliers by doc_id are looked at (L1).
+    Assigned rows never change. Adds old_topic, similarity_score, similarity_margin,
     assignment_source and assignment_confidence.
     """
     cents = centroids(docs.where("topic <> -1"), ["topic"], least)
-    scored = top_two(docs.where("topic = -1"), cents, ["doc_id"])
+    scored = top_two(first_outliers(docs, most), cents, ["doc_id"])
     near = F.col("best_sim") >= sim
     if auto_quantile is not None:
         margin = quantile(scored.where(near), "margin", auto_quantile) or 0.0
@@ -148,7 +149,13 @@ def reassign(docs: DataFrame, sim: float = 0.65, margin: float = 0.0, auto_quant
     }).drop("best_topic", "best_sim", "_margin")
 
 
-def sweep(docs: DataFrame, sims: list[float], margins: list[float], least: int = 1) -> DataFrame:
+def first_outliers(docs: DataFrame, most: int = 0) -> DataFrame:
+    """L1: the outliers, or the first ``most`` of them by doc_id."""
+    rows = docs.where("topic = -1")
+    return rows.orderBy("doc_id").limit(most) if most > 0 else rows
+
+
+def sweep(docs: DataFrame, sims: list[float], margins: list[float], least: int = 1, most: int = 0) -> DataFrame:
     """Q21: what reassignment would do for each pair of thresholds, from one scoring of the outliers.
 
     Centroids are of unit vectors. A cell without reassignment has null figures and an empty
@@ -156,7 +163,7 @@ def sweep(docs: DataFrame, sims: list[float], margins: list[float], least: int =
     """
     spark = docs.sparkSession
     cents = centroids(docs.where("topic <> -1"), ["topic"], least, normalise=True)
-    scored = top_two(docs.where("topic = -1"), cents, ["doc_id"], single_margin=float("inf"))
+    scored = top_two(first_outliers(docs, most), cents, ["doc_id"], single_margin=float("inf"))
     counts = docs.agg(F.count(F.lit(1)).alias("N"), F.count_if(F.col("topic") == -1).alias("n_outliers_in"))
     grid = spark.createDataFrame([(a, b) for a in sims for b in margins], "tau_sim double, tau_mar double")
     hits = scored.join(F.broadcast(grid), (F.col("best_sim") >= F.col("tau_sim")) & (F.col("margin") >= F.col("tau_mar")))

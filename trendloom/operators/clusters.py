@@ -11,8 +11,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trendloom.functions.vectors import unit
-from trendloom.operators.centroids import topic_spread
+from trendloom.functions.vectors import dot, unit
+from trendloom.operators.centroids import centroids, topic_spread
 from trendloom.operators.concepts import purity, symbolic_topics
 from trendloom.operators.evaluate import agreement
 from trendloom.operators.keywords import ctfidf
@@ -184,9 +184,11 @@ def fit_topics(docs: DataFrame, clusterer: Clusterer | None = None, components:
     return found.union(near.select("doc_id", F.when(fits, F.col("n.topic")).otherwise(-1), F.when(fits, 1 - F.col("n.d") / (F.col("n.reach") + 1e-12)).otherwise(0.0)))
 
 
-def split_topics(docs: DataFrame, min_size: int = 200, mean_sim: float = 0.60, std_sim: float = 0.12, clusterer: Clusterer | None = None) -> DataFrame:
+def split_topics(docs: DataFrame, min_size: int = 200, mean_sim: float = 0.60, std_sim: float = 0.12, clusterer: Clusterer | None = None, duplicate: float = 0.90) -> DataFrame:
     """Docs with loose topics split: the largest part keeps the id, others get the next free ones.
 
+    A part whose centroid is within ``duplicate`` of a topic other than the one it leaves stays there.
+
     A topic of ``min_size`` is left alone if its mean similarity is ``mean_sim`` or more and its
     deviation ``std_sim`` or less. Its documents are clustered in one task each, in the
     vectors' first components; noise stays with the topic.
@@ -213,8 +215,12 @@ def split_topics(docs: DataFrame, min_size: int = 200, mean_sim: float = 0.60, s
     keys = sorted((r["topic"], r["part"]) for r in parts.select("topic", "part").distinct().collect())
     ids = docs.sparkSession.createDataFrame([(t, p, last + 1 + i) for i, (t, p) in enumerate(keys)], "topic int, part int, new int")
     moved = parts.join(F.broadcast(ids), ["topic", "part"]).select("doc_id", F.col("topic").alias("_t"), "new")
-    out = docs.join(moved, (docs["doc_id"] == moved["doc_id"]) & (docs["topic"] == moved["_t"]), "left").drop(moved["doc_id"])
-    return out.withColumns({"parent_topic": F.when(F.col("new").isNotNull(), F.col("topic")), "topic": F.coalesce("new", "topic")}).drop("_t", "new")
+    fresh = centroids(docs.join(moved.withColumnRenamed("_t", "topic"), ["doc_id", "topic"]), ["topic", "new"]).select("topic", "new", F.col("centroid").alias("c"))
+    old = centroids(docs.where("topic <> -1"), ["topic"]).select(F.col("topic").alias("other"), "centroid")
+    like = fresh.join(F.broadcast(old), F.col("other") != F.col("topic")).where(F.round(dot("c", "centroid"), 9) >= duplicate).select("new").distinct()
+    moved = moved.join(F.broadcast(like), "new", "left_anti").select("doc_id", F.col("_t").alias("topic"), "new")
+    out = docs.join(moved, ["doc_id", "topic"], "left")
+    return out.withColumns({"parent_topic": F.when(F.col("new").isNotNull(), F.col("topic")), "topic": F.coalesce("new", "topic")}).drop("new")
 
 
 def augment(docs: DataFrame, least: int = 8, min_samples: int = 3, top_weight: float = 0.0, pure: float = 0.0, label_sim: float = 0.65) -> DataFrame:

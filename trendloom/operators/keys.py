@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from trendloom.functions.text import clean, foreign_letters, parse_year, stable_id
+from trendloom.functions.vocabulary import KEYWORD_COLUMNS
 
 ALIASES = {"topic_id": "topic", "Topic": "topic", "document_id": "doc_id", "docid": "doc_id", "id": "doc_id"}
 
@@ -65,6 +66,19 @@ def align(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) if c in df.columns else F.lit("").alias(c) for c in columns])
 
 
+def numeric(column: Column | str, default: float | None = None) -> Column:
+    """A double; ``default`` where the value is missing, NaN or can't be read."""
+    x = (F.col(column) if isinstance(column, str) else column).cast("string").try_cast("double")
+    x = F.when(~F.isnan(x), x)
+    return x if default is None else F.coalesce(x, F.lit(default))
+
+
+def keyword_column(topics: DataFrame) -> Column:
+    """The keywords of topics: the first of the known columns that isn't empty."""
+    found = [F.when(F.trim(F.col(c).cast("string")) != "", F.col(c).cast("string")) for c in KEYWORD_COLUMNS if c in topics.columns]
+    return F.coalesce(*found, F.lit("")) if found else F.lit("")
+
+
 def z_score(df: DataFrame, column: str, out: str) -> DataFrame:
     """Standardised by the population's deviation; 1 in place of a deviation of 0."""
     s = df.agg(F.avg(column).alias("_m"), F.stddev_pop(column).alias("_d"))

@@ -253,6 +253,8 @@ def concept_trends(docs: DataFrame, alpha: float = 0.05, min_docs: int = 50, min
 def prevalence_logit(docs: DataFrame, min_docs: int = 50) -> DataFrame:
     """Q11: for each topic of ``min_docs`` documents, the coefficient of the standardised year and its p and q.
 
+    A fit that fails, or has fewer than five documents, gives the rank correlation with the year.
+
     Rows weigh by (year, flag) counts: a topic's fit needs those alone, whatever the number of
     documents, so a cell table of years x flags is all that a task holds.
     """
@@ -265,8 +267,11 @@ def prevalence_logit(docs: DataFrame, min_docs: int = 50) -> DataFrame:
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["year", "flag"])
-        beta, p = logit_cells(pdf["n"].to_numpy(float), pdf["total"].to_numpy(float), pdf["z"].to_numpy(float), pdf["flag"].to_numpy(float))
-        return pd.DataFrame({"topic": [pdf["topic"].iloc[0]], "method": ["logit"], "beta_year_z": [beta], "p": [p]})
+        n, total, z = (pdf[c].to_numpy(float) for c in ("n", "total", "z"))
+        method, (beta, p) = "logit", logit_cells(n, total, z, pdf["flag"].to_numpy(float))
+        if n.sum() < 5 or math.isnan(p):
+            method, (beta, p) = "spearman", spearman_cells(n, total, z)
+        return pd.DataFrame({"topic": [pdf["topic"].iloc[0]], "method": [method], "beta_year_z": [beta], "p": [p]})
 
     fitted = grid.groupBy("topic").applyInPandas(fit, "topic int, method string, beta_year_z double, p double")
     return bh_fdr(fitted, "p", "q")
@@ -289,3 +294,17 @@ def logit_cells(n: np.ndarray, total: np.ndarray, x: np.ndarray, flag: np.ndarra
             break
     var = np.linalg.pinv(h)[1, 1]
     return float(b[1]), math.erfc(abs(b[1]) / math.sqrt(var) / math.sqrt(2)) if var > 0 else math.nan
+
+
+def spearman_cells(n: np.ndarray, total: np.ndarray, x: np.ndarray) -> tuple[float, float]:
+    """Rank correlation of x and belonging, of cells with n members out of total, and its normal p; (0, 1) without variance."""
+    values, at = np.unique(x, return_inverse=True)
+    count = np.bincount(at, weights=total, minlength=len(values))
+    rank = (np.cumsum(count) - (count - 1) / 2)[at]
+    size, share = total.sum(), n.sum() / max(total.sum(), 1)
+    r = rank - (rank * total).sum() / max(size, 1)
+    d = math.sqrt(float((r * r * total).sum()) * size * share * (1 - share)) if size else 0.0
+    if d <= 0 or size < 3:
+        return 0.0, 1.0
+    rho = max(-1.0, min(1.0, float((r * n).sum()) / d))
+    return rho, math.erfc(abs(rho) * math.sqrt(size - 1) / math.sqrt(2))

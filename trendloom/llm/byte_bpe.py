@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 
 from trendloom.llm.common import bounded_batches
 
-#: Entries that a worker's caches hold before they start anew.
+#: Entries that a worker's caches hold; of pieces, half are kept while the other half fills again.
 CACHE_PIECES, CACHE_PAIRS = 400_000, 600_000
 
 
@@ -38,27 +38,12 @@ class PrefixState:
 
     def append(self, more: bytes) -> None:
         """Extends the string; costs the new bytes only."""
-        start, c, last = len(self.data), self.codec, self.last
+        start, c = len(self.data), self.codec
         self.data += more
         base = max(0, start - c.longest)
-        lengths, pairs, compatible = c.lengths, c._pairs, c.compatible
-        for at, token in c.finder.iter(self.data[base:].decode("latin-1")):  # tokens by their ends, longer ones first
-            end = base + at + 1
-            if end < len(last) or end <= start:
-                continue  # this prefix has its token
-            if end > len(last):
-                break
-            begin = end - lengths[token]
-            if begin == 0:
-                if c.sound(token):
-                    last.append(token)
-                continue
-            before = last[begin]
-            fits = pairs.get(before << 32 | token)
-            if compatible(before, token) if fits is None else fits:
-                last.append(token)
-        if len(last) <= len(self.data):
-            raise ValueError(f"byte {self.data[len(last) - 1]} has no token")
+        c.extend(self.last, self.data[base:].decode("latin-1"), base)
+        if len(self.last) <= len(self.data):
+            raise ValueError(f"byte {self.data[len(self.last) - 1]} has no token")
 
     def truncate(self, size: int) -> None:
         """Drops all bytes from ``size`` on."""
@@ -86,11 +71,7 @@ class PrefixState:
 
     def ids(self) -> list[int]:
         """The encoding of the whole string."""
-        out, at = [], len(self.data)
-        while at:
-            out.append(self.last[at])
-            at -= self.codec.lengths[out[-1]]
-        return out[::-1]
+        return self.codec.walk(self.last)
 
 
 class Codec:
@@ -107,9 +88,11 @@ class Codec:
         for t, i in ranks.items():
             self.finder.add_word(t.decode("latin-1"), i)
         self.finder.make_automaton()
+        self._shift = max(1, max(self.tokens, default=0).bit_length())
         self._pairs: dict[int, bool] = {}
         self._sound: dict[int, bool] = {}
         self._pieces: dict[str, tuple[int, ...]] = {}
+        self._earlier: dict[str, tuple[int, ...]] = {}
 
     def merge(self, piece: bytes) -> list[int]:
         """BPE as defined: joins the leftmost pair of least rank until none is left. For short pieces."""
@@ -134,7 +117,7 @@ class Codec:
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether merging the bytes of a and b gives just a and b."""
-        key = a << 32 | b
+        key = a << self._shift | b
         found = self._pairs.get(key)
         if found is None:
             if len(self._pairs) >= CACHE_PAIRS:
@@ -142,15 +125,55 @@ class Codec:
             found = self._pairs[key] = self.merge(self.tokens[a] + self.tokens[b]) == [a, b]
         return found
 
+    def extend(self, last: list[int], text: str, base: int = 0) -> None:
+        """Appends the last tokens of the prefixes beyond those in ``last``; text holds the bytes from ``base`` on, one a character."""
+        lengths, pairs, shift = self.lengths, self._pairs, self._shift
+        n = len(last)
+        base += 1
+        for at, token in self.finder.iter(text):  # tokens by their ends, longer ones first
+            at += base
+            if at < n:
+                continue  # this prefix has its token
+            if at > n:
+                return
+            before = last[at - lengths[token]]
+            if before < 0:
+                fits = self.sound(token)
+            else:
+                fits = pairs.get(before << shift | token)
+                if fits is None:
+                    fits = self.compatible(before, token)
+            if fits:
+                last.append(token)
+                n += 1
+
+    def walk(self, last: list[int]) -> list[int]:
+        """The tokens of the string whose prefixes' last tokens are given."""
+        out, at, lengths = [], len(last) - 1, self.lengths
+        while at:
+            token = last[at]
+            out.append(token)
+            at -= lengths[token]
+        out.reverse()
+        return out
+
     def encode_piece(self, piece: str) -> tuple[int, ...]:
         """One match of the pattern: a token as it stands, else by prefixes."""
         found = self._pieces.get(piece)
         if found is None:
-            data = piece.encode("utf-8")
-            whole = self.ranks.get(data)
-            found = (whole,) if whole is not None else tuple(PrefixState(self, data).ids())
-            if len(data) <= 64:
-                if len(self._pieces) >= CACHE_PIECES:
+            found = self._earlier.get(piece)
+            if found is None:
+                data = piece.encode("utf-8")
+                whole = self.ranks.get(data)
+                if whole is not None:
+                    found = (whole,)
+                else:
+                    last = [-1]
+                    self.extend(last, data.decode("latin-1"))
+                    found = tuple(self.walk(last))
+            if len(piece) <= 64:
+                if len(self._pieces) >= CACHE_PIECES // 2:
+                    self._earlier = dict(self._pieces)
                     self._pieces.clear()
                 self._pieces[piece] = found
         return found

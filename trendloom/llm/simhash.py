@@ -21,7 +21,7 @@ SHINGLE, SEED = 3, 42
 #: Bits of the five blocks of a fingerprint. At most three differing bits leave two blocks equal.
 BLOCKS = (13, 13, 13, 13, 12)
 #: Fingerprints of one bucket that are compared with those of another chunk in one go.
-CHUNK = 2048
+CHUNK = 8192
 _PAIRS_AT_ONCE, _ROWS_AT_ONCE = 1 << 14, 100_000
 _ONE, _FULL = np.uint64(1), np.uint64(0xFFFFFFFFFFFFFFFF)
 

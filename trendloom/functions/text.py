@@ -107,20 +107,28 @@ def coherence_tokens(t: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(_c(t), F.lit(""))), F.lit("([a-z0-9]+(?:[-_][a-z0-9]+)*)"), 1)
 
 
-def terms(t: Column | str, stop: list[str] = (), longest: int = 2) -> Column:
-    """1- to n-grams of words of two characters or more, stop words taken out first."""
+def words_of(t: Column | str, stop: list[str] = ()) -> Column:
+    """Words of two characters or more, lower-cased, without stop words."""
     ws = F.regexp_extract_all(F.lower(F.coalesce(_c(t), F.lit(""))), F.lit("([a-z0-9_]{2,})"), 1)
-    if stop:
-        ws = F.filter(ws, lambda w: ~w.isin(list(stop)))
-    out = grams = ws
+    return F.filter(ws, lambda w: ~w.isin(list(stop))) if stop else ws
+
+
+def grams_of(ws: Column | str, longest: int = 2) -> Column:
+    """1- to n-grams of an array of words; as it is read several times, best a column and no expression."""
+    out = grams = ws = _c(ws)
     for n in range(2, longest + 1):
         # Each n-gram is an (n-1)-gram and the word n - 1 places on; arrays are zipped, not sliced for each place.
-        rest = F.slice(ws, n, F.greatest(F.size(ws) - n + 1, F.lit(0)))
-        grams = F.zip_with(F.slice(grams, 1, F.size(rest)), rest, lambda g, w: F.concat(g, F.lit(" "), w))
+        size = F.greatest(F.size(ws) - n + 1, F.lit(0))
+        grams = F.zip_with(F.slice(grams, 1, size), F.slice(ws, n, size), lambda g, w: F.concat(g, F.lit(" "), w))
         out = F.concat(out, grams)
     return out
 
 
+def terms(t: Column | str, stop: list[str] = (), longest: int = 2) -> Column:
+    """grams_of() the words_of() a text."""
+    return grams_of(words_of(t, stop), longest)
+
+
 def parse_list(t: Column | str) -> Column:
     """T5: a list written as JSON, as a Python literal, or with ';', '|' or ',' between; trimmed, distinct, in order."""
     s = F.trim(F.coalesce(_c(t), F.lit("")))

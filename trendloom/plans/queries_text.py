@@ -8,6 +8,7 @@ from trendloom.functions.text import (
     clean_label,
     coherence_tokens,
     collision_key,
+    grams_of,
     is_weak_label,
     label_tokens,
     nfkc,
@@ -17,9 +18,9 @@ from trendloom.functions.text import (
     repair_breaks,
     slug,
     squeeze,
-    terms,
     unify_dashes,
     unigrams,
+    words_of,
 )
 from trendloom.functions.vocabulary import GENERIC_LABEL_WORDS, STOP_WORDS
 from trendloom.operators.concepts import mark_ambiguous
@@ -96,7 +97,8 @@ def t9(spark, d):
     SELECT doc_id, (len(w) + greatest(len(w) - 1, 0))::INTEGER AS n, md5(array_to_string(w || list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1]), ' ')) AS h FROM w
 """)
 def t10(spark, d):
-    return table(spark, d, "documents").select("doc_id", terms("text", STOP_WORDS).alias("x")).select("doc_id", F.size("x").alias("n"), _joined("x").alias("h"))
+    words = table(spark, d, "documents").select("doc_id", words_of("text", STOP_WORDS).alias("ws"))
+    return words.select("doc_id", grams_of("ws").alias("x")).select("doc_id", F.size("x").alias("n"), _joined("x").alias("h"))
 
 
 _GENERIC_SQL = "[" + ", ".join(f"'{w}'" for w in GENERIC_LABEL_WORDS) + "]"

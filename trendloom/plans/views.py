@@ -10,6 +10,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt over all cores if it comes from fewer files than half of them.
+
+    A small file of long texts is one row group, so one task would read and work on all of it.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() <= 2 * n and 2 * len(df.inputFiles()) < n else df
+
+
 def dense_id(df: DataFrame, column: str, out: str) -> DataFrame:
     """Adds 0, 1 and so on in order of the distinct values of a column with few of them."""
     values = df.select(column).distinct().agg(F.sort_array(F.collect_list(column)).alias("_all"))
@@ -34,7 +43,7 @@ def doc_topics_vec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V4: texts with the number of their source as topic."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"))
     return d.select("doc_id", "text", "lang", F.regexp_extract("source", "([0-9]+)$", 1).try_cast("int").alias("topic"))
 
 

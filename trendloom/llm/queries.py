@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trendloom.llm import byte_bpe, language_id, licenses, media, mixing, neighbours, quality, simhash, toxicity, warc
+from trendloom.plans.views import spread
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in ("documents", "pages", "embeddings") else df
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -301,6 +301,35 @@ def test_media_links_all_pairs(spark, monkeypatch):
     assert {r["image_id"]: r["class_id"] for r in media.copies(df).collect()} == dict(zip(ids, label, strict=True))
 
 
+def _turned(x, degrees):
+    """x turned about its centre, bilinear, edges repeated."""
+    h, w = x.shape
+    a = np.deg2rad(degrees)
+    y, x0 = np.mgrid[:h, :w] - np.array([h / 2, w / 2])[:, None, None]
+    sy, sx = np.clip(np.cos(a) * y - np.sin(a) * x0 + h / 2, 0, h - 1.001), np.clip(np.sin(a) * y + np.cos(a) * x0 + w / 2, 0, w - 1.001)
+    i, j = sy.astype(int), sx.astype(int)
+    fy, fx = sy - i, sx - j
+    return (x[i, j] * (1 - fx) + x[i, j + 1] * fx) * (1 - fy) + (x[i + 1, j] * (1 - fx) + x[i + 1, j + 1] * fx) * fy
+
+
+def test_media_links_turned_copies_as_all_pairs_do(spark):
+    """Against consensus() of all pairs, without the filter by keys."""
+    rng = np.random.default_rng(20)
+    images = [np.kron(np.clip(128 + 50 * rng.normal(size=(14, 14)), 0, 255), np.ones((8, 8))) for _ in range(6)]
+    images += [_turned(x, 20) for x in images]
+    blobs = [_pgm(x) for x in images]
+    corners = [np.frombuffer(media.describe(media.decode(b)), dtype=media._CORNER) for b in blobs]
+    label = list(range(len(blobs)))
+    for i in range(len(blobs)):
+        for j in range(i):
+            if media.consensus(corners[j], corners[i]) >= media.INLIERS:
+                a, b = min(label[i], label[j]), max(label[i], label[j])
+                label = [a if x == b else x for x in label]
+    assert label == [*range(6), *range(6)]
+    df = spark.createDataFrame([(i, bytearray(b)) for i, b in enumerate(blobs)], "image_id long, image binary")
+    assert {r["image_id"]: r["class_id"] for r in media.copies(df).collect()} == dict(enumerate(label))
+
+
 def test_pipeline_against_its_parts(spark):
     d = "/root/testdata/sf0.001"
     docs = {r["doc_id"]: r for r in spark.read.parquet(f"{d}/documents.parquet").collect()}

@@ -22,14 +22,12 @@ from trendloom.plans.scratch import Scratch
 CORNERS, SCALES = 24, (1.0, 0.75, 0.5)
 #: Pixels around a corner that its tests look at; those that have to lie inside the image, whose edges are repeated beyond; number of tests.
 PATCH, MARGIN, TESTS = 22, 12, 256
-#: Orientations are rounded to multiples of this, so that small noise leaves the tests' places alone.
-TURN = 2 * np.pi / 12
 #: Hamming tables: bits of a descriptor that a key is made of, tables.
-KEY_BITS, TABLES = 48, 5
+KEY_BITS, TABLES = 32, 8
 #: Differing bits of matching descriptors at most; matches that one similarity has to explain; pixels they may be off.
 MATCH_BITS, INLIERS, OFF = 55, 6, 2.0
-#: Images of one bucket that are compared with those of another chunk in one go.
-CHUNK = 256
+#: Corners of one bucket that are compared with those of another chunk in one go; pairs of corners at once.
+CHUNK, _PAIRS_AT_ONCE = 2048, 1 << 18
 
 _rng = np.random.default_rng(20)
 _PAIRS = np.clip(_rng.normal(0, PATCH / 2, (TESTS, 2, 2)), -PATCH, PATCH)
@@ -144,7 +142,7 @@ def describe(x: np.ndarray | None) -> bytes:
         ys, xs = np.array([f[1] for f in found]), np.array([f[2] for f in found])
         patch = smooth[np.clip(ys[:, None] + _DY, 0, level.shape[0] - 1), np.clip(xs[:, None] + _DX, 0, level.shape[1] - 1)]
         patch = patch - patch.mean(axis=1, keepdims=True)
-        turn = np.rint(np.arctan2(patch @ _DY, patch @ _DX) / TURN) * TURN
+        turn = np.arctan2(patch @ _DY, patch @ _DX)
         cos, sin = np.cos(turn)[:, None, None], np.sin(turn)[:, None, None]
         dy, dx = _PAIRS[None, :, :, 0], _PAIRS[None, :, :, 1]
         py = np.rint(ys[:, None, None] + sin * dx + cos * dy).astype(int)
@@ -159,13 +157,16 @@ def describe(x: np.ndarray | None) -> bytes:
 _CORNER = np.dtype([("place", "<f4", 2), ("scale", "<f4"), ("turn", "<f4"), ("bits", "<u8", TESTS // 64)])
 
 
-def keys(signature: bytes) -> list[int]:
-    """Bucket keys of a signature: for each corner and table, the table's bits; distinct."""
-    if not signature:
-        return []
+def corner_keys(signature: bytes) -> np.ndarray:
+    """Bucket keys of each corner of a signature, one for each table: the table's bits."""
     bits = np.unpackbits(np.frombuffer(signature, dtype=_CORNER)["bits"].copy().view(np.uint8).reshape(-1, TESTS // 8), axis=1)
     parts = bits[:, : TABLES * KEY_BITS].reshape(-1, TABLES, KEY_BITS).astype(np.int64) @ (1 << np.arange(KEY_BITS))
-    return np.unique((np.arange(TABLES) << KEY_BITS) + parts).tolist()
+    return (np.arange(TABLES) << KEY_BITS) + parts
+
+
+def keys(signature: bytes) -> list[int]:
+    """Distinct bucket keys of a signature."""
+    return np.unique(corner_keys(signature)).tolist()
 
 
 def consensus(a: np.ndarray, b: np.ndarray) -> int:
@@ -191,21 +192,22 @@ def consensus(a: np.ndarray, b: np.ndarray) -> int:
     return int(fits.sum(axis=1).max(initial=0))
 
 
-def link_images(signatures: pa.ChunkedArray, starts: np.ndarray) -> np.ndarray:
-    """For rows in runs: each row's smallest row linked to it within its run, by any path.
-
-    Every two rows of a run that aren't in one class yet are held against each other.
-    """
-    sig = [np.frombuffer(s, dtype=_CORNER) for s in signatures.to_pylist()]
-    label = np.arange(len(sig))
-    ends = np.append(starts[1:], len(sig))
-    for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
-        for i in range(s + 1, e):
-            for j in range(s, i):
-                if label[i] != label[j] and consensus(sig[j], sig[i]) >= INLIERS:
-                    low, high = min(label[i], label[j]), max(label[i], label[j])
-                    label[s:e][label[s:e] == high] = low
-    return label
+def corner_pairs(corners: pa.ChunkedArray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (i, j) in one run, of different classes, whose descriptors differ in MATCH_BITS at most; corners are 8 bytes of class and 32 of descriptor."""
+    x = np.frombuffer(b"".join(corners.to_pylist()), dtype=[("component", ">i8"), ("bits", "<u8", TESTS // 64)])
+    n, component, bits = len(x), x["component"].astype(np.int64), np.ascontiguousarray(x["bits"].T)
+    after = np.repeat(np.append(starts[1:], n), np.diff(np.append(starts, n))) - np.arange(n) - 1  # rows of the run that follow
+    upto = np.cumsum(after)
+    found = []
+    for begin in range(0, int(upto[-1]) if n else 0, _PAIRS_AT_ONCE):
+        k = np.arange(begin, min(begin + _PAIRS_AT_ONCE, int(upto[-1])))
+        i = np.searchsorted(upto, k, side="right")
+        j = i + 1 + k - (upto[i] - after[i])
+        other = component[i] != component[j]
+        i, j = i[other], j[other]
+        near = sum(np.bitwise_count(b[i] ^ b[j]).astype(np.int16) for b in bits) <= MATCH_BITS
+        found.append((i[near], j[near]))
+    return tuple(np.concatenate(f) for f in zip(*found, strict=True)) if found else (np.zeros(0, dtype=int),) * 2
 
 
 def verify(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
@@ -222,16 +224,16 @@ def verify(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
 
 
 def image_links(rows: DataFrame, signatures: DataFrame, scratch: Scratch, rounds: int = 2) -> DataFrame:
-    """(u, v) links that connect what all links between images with a common bucket connect, from rows (id, bucket).
+    """(u, v) links that connect what all links between images with a matching corner in a common bucket connect, from rows (id, bucket, corner).
 
     First, ids alone: in each round an image is held against one smallest id of a bucket of its
     own, that which it shares most buckets with, outside its class so far. Copies of one
     image meet in nearly all their buckets, so that joins them by a pair each. Then, exactly:
-    buckets that still hold several classes get their signatures, and all pairs of different
-    classes in them are held against each other.
+    buckets that still hold several classes get the descriptors of their corners, and every
+    two images of different classes with corners there that match are held against each other.
     """
-    counted = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    rows = scratch.save(rows.join(counted, "bucket").select("bucket", "id"), "shared")
+    counted = rows.groupBy("bucket").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("bucket")
+    rows = scratch.save(rows.join(counted, "bucket").select("bucket", "id", "corner"), "shared")
     links = scratch.save(rows.select(F.col("id").alias("u"), F.col("id").alias("v")).limit(0), "none")
     classed = rows.withColumn("component", F.col("id"))
     for _ in range(rounds):
@@ -240,23 +242,27 @@ def image_links(rows: DataFrame, signatures: DataFrame, scratch: Scratch, rounds
         best = met.groupBy("v").agg(F.max(F.struct("n", (-F.col("u")).alias("m"))).alias("b")).select((-F.col("b.m")).alias("u"), "v")
         links = scratch.save(links.union(verify(best, signatures)), "verified")
         parts = connected_components(links, scratch).select(F.col("node").alias("id"), "component")
-        classed = scratch.save(rows.join(parts, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component")), "classed")
+        before, classed = classed, scratch.save(rows.join(parts, "id", "left").select("bucket", "id", "corner", F.coalesce("component", "id").alias("component")), "classed")
+        scratch.drop(before)
     mixed = classed.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("bucket")
-    left = classed.join(mixed, "bucket").join(signatures, "id").select("bucket", "id", "signature")
-    return links.union(bucket_links(left, "signature", pa.binary(), CHUNK, link_images))
+    size = _CORNER.itemsize
+    value = F.expr(f"concat(unhex(lpad(hex(component), 16, '0')), substring(signature, corner * {size} + {size - TESTS // 8 + 1}, {TESTS // 8}))")
+    left = classed.join(mixed, "bucket").join(signatures, "id").select("bucket", "id", value.alias("value"))
+    pairs = scratch.save(bucket_links(left, "value", pa.binary(), CHUNK, corner_pairs).distinct(), "pairs")
+    return links.union(verify(pairs, signatures))
 
 
 def signature_column(image: Column, docs: DataFrame) -> Column:
-    """struct(content string, signature binary, keys array<long>) of encoded images."""
+    """struct(content string, signature binary, keys array<array<long>>) of encoded images; images of fewer than INLIERS corners have no keys."""
     bounded_batches(docs.sparkSession)
 
-    @F.pandas_udf("content string, signature binary, keys array<long>")
+    @F.pandas_udf("content string, signature binary, keys array<array<long>>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for images in batches:
             rows = []
             for data in images:
                 sig = describe(decode(data))
-                rows.append((None if data is None else hashlib.sha256(data).hexdigest(), sig, keys(sig)))
+                rows.append((None if data is None else hashlib.sha256(data).hexdigest(), sig, corner_keys(sig).tolist() if len(sig) >= INLIERS * _CORNER.itemsize else []))
             yield pd.DataFrame(rows, columns=["content", "signature", "keys"])
 
     return run(image)
@@ -265,8 +271,8 @@ def signature_column(image: Column, docs: DataFrame) -> Column:
 def copies(images: DataFrame, image: Column | None = None) -> DataFrame:
     """(image_id, corners, class_id, linked) of every row of images (image_id, image).
 
-    Equal bytes are one class. Different images are linked if they share a key of a Hamming
-    table and one similarity transform explains INLIERS of their matching corners; class_id is
+    Equal bytes are one class. Different images are linked if a matching corner of theirs shares a key
+    of a Hamming table and one similarity transform explains INLIERS of their matching corners; class_id is
     the smallest image_id reachable, linked whether the class has an image of other bytes.
     Nulls and bytes that can't be decoded have no corners; undecodable bytes are still equal
     to equal bytes, a null is equal to nothing and its class is its own id. Rows without an id
@@ -278,7 +284,7 @@ def copies(images: DataFrame, image: Column | None = None) -> DataFrame:
     marked = scratch.save(images.select(F.col("image_id").cast("long").alias("image_id"), made.alias("m")).select("image_id", "m.*"), "signatures")
     groups = marked.where("content is not null").groupBy("content").agg(F.min("image_id").alias("id"), F.max("signature").alias("signature"), F.max("keys").alias("keys"))
     groups = scratch.save(groups, "distinct")
-    rows = groups.where("id is not null").select("id", F.explode("keys").alias("bucket"))
+    rows = groups.where("id is not null").select("id", F.posexplode("keys").alias("corner", "key")).select("id", "corner", F.explode("key").alias("bucket"))
     links = scratch.save(image_links(rows, groups.where("id is not null").select("id", "signature"), scratch), "links")
     parts = connected_components(links, scratch).select(F.col("node").alias("id"), "component")
     named = groups.select("content", "id").join(parts, "id", "left").select("content", F.coalesce("component", "id").alias("class_id"), F.col("component").isNotNull().alias("linked"))

@@ -131,13 +131,14 @@ def _keys(fp: Column) -> Column:
     return F.array(*[F.lit(t).cast("long") * (1 << 26) + block[i] * (1 << 13) + block[j] for t, (i, j) in enumerate(combinations(range(len(BLOCKS)), 2))])
 
 
-def bucket_links(rows: DataFrame, payload: str, kind: pa.DataType, chunk: int, link: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+def bucket_links(rows: DataFrame, payload: str, kind: pa.DataType, chunk: int, link: Callable[[np.ndarray, np.ndarray], np.ndarray | tuple[np.ndarray, np.ndarray]]) -> DataFrame:
     """(u, v) links found by ``link`` within the buckets of rows (bucket, <payload>); payload long or a list.
 
     Buckets of one row fall away by their count. A bucket of more than ``chunk`` rows is dealt
     over chunks by hash, and each two chunks meet in a task of their own, so no task holds
     more than about two chunks of a bucket, however many rows share its key. Each row of a
-    bucket gives one link at most, to the smallest row it is connected with there.
+    bucket gives one link at most, to the smallest row it is connected with there, unless
+    ``link`` returns pairs of rows instead of labels: then each pair is a link.
     """
     n = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     n = n.select("bucket", F.ceil(F.col("n") / chunk).cast("int").alias("chunks"))
@@ -157,8 +158,12 @@ def bucket_links(rows: DataFrame, payload: str, kind: pa.DataType, chunk: int, l
             ids = t["id"].to_numpy()
             value = ids if payload == "id" else t[payload]
             label = link(value, starts)
-            joined = np.flatnonzero(label != np.arange(len(ids)))
-            return pa.RecordBatch.from_pydict({"u": pa.array(ids[label[joined]], pa.int64()), "v": pa.array(ids[joined], pa.int64())})
+            if isinstance(label, tuple):
+                first, joined = label
+            else:
+                joined = np.flatnonzero(label != np.arange(len(ids)))
+                first = label[joined]
+            return pa.RecordBatch.from_pydict({"u": pa.array(ids[first], pa.int64()), "v": pa.array(ids[joined], pa.int64())})
 
         def begins(t: pa.Table) -> np.ndarray:
             b, p = t["bucket"].to_numpy(), t["part"].to_numpy()

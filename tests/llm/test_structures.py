@@ -330,6 +330,19 @@ def test_media_links_turned_copies_as_all_pairs_do(spark):
     assert {r["image_id"]: r["class_id"] for r in media.copies(df).collect()} == dict(enumerate(label))
 
 
+def test_media_finds_small_crops_of_large_images(spark):
+    """The strongest corners of the whole lie outside the crop, a quarter of its area."""
+    rng = np.random.default_rng(21)
+    grid = rng.normal(size=(60, 60))
+    grid[:30, :30] *= 0.4
+    large = np.kron(np.clip(128 + 50 * grid, 0, 255), np.ones((8, 8)))
+    other = np.kron(np.clip(128 + 50 * rng.normal(size=(30, 30)), 0, 255), np.ones((8, 8)))
+    images = [(1, _pgm(large)), (2, _pgm(large[:240, :240])), (3, _pgm(large[:235, :233] * 0.9)), (4, _pgm(other))]
+    got = {r["image_id"]: r for r in media.copies(spark.createDataFrame([(i, bytearray(b)) for i, b in images], "image_id long, image binary")).collect()}
+    assert [got[i]["class_id"] for i in (1, 2, 3, 4)] == [1, 1, 1, 4]
+    assert got[1]["corners"] == sum(len(media.corners(media.resize(media.decode(images[0][1]), s))) for s in media.SCALES)
+
+
 def test_pipeline_against_its_parts(spark):
     d = "/root/testdata/sf0.001"
     docs = {r["doc_id"]: r for r in spark.read.parquet(f"{d}/documents.parquet").collect()}

@@ -18,8 +18,8 @@ from trendloom.llm.simhash import bucket_links
 from trendloom.operators.components import connected_components
 from trendloom.plans.scratch import Scratch
 
-#: Corners of an image that are described at most, the strongest first; scales of the pyramid.
-CORNERS, SCALES = 24, (1.0, 0.75, 0.5)
+#: Scales of the pyramid; corners that are described in one go.
+SCALES, CORNERS_AT_ONCE = (1.0, 0.75, 0.5), 1024
 #: Pixels around a corner that its tests look at; those that have to lie inside the image, whose edges are repeated beyond; number of tests.
 PATCH, MARGIN, TESTS = 22, 12, 256
 #: Hamming tables: bits of a descriptor that a key is made of, tables.
@@ -135,23 +135,23 @@ def describe(x: np.ndarray | None) -> bytes:
     out = []
     for s in SCALES:
         level = resize(x, s)
-        found = sorted(corners(level), key=lambda t: (-t[0], t[1], t[2]))[:CORNERS]
-        if not found:
-            continue
-        smooth = box(level, 4)
-        ys, xs = np.array([f[1] for f in found]), np.array([f[2] for f in found])
-        patch = smooth[np.clip(ys[:, None] + _DY, 0, level.shape[0] - 1), np.clip(xs[:, None] + _DX, 0, level.shape[1] - 1)]
-        patch = patch - patch.mean(axis=1, keepdims=True)
-        turn = np.arctan2(patch @ _DY, patch @ _DX)
-        cos, sin = np.cos(turn)[:, None, None], np.sin(turn)[:, None, None]
-        dy, dx = _PAIRS[None, :, :, 0], _PAIRS[None, :, :, 1]
-        py = np.rint(ys[:, None, None] + sin * dx + cos * dy).astype(int)
-        px = np.rint(xs[:, None, None] + cos * dx - sin * dy).astype(int)
-        value = smooth[np.clip(py, 0, level.shape[0] - 1), np.clip(px, 0, level.shape[1] - 1)]
-        bits = np.packbits(value[:, :, 0] < value[:, :, 1], axis=1)
-        out += [(f[0], struct.pack("<4f", (k + 0.5) / s, (y + 0.5) / s, s, t) + b.tobytes()) for f, y, k, t, b in zip(found, ys, xs, turn, bits, strict=True)]
+        found = corners(level)
+        smooth = box(level, 4) if found else level
+        for at in range(0, len(found), CORNERS_AT_ONCE):
+            some = found[at : at + CORNERS_AT_ONCE]
+            ys, xs = np.array([f[1] for f in some]), np.array([f[2] for f in some])
+            patch = smooth[np.clip(ys[:, None] + _DY, 0, level.shape[0] - 1), np.clip(xs[:, None] + _DX, 0, level.shape[1] - 1)]
+            patch = patch - patch.mean(axis=1, keepdims=True)
+            turn = np.arctan2(patch @ _DY, patch @ _DX)
+            cos, sin = np.cos(turn)[:, None, None], np.sin(turn)[:, None, None]
+            dy, dx = _PAIRS[None, :, :, 0], _PAIRS[None, :, :, 1]
+            py = np.rint(ys[:, None, None] + sin * dx + cos * dy).astype(int)
+            px = np.rint(xs[:, None, None] + cos * dx - sin * dy).astype(int)
+            value = smooth[np.clip(py, 0, level.shape[0] - 1), np.clip(px, 0, level.shape[1] - 1)]
+            bits = np.packbits(value[:, :, 0] < value[:, :, 1], axis=1)
+            out += [(f[0], struct.pack("<4f", (k + 0.5) / s, (y + 0.5) / s, s, t) + b.tobytes()) for f, y, k, t, b in zip(some, ys, xs, turn, bits, strict=True)]
     out.sort(key=lambda t: -t[0])
-    return b"".join(b for _, b in out[:CORNERS])
+    return b"".join(b for _, b in out)
 
 
 _CORNER = np.dtype([("place", "<f4", 2), ("scale", "<f4"), ("turn", "<f4"), ("bits", "<u8", TESTS // 64)])
@@ -169,27 +169,47 @@ def keys(signature: bytes) -> list[int]:
     return np.unique(corner_keys(signature)).tolist()
 
 
+def nearest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each descriptor of a the nearest of b and the bits they differ in, in blocks of bounded size."""
+    best, apart = np.zeros(len(a), dtype=int), np.zeros(len(a), dtype=np.int16)
+    step = max(1, _PAIRS_AT_ONCE // len(b))
+    for at in range(0, len(a), step):
+        d = sum(np.bitwise_count(a[at : at + step, None, w] ^ b[None, :, w]).astype(np.int16) for w in range(a.shape[1]))
+        best[at : at + step] = d.argmin(axis=1)
+        apart[at : at + step] = d.min(axis=1)
+    return best, apart
+
+
 def consensus(a: np.ndarray, b: np.ndarray) -> int:
-    """Corners of a with a match in b that one turn, scale and shift explains, the most of any."""
+    """Corners of a with a match in b, each the other's nearest, that one turn, scale and shift explains, the most of any.
+
+    The search ends once INLIERS are found.
+    """
     if len(a) < INLIERS or len(b) < INLIERS:
         return 0
-    apart = np.bitwise_count(a["bits"][:, None, :] ^ b["bits"][None, :, :]).sum(axis=2)
-    best = apart.argmin(axis=1)
-    i = np.flatnonzero(apart[np.arange(len(a)), best] <= MATCH_BITS)
+    best, apart = nearest(a["bits"], b["bits"])
+    i = np.flatnonzero(apart <= MATCH_BITS)
+    if len(i) < INLIERS:
+        return 0
+    to, which = np.unique(best[i], return_inverse=True)
+    i = i[nearest(b["bits"][to], a["bits"])[0][which] == i]
     if len(i) < INLIERS:
         return 0
     p = a["place"][i] @ np.array([1, 1j])
     q = b["place"][best[i]] @ np.array([1, 1j])
-    m, n = np.triu_indices(len(i), 1)
-    wide = np.abs(p[m] - p[n]) > 6
-    m, n = m[wide], n[wide]
-    if not len(m):
-        return 0
-    by = (q[n] - q[m]) / (p[n] - p[m])
-    sane = (np.abs(by) > 0.4) & (np.abs(by) < 2.5)
-    by, m = by[sane], m[sane]
-    fits = np.abs(q[m][:, None] + by[:, None] * (p[None, :] - p[m][:, None]) - q[None, :]) <= OFF
-    return int(fits.sum(axis=1).max(initial=0))
+    most = 0
+    for m in range(len(i) - 1):  # each two matches propose a similarity
+        n = np.arange(m + 1, len(i))
+        n = n[np.abs(p[m] - p[n]) > 6]
+        by = (q[n] - q[m]) / (p[n] - p[m])
+        by = by[(np.abs(by) > 0.4) & (np.abs(by) < 2.5)]
+        step = max(1, _PAIRS_AT_ONCE // len(i))
+        for at in range(0, len(by), step):
+            fits = np.abs(q[m] + by[at : at + step, None] * (p - p[m]) - q) <= OFF
+            most = max(most, int(fits.sum(axis=1).max(initial=0)))
+            if most >= INLIERS:
+                return most
+    return most
 
 
 def corner_pairs(corners: pa.ChunkedArray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -253,21 +273,27 @@ def image_links(rows: DataFrame, signatures: DataFrame, scratch: Scratch, rounds
 
 
 def signature_column(image: Column, docs: DataFrame) -> Column:
-    """struct(content string, signature binary, keys array<array<long>>) of encoded images; images of fewer than INLIERS corners have no keys."""
+    """struct(content string, signature binary) of encoded images."""
     bounded_batches(docs.sparkSession)
 
-    @F.pandas_udf("content string, signature binary, keys array<array<long>>")
+    @F.pandas_udf("content string, signature binary")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for images in batches:
-            rows = []
-            for data in images:
-                sig = describe(decode(data))
-                rows.append((None if data is None else hashlib.sha256(data).hexdigest(), sig, corner_keys(sig).tolist() if len(sig) >= INLIERS * _CORNER.itemsize else []))
-            yield pd.DataFrame(rows, columns=["content", "signature", "keys"])
+            yield pd.DataFrame([(None if data is None else hashlib.sha256(data).hexdigest(), describe(decode(data))) for data in images], columns=["content", "signature"])
 
     return run(image)
 
 
+def key_column(signature: str) -> Column:
+    """corner_keys(); images of fewer than INLIERS corners have none."""
+
+    @F.pandas_udf("array<array<long>>")
+    def run(s: pd.Series) -> pd.Series:
+        return pd.Series([corner_keys(x).tolist() if len(x) >= INLIERS * _CORNER.itemsize else [] for x in s], dtype=object)
+
+    return run(F.col(signature))
+
+
 def copies(images: DataFrame, image: Column | None = None) -> DataFrame:
     """(image_id, corners, class_id, linked) of every row of images (image_id, image).
 
@@ -282,9 +308,9 @@ def copies(images: DataFrame, image: Column | None = None) -> DataFrame:
     scratch = Scratch(images.sparkSession, "media")
     made = signature_column(F.col("image") if image is None else image, images)
     marked = scratch.save(images.select(F.col("image_id").cast("long").alias("image_id"), made.alias("m")).select("image_id", "m.*"), "signatures")
-    groups = marked.where("content is not null").groupBy("content").agg(F.min("image_id").alias("id"), F.max("signature").alias("signature"), F.max("keys").alias("keys"))
+    groups = marked.where("content is not null").groupBy("content").agg(F.min("image_id").alias("id"), F.max("signature").alias("signature"))
     groups = scratch.save(groups, "distinct")
-    rows = groups.where("id is not null").select("id", F.posexplode("keys").alias("corner", "key")).select("id", "corner", F.explode("key").alias("bucket"))
+    rows = groups.where("id is not null").select("id", F.posexplode(key_column("signature")).alias("corner", "key")).select("id", "corner", F.explode("key").alias("bucket"))
     links = scratch.save(image_links(rows, groups.where("id is not null").select("id", "signature"), scratch), "links")
     parts = connected_components(links, scratch).select(F.col("node").alias("id"), "component")
     named = groups.select("content", "id").join(parts, "id", "left").select("content", F.coalesce("component", "id").alias("class_id"), F.col("component").isNotNull().alias("linked"))

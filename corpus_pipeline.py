@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from trendloom.llm.byte_bpe import encode_table
 from trendloom.llm.language_id import keep_identified
 from trendloom.llm.mixing import mixed
+from trendloom.llm.shingles import similar_components
 from trendloom.llm.simhash import keep_one
 from trendloom.llm.toxicity import keep_clean
 from trendloom.plans.scratch import Scratch
@@ -26,8 +27,8 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return keep_one(docs)
+    """One document of each group of near duplicates, by SimHash or by five-word shingles with similarity 0.8 or more."""
+    return keep_one(docs, similar_components)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

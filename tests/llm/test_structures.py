@@ -343,6 +343,30 @@ def test_media_finds_small_crops_of_large_images(spark):
     assert got[1]["corners"] == sum(len(media.corners(media.resize(media.decode(images[0][1]), s))) for s in media.SCALES)
 
 
+def test_near_dedup_stage_joins_all_similar_texts(spark):
+    """Against the Jaccard similarity of five-word shingles of all pairs."""
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    texts = [[rng.choice(vocabulary) for _ in range(200)] for _ in range(40)]
+    for t in texts[:30]:
+        for n in (1, 2, 3):
+            t = t[:]
+            for _ in range(n):
+                t[rng.randrange(200)] = "other"
+            texts.append(t)
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    fps = [plain_fingerprint(" ".join(t)) for t in texts]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) or (fps[i] ^ fps[j]).bit_count() <= 3:
+                a, b = min(label[i], label[j]), max(label[i], label[j])
+                label = [a if x == b else x for x in label]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect())
+    assert got == sorted(set(label)) and len(got) < len(simhash.keep_one(docs).collect())
+
+
 def test_pipeline_against_its_parts(spark):
     d = "/root/testdata/sf0.001"
     docs = {r["doc_id"]: r for r in spark.read.parquet(f"{d}/documents.parquet").collect()}

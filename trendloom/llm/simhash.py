@@ -217,14 +217,21 @@ def near_components(docs: DataFrame, scratch: Scratch | None = None) -> DataFram
     return marked.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, similar: Callable[[DataFrame, DataFrame, Scratch], DataFrame] | None = None) -> DataFrame:
     """docs, all columns, with one document of each component: that with the smallest id.
 
+    ``similar`` may join components further: from docs and (doc_id, component_id) it gives
+    (node, component) of those that it joins.
+
     Rows that repeat an id count as one document, so one of them stays. Rows without an id
     can't be told apart and stay.
     """
     scratch = Scratch(docs.sparkSession, "simhash-keep")
-    found = near_components(docs, scratch).where("doc_id = component_id")
+    found = near_components(docs, scratch)
+    if similar is not None:
+        found = scratch.save(found.select("doc_id", "component_id"), "near")
+        found = found.join(similar(docs, found, scratch), F.col("component_id") == F.col("node"), "left").select("doc_id", F.coalesce("component", "component_id").alias("component_id"))
+    found = found.where("doc_id = component_id")
     kept = scratch.save(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "kept")
     once = kept.where("n = 1").select("doc_id")
     out = docs.join(once, "doc_id", "left_semi")

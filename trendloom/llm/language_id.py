@@ -2,28 +2,31 @@
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from trendloom.llm.common import bounded_batches, fold, fresh
+from trendloom.llm.common import bounded_batches, drawn, fold, fresh
+from trendloom.plans.scratch import Scratch
 
-LETTERS = re.compile(r"[^\W\d_]+")
-#: Training documents that a model learns from at most, about; words that it keeps.
-SAMPLE_DOCS, MODEL_WORDS = 8192, 60_000
+#: A letter, then letters and the marks that belong to them.
+LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+#: Training documents that a model learns from at most, about, and words that it keeps; either is shared out evenly among the languages, of which each keeps LEAST_WORDS.
+SAMPLE_DOCS, MODEL_WORDS, LEAST_WORDS = 8192, 60_000, 100
 #: Longest character n-gram; words are padded by one mark at either end.
 LONGEST = 5
 _CACHE_WORDS = 200_000
 
 
 def words(text: str | None) -> list[str]:
-    """Lower-cased runs of letters."""
+    """Lower-cased runs of letters and their marks."""
     return LETTERS.findall(text.lower()) if text else []
 
 
@@ -34,7 +37,7 @@ def grams(word: str, n: int) -> list[str]:
 
 
 class Model:
-    """Log frequencies by language of words and of character n-grams; picklable, bounded by MODEL_WORDS."""
+    """Log frequencies by language of words and of character n-grams; picklable, its size bounded by that of counts."""
 
     def __init__(self, langs: list[str], counts: dict[str, np.ndarray]):
         self.langs = langs
@@ -42,61 +45,85 @@ class Model:
         total = np.sum(list(counts.values()), axis=0) if counts else np.zeros(k)
         self.word_of = {w: i for i, w in enumerate(counts)}
         self.word_log = self._logs(list(counts.values()), total, k)
-        by_gram: list[dict[str, np.ndarray]] = [{} for _ in range(LONGEST + 1)]
-        for w, c in counts.items():
-            for n in range(1, LONGEST + 1):
+        self.gram_of: list[dict[str, int]] = [{}]
+        self.gram_log: list[np.ndarray] = [np.zeros((0, k))]
+        of_word = np.array(list(counts.values()), dtype=float).reshape(len(counts), k)
+        for n in range(1, LONGEST + 1):
+            place, row, of = {}, [], []
+            for i, w in enumerate(counts):
                 for g in grams(w, n):
-                    if g in by_gram[n]:
-                        by_gram[n][g] = by_gram[n][g] + c
-                    else:
-                        by_gram[n][g] = c
-        self.gram_of: list[dict[str, int]] = []
-        self.gram_log: list[np.ndarray] = []
-        for table in by_gram:
-            self.gram_of.append({g: i for i, g in enumerate(table)})
-            self.gram_log.append(self._logs(list(table.values()), np.sum(list(table.values()), axis=0) if table else total, k))
-        self._unseen: dict[str, np.ndarray] = {}
+                    row.append(place.setdefault(g, len(place)))
+                    of.append(i)
+            table = np.zeros((len(place), k))
+            np.add.at(table, row, of_word[of])
+            self.gram_of.append(place)
+            self.gram_log.append(self._logs(table, table.sum(axis=0), k))
+        self._fresh()
+
+    def _fresh(self) -> None:
+        """Forgets the unseen words met; rows of known words come first in the table, theirs after."""
+        self._at, self._table = dict(self.word_of), self.word_log
+        self._all_logs = np.vstack(self.gram_log)
 
     @staticmethod
-    def _logs(rows: list[np.ndarray], total: np.ndarray, k: int) -> np.ndarray:
-        if not rows:
+    def _logs(rows: np.ndarray | list[np.ndarray], total: np.ndarray, k: int) -> np.ndarray:
+        if not len(rows):
             return np.zeros((0, k))
         return np.log((np.array(rows, dtype=float) + 0.5) / (total + 0.5 * len(rows) + 1))
 
     def __getstate__(self):
-        return {**self.__dict__, "_unseen": {}}
+        return {k: v for k, v in self.__dict__.items() if k not in ("_at", "_table", "_all_logs")}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self._fresh()
 
     def backed_off(self, word: str) -> np.ndarray:
         """Of the longest n-grams of which any is known, the mean log frequency of the known ones; else zeros."""
-        found = self._unseen.get(word)
-        if found is None:
-            found = np.zeros(len(self.langs))
-            for n in range(min(LONGEST, len(word) + 2), 0, -1):
-                table = self.gram_of[n]
-                known = [table[g] for g in grams(word, n) if g in table]
+        return self._backed_off([word])[0]
+
+    def _backed_off(self, unseen: list[str]) -> np.ndarray:
+        flat, lengths = [], []
+        first = np.cumsum([0, *map(len, self.gram_log)])
+        tables = [(n, int(first[n]), self.gram_of[n].get) for n in range(LONGEST, 0, -1)]
+        for word in unseen:
+            padded = f"<{word}>"
+            size = len(padded)
+            known: list[int] = []
+            for n, base, get in tables:
+                known = [base + i for at in range(size - n + 1) if (i := get(padded[at : at + n])) is not None]
                 if known:
-                    found = self.gram_log[n][known].mean(axis=0)
                     break
-            if len(self._unseen) >= _CACHE_WORDS:
-                self._unseen.clear()
-            self._unseen[word] = found
-        return found
+            flat += known
+            lengths.append(len(known))
+        per_word = np.array(lengths)
+        out, some = np.zeros((len(unseen), len(self.langs))), np.flatnonzero(per_word)
+        if len(some):
+            starts = np.append(0, np.cumsum(per_word[some])[:-1])
+            out[some] = np.add.reduceat(self._all_logs[flat], starts, axis=0) / per_word[some][:, None]
+        return out
+
+    def rows(self, found: list[str]) -> np.ndarray:
+        """Log frequencies of each word, those of unseen ones backed off; unseen words are kept, _CACHE_WORDS at most but for one call's."""
+        if len(self._at) > len(self.word_of) + _CACHE_WORDS:
+            self._fresh()
+        at = [*map(self._at.get, found)]
+        if None in at:
+            new = {w: None for w, i in zip(found, at, strict=True) if i is None}
+            first = len(self._at)
+            if first + len(new) > len(self._table):  # room for as many again
+                self._table = np.vstack([self._table, np.zeros((len(new) + len(self._table), len(self.langs)))])
+            self._table[first : first + len(new)] = self._backed_off(list(new))
+            self._at.update(zip(new, range(first, first + len(new)), strict=True))
+            at = [*map(self._at.get, found)]
+        return self._table[at]
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The likeliest language and its posterior under equal priors; ties go to the smaller name."""
-        found = Counter(words(text))
+        found = words(text)
         if not found or not self.langs:
             return "und", 0.0
-        index, n, score = [], [], np.zeros(len(self.langs))
-        for w, c in found.items():
-            i = self.word_of.get(w)
-            if i is None:
-                score += c * self.backed_off(w)
-            else:
-                index.append(i)
-                n.append(c)
-        if index:
-            score = score + np.array(n, dtype=float) @ self.word_log[index]
+        score = self.rows(found).sum(axis=0)
         best = int(np.argmax(score))
         return self.langs[best], float(1 / np.exp(score - score[best]).sum())
 
@@ -104,14 +131,21 @@ class Model:
 def fit(docs: DataFrame, train: Column, sample: int = SAMPLE_DOCS, keep: int = MODEL_WORDS, seed: int = 17) -> Model:
     """Learns from (text, lang) of docs where train holds; rows with a null text or lang teach nothing.
 
-    The sample of about ``sample`` documents is by seeded hash of the id. Words are counted
-    where the texts are and summed by (lang, word); the ``keep`` most frequent come to the driver.
+    Of each language, documents are drawn whose seeded hash of the id falls under its part of
+    ``sample``, so that rare languages aren't drowned. Words are counted where the texts are
+    and summed by (lang, word); of each language the most frequent words come to the driver,
+    ``keep`` divided by the number of languages, with their counts in all languages. Equal
+    counts go by the word. Every language of the sample is one of the model's.
     """
-    bounded_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    bounded_batches(spark)
     rows = docs.select("doc_id", "text", "lang").where(train & F.col("lang").isNotNull())
-    share = min(1.0, sample / max(1, rows.select("doc_id").count()))
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000)
-    rows = rows.where(draw & F.col("text").isNotNull()).select("lang", "text")
+    n = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    langs = sorted(n)
+    if not langs:
+        return Model([], {})
+    share = F.create_map(*[F.lit(x) for lang in langs for x in (lang, min(1.0, sample / len(langs) / n[lang]))])[F.col("lang")]
+    rows = rows.where(drawn("doc_id", share, seed) & F.col("text").isNotNull()).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
@@ -129,17 +163,19 @@ def fit(docs: DataFrame, train: Column, sample: int = SAMPLE_DOCS, keep: int = M
                 held.clear()
         yield flush()
 
-    counted = rows.mapInArrow(count, "lang string, word string, n long").groupBy("word", "lang").agg(F.sum("n").alias("n"))
-    each = counted.groupBy("word").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-    top = each.orderBy(F.desc("total"), "word").limit(keep).collect()
-    langs = sorted({lang for r in top for lang in r["by"]})
+    scratch = Scratch(spark, "language")
+    counted = scratch.save(rows.mapInArrow(count, "lang string, word string, n long").groupBy("word", "lang").agg(F.sum("n").alias("n")), "words")
+    quota = max(LEAST_WORDS, keep // len(langs))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    kept = counted.withColumn("rank", rank).where(F.col("rank") <= quota).select("word").distinct()
+    top = counted.join(kept, "word", "left_semi").toPandas().sort_values(["word", "lang"])
+    scratch.drop(counted)
     at = {lang: i for i, lang in enumerate(langs)}
     counts: dict[str, np.ndarray] = {}
-    for r in top:
-        row = np.zeros(len(langs))
-        for lang, n in r["by"].items():
-            row[at[lang]] = n
-        counts[r["word"]] = row
+    for word, lang, c in zip(top["word"], top["lang"], top["n"], strict=True):
+        if word not in counts:
+            counts[word] = np.zeros(len(langs))
+        counts[word][at[lang]] = c
     return Model(langs, counts)
 
 
@@ -161,9 +197,11 @@ def identify(docs: DataFrame, parts: int = 5, held: int = 0, model: Model | None
     """(doc_id, held_out, lang_pred, score) of every row of docs.
 
     Documents whose crc32(doc_id) mod parts is ``held`` teach nothing and are predicted like
-    the rest. A text that is null or has no letter is ``und`` with score 0; so is every text
-    if there is nothing to learn from. Repeated rows get the same prediction each; other
-    columns of docs are ignored whatever their names; an empty table gives an empty one.
+    the rest. A text that is null or has no letter (categories L*) is ``und`` with score 0; so
+    is every text if there is nothing to learn from. Texts are read whole however long, in
+    batches bounded in bytes; languages that score the same are decided by name. Repeated rows
+    get the same prediction each; other columns of docs are ignored whatever their names; an
+    empty table gives an empty one.
     """
     out = fold("doc_id", parts) == held
     model = model or fit(docs, ~out)
@@ -172,7 +210,12 @@ def identify(docs: DataFrame, parts: int = 5, held: int = 0, model: Model | None
 
 
 def keep_identified(docs: DataFrame, model: Model | None = None, least: float = 0.5) -> DataFrame:
-    """docs, all columns, without the documents whose language can't be told (und, or a score under ``least``)."""
+    """docs, all columns, without the documents whose language can't be told (und, or a score under ``least``).
+
+    Null and empty texts and texts without a letter go; long ones are judged whole. A score of
+    just ``least`` stays. Repeated rows stay or go together; if there is nothing to learn from
+    every document goes; columns keep their names and values; an empty table gives an empty one.
+    """
     model = model or fit(docs, F.lit(True))
     p = fresh(docs, "prediction")
     told = docs.withColumn(p, predict_column(docs, model))

@@ -12,11 +12,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trendloom.llm.common import bounded_batches, fold, fresh, labelled_sample
+from trendloom.llm.common import bounded_batches, drawn, fold, fresh, labelled_sample
+from trendloom.plans.scratch import Scratch
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-#: log2 of the number of weights; labelled documents that a model learns from at most, about.
-BITS, SAMPLE_DOCS = 20, 16_384
+#: log2 of the number of weights; labelled documents, and their slots in all, that a model learns from at most, about.
+BITS, SAMPLE_DOCS, SAMPLE_SLOTS = 20, 16_384, 1 << 26
 THRESHOLD = 0.3
 
 
@@ -70,32 +71,38 @@ def train(examples: list[tuple[np.ndarray, float]], bits: int = BITS, epochs: in
     return at, w[at], model.bias
 
 
-def fit(docs: DataFrame, labels: DataFrame, keep: Column, sample: int = SAMPLE_DOCS, bits: int = BITS, seed: int = 29) -> tuple[np.ndarray, np.ndarray, float]:
+def fit(docs: DataFrame, labels: DataFrame, keep: Column, sample: int = SAMPLE_DOCS, bits: int = BITS, seed: int = 29, slots_held: int = SAMPLE_SLOTS) -> tuple[np.ndarray, np.ndarray, float]:
     """Learns labels.toxic of about ``sample`` labelled documents where ``keep`` holds, in one task.
 
-    The sample is bounded by its parameter, so one task can hold it; what comes back are the
-    weights that L1 left, at most 2**bits.
+    That task holds the slots of the sample, 4 bytes each; a sample of very long texts is
+    thinned by a second seeded hash, so that about ``slots_held`` slots are left. Ids may be of
+    any type. What comes back are the weights that L1 left, at most 2**bits.
     """
     bounded_batches(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession, "toxicity")
     chosen, odds = labelled_sample(labels.select("doc_id", "toxic"), "toxic", keep, sample, seed)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("y").cast("double").alias("y"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.col("doc_id").cast("string").alias("id"), "text", F.col("y").cast("double").alias("y"))
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, texts, ys = (c.to_pylist() for c in b.columns)
-            found = [(i, features(t, bits).astype(np.int32), y) for i, t, y in zip(ids, texts, ys, strict=True)]
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array([f[0] for f in found], pa.int64()), "at": pa.array([f[1] for f in found], pa.list_(pa.int32())), "y": pa.array([f[2] for f in found], pa.float64())})
+            found = [features(t, bits).astype(np.int32) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_pydict({"id": b.column(0), "at": pa.array(found, pa.list_(pa.int32())), "y": b.column(2)})
+
+    examples = scratch.save(rows.mapInArrow(slots, "id string, at array<int>, y double"), "examples")
+    held = examples.agg(F.sum(F.size("at").cast("long"))).first()[0] or 0
+    some = examples.where(drawn("id", min(1.0, slots_held / max(1, held)), seed + 1))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = []
         for b in batches:
             at = b.column(1)
             seen += [(i, at[k].values.to_numpy(zero_copy_only=False), y) for k, (i, y) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True))]
-        seen.sort(key=lambda x: (zlib.crc32(str(x[0]).encode()), x[0], x[1].tobytes()))
+        seen.sort(key=lambda x: (zlib.crc32(x[0].encode()), x[0], x[1].tobytes()))
         at, w, bias = train([x[1:] for x in seen], bits)
         yield pa.RecordBatch.from_pydict({"slot": pa.array([-1, *at.tolist()], pa.int64()), "w": pa.array([bias, *w.tolist()], pa.float64())})
 
-    got = rows.mapInArrow(slots, "doc_id long, at array<int>, y double").repartition(1).mapInArrow(learn, "slot long, w double").toPandas()
+    got = some.repartition(1).mapInArrow(learn, "slot long, w double").toPandas()
+    scratch.drop(examples)
     bias = float(got.loc[got.slot < 0, "w"].sum())
     got = got[got.slot >= 0]
     return got.slot.to_numpy(), got.w.to_numpy(), bias + (odds if len(got) else 0.0)
@@ -121,7 +128,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, parts: int = 4, held: int = 2,
     """(doc_id, held_out, score, predicted) of every row of docs.
 
     Labels of documents whose crc32(doc_id) mod parts is ``held`` aren't read. A null or empty
-    text has no features and scores the bias alone; without any label every score is 0.5.
+    text has no features and scores the bias alone; without any label every score is 0.5. Long
+    texts are read whole; a score of just ``threshold`` counts as toxic.
     Repeated rows score the same each; null labels and null ids in labels teach nothing; an id
     with several labels counts as toxic if any is; other columns are ignored whatever their
     names; an empty table gives an empty one.
@@ -134,7 +142,15 @@ def toxicity(docs: DataFrame, labels: DataFrame, parts: int = 4, held: int = 2,
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs, all columns, without the documents that score ``threshold`` or more; learns from all labels."""
+    """docs, all columns, without the documents that score ``threshold`` or more; learns from all labels.
+
+    Null texts and texts without a word stay, as nothing in them is toxic, and so does every
+    document if no weight was learnt. Repeated rows stay or go together; columns keep their names
+    and values; an empty table gives an empty one.
+    """
     s = fresh(docs, "score")
-    model = fit(docs, labels, F.lit(True))
-    return docs.withColumn(s, score_column(docs, model)).where(F.col(s) < threshold).drop(s)
+    at, w, bias = fit(docs, labels, F.lit(True))
+    if not len(at):
+        return docs
+    wordless = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[0-9A-Za-z\x{80}-\x{10FFFF}]")
+    return docs.withColumn(s, score_column(docs, (at, w, bias))).where(wordless | (F.col(s) < threshold)).drop(s)

@@ -14,6 +14,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.data import clashing, odd_documents, rows_of
@@ -239,6 +240,44 @@ def test_neighbours_against_brute_force(spark, monkeypatch):
     assert neighbours.search(df.where("vec_id in (0, 1, 2)")).count() == 2
 
 
+@pytest.mark.parametrize(("spread", "share"), [(0.05, 0.2), (1.0, 1.0)])
+def test_neighbours_rerank_few_rows_of_clusters(spark, monkeypatch, spread, share):
+    """Where vectors cluster, the bound leaves out most rows, and the first cells alone already find nine in ten."""
+    monkeypatch.setattr(neighbours, "RERANK", 300)
+    monkeypatch.setattr(neighbours, "CELL_ROWS", 64)
+    rng = np.random.default_rng(5)
+    x = np.repeat(rng.normal(size=(40, 16)), 100, axis=0) + spread * rng.normal(size=(4000, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    index, coded, _ = neighbours.build(df.select("vec_id", F.col("embedding").alias("v")), Scratch(spark, "share"))
+    assert index.rows.sum() == len(x) and coded.count() == len(x)
+    want, visited = {}, 0
+    for q in range(0, 4000, 100):
+        dist = np.sqrt(((x - x[q]) ** 2).sum(1))
+        dist[q] = np.inf
+        want[q] = set(np.argsort(dist)[:10].tolist())
+        a, b = (m[0] for m in index.distances(x[q : q + 1]))
+        cells = set(index.nearest_cells(a, b, 300)) | set(index.cells_within(a, b, np.sort(dist)[9], index.scale()))
+        visited += index.rows[sorted(cells)].sum()
+    assert visited / (40 * len(x)) <= share
+    for exact, recall in ((True, 1.0), (False, 0.9 if spread < 1 else 0.1)):
+        got = neighbours.search(df, exact=exact).collect()
+        assert sum(r["vec_id"] in want[r["query_id"]] for r in got) >= recall * 400
+
+
+def test_neighbours_of_repeated_rows(spark):
+    """Equal vectors under many ids, and one id with two vectors, against brute force over distinct rows."""
+    rng = np.random.default_rng(2)
+    x = [(i, [1.0, 2.0, 3.0, 4.0]) for i in range(300)] + [(300 + i, rng.normal(size=4).tolist()) for i in range(200)] + [(300, [1.0, 2.0, 3.0, 4.5]), (450, [1.0, 2.0, 3.0, 4.0]), (450, [1.0, 2.0, 3.0, 4.0])]
+    df = spark.createDataFrame(x, "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.search(df).collect():
+        got.setdefault(r["query_id"], []).append((r["score"], r["vec_id"]))
+    rows = sorted({(i, tuple(v)) for i, v in x})
+    for q in range(0, 500, 100):
+        pairs = {(float(np.sqrt(np.cumsum((np.array(v) - np.array(u)) ** 2)[-1])), j) for i, u in rows if i == q for j, v in rows if j != q}
+        assert sorted(got[q]) == sorted(pairs)[:10]
+
+
 def _png(x, kind):
     h, w = x.shape
     raw, prev = b"", np.zeros(w, dtype=int)

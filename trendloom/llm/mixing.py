@@ -15,8 +15,8 @@ from trendloom.plans.scratch import Scratch
 WEIGHTS = (5, 2, 1)
 #: Words of the mix over words of the input; times a source may be used at most.
 SHARE, CAP = 1.5, 2.0
-#: Words that are left to the dynamic programme; hash buckets that ranks are counted in.
-EXACT, BUCKETS = 65_536, 1024
+#: Bits of the reachable sums that one dynamic programme keeps; rows of a plan that may be broadcast, some 60 bytes each.
+BITS, PLAN_ROWS = 1 << 28, 1_000_000
 
 
 def size_of(text: str = "text") -> Column:
@@ -73,61 +73,86 @@ def subset_sum(lengths: list[int], counts: list[int], budget: int) -> list[int]:
     return take
 
 
+def _steps(count: int) -> int:
+    """Powers of two, and a rest, that subset_sum() splits a count into."""
+    return int(count).bit_length()
+
+
 def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many documents of each length fill the budget.
 
-    Beyond EXACT words, each length gives its share, rounded down, and then single documents in
-    order of the fraction cut off, while they fit; the last EXACT words or less are filled by
-    subset_sum().
+    A bounded knapsack finds the largest sum within it. Where its bit sets would take more than
+    BITS, each length first gives its share, rounded down, and only the rest is left to the
+    knapsack; if that is still too much, sums are counted in units, lengths rounded up, and
+    what the rounding leaves goes to another pass, in smaller units, until nothing is gained.
+    So the sum found is the best where BITS allow, and else short by less than one document.
     """
     lengths, counts = lengths.astype(np.int64), counts.astype(np.int64)
     total = int((lengths * counts).sum())
     budget = max(0, min(int(budget), total))
+    take = np.zeros(len(lengths), dtype=np.int64)
     if not total or not budget:
-        return np.zeros(len(lengths), dtype=np.int64)
-    exact = [int(c) * budget for c in counts]
-    take = np.array([e // total if budget > EXACT else 0 for e in exact], dtype=np.int64)
-    take[lengths == 0] = 0
-    left = budget - int((take * lengths).sum())
-    order = sorted(range(len(lengths)), key=lambda i: (-(exact[i] % total), int(lengths[i])))
-    changed = True
-    while left > EXACT and changed:
-        changed = False
-        for i in order:
-            if left > EXACT and 0 < lengths[i] <= left and take[i] < counts[i]:
-                take[i] += 1
-                left -= int(lengths[i])
-                changed = True
+        return take
+    steps = sum(_steps(c) for c, n in zip(counts, lengths, strict=True) if 0 < n <= budget)
+    if steps * budget > BITS:
+        take = np.array([int(c) * budget // total for c in counts], dtype=np.int64)
+        take[lengths == 0] = 0
     mixed_up = sorted(range(len(lengths)), key=lambda i: xxhash.xxh64_intdigest(str(int(lengths[i])), 5))  # else short ones would come first
-    small = [i for i in mixed_up if 0 < lengths[i] <= min(left, EXACT) and take[i] < counts[i]]
-    if small and left <= EXACT:
-        extra = subset_sum([int(lengths[i]) for i in small], [int(counts[i] - take[i]) for i in small], left)
-        take[small] += np.array(extra, dtype=np.int64)
+    while left := budget - int((take * lengths).sum()):
+        open_ = [i for i in mixed_up if 0 < lengths[i] <= left and take[i] < counts[i]]
+        unit = -(-sum(_steps(counts[i] - take[i]) for i in open_) * left // BITS) or 1
+        extra = subset_sum([-(-int(lengths[i]) // unit) for i in open_], [int(counts[i] - take[i]) for i in open_], left // unit) if open_ else []
+        if not open_ or (unit == 1 and not any(extra)):
+            break
+        if any(extra):
+            take[open_] += np.array(extra, dtype=np.int64)
+        else:  # what fits, just not in units
+            take[max(open_, key=lambda i: lengths[i])] += 1
     return take
 
 
-def with_copies(rows: DataFrame, source: str, size: str, doc_id: str, seed: int = 11) -> tuple[DataFrame, list[str]]:
-    """rows with four columns more: copies to take, the source's size, its target, its name as key.
+def aims(sizes: DataFrame, scratch: Scratch, share: float = SHARE, cap: float = CAP) -> DataFrame:
+    """(k, s, t): of each source (k, s) the words to take, as targets() gives them.
 
-    Documents are counted by source, size and hash bucket; the counts of a source by size
-    decide how many of that size get one copy more than the source's whole passes give. Which
-    ones follows from seeded hashes: a document's rank is the count of the buckets before its
-    own plus its rank within, so no task ranks a whole size, however common it is. Only the
-    sizes of sources, a row each, reach the driver.
+    There may be as many sources as web domains, so none reach the driver: they are numbered by
+    a sort of ranges, and the level up to which the mix fills them is found by aggregates, one
+    for each step in which further sources turn out to be full. Keys sort as sources do, "n",
+    the null source, last.
     """
-    spark = rows.sparkSession
-    scratch = Scratch(spark, "mixing")
-    names = [fresh(rows, c) for c in ("mix_copies", "mix_source_size", "mix_target", "mix_source", "mix_size", "mix_hash", "mix_bucket", "mix_rank")]
-    copies, source_size, target, key, length, hashed, bucket, rank = names
-    keyed = rows.withColumns({key: F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("n")), length: F.col(size), hashed: F.xxhash64(F.col(doc_id), F.lit(seed))})
-    keyed = keyed.withColumn(bucket, F.shiftrightunsigned(F.col(hashed), 54).cast("int"))
-    counted = keyed.groupBy(key, length, bucket).agg(F.count(F.lit(1)).alias("n"))
-    counts = scratch.save(counted.select(F.col(key).alias("k"), F.col(length).alias("l"), F.col(bucket).alias("b"), "n"), "counts")
-    sums = {r["k"]: int(r["s"]) for r in counts.groupBy("k").agg(F.sum(F.col("l") * F.col("n")).alias("s")).collect()}
-    want = targets({(None if k == "n" else k[1:]): s for k, s in sums.items()})
-    table = [(k, s, float(want[None if k == "n" else k[1:]])) for k, s in sums.items()]
-    aims = spark.createDataFrame(table, "k string, s long, t double")
-    by_size = counts.groupBy("k", "l").agg(F.sum("n").alias("n")).join(aims, "k")
+    order = [F.col("k") == "n", F.col("k")]
+    placed = scratch.save(sizes.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("i", F.monotonically_increasing_id()), "sources")
+    before, parts = 0, []
+    for r in placed.groupBy(F.shiftrightunsigned("i", 33).alias("p")).count().orderBy("p").collect():  # a row for each partition
+        parts += [F.lit(r["p"]), F.lit(before)]
+        before += r["count"]
+    if not parts:
+        return placed.select("k", "s", F.lit(0.0).alias("t"))
+    rank = F.create_map(*parts)[F.shiftrightunsigned("i", 33)] + F.col("i").bitwiseAND((1 << 33) - 1)
+    placed = placed.select("k", "s", F.element_at(F.array(*map(F.lit, WEIGHTS)), (rank % len(WEIGHTS)).cast("int") + 1).alias("w"))
+    level, full = 0.0, F.lit(False)
+    known = -1
+    while True:
+        got = placed.agg(F.sum("s").alias("all"), F.sum(F.when(full, F.col("s"))).alias("full"), F.sum(F.when(~full, F.col("w"))).alias("w"), F.count(F.when(full, 1)).alias("n")).first()
+        if not got["w"] or got["n"] == known:
+            break
+        known, level = got["n"], (share * got["all"] - cap * (got["full"] or 0)) / got["w"]
+        full = F.col("w") * level > cap * F.col("s")
+    return placed.select("k", "s", F.when(full, cap * F.col("s")).otherwise(F.col("w") * level).cast("double").alias("t"))
+
+
+def plan(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """(k, l, whole, cut, ties, take, s, t) of a table (k, l, h) of documents' sources, sizes and hashes.
+
+    A document is taken ``whole`` times, and once more if its hash is below ``cut``; of the
+    ``ties`` documents whose hash is just that, ``take`` are. Documents are counted by source,
+    size and bucket of the hash; the counts of a source by size fill its budget; only hashes of
+    the buckets where a count ends are looked at, summed up with map-side partials, so that no
+    task ranks a whole size, however common it is, nor the copies of one document. A task that
+    fills a budget holds the distinct sizes of one source.
+    """
+    bucket = F.shiftrightunsigned("h", 54).cast("int")
+    counts = scratch.save(rows.groupBy("k", "l", bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")), "counts")
+    aim = aims(counts.groupBy("k").agg(F.sum(F.col("l") * F.col("n")).alias("s")), scratch)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("l")
@@ -136,35 +161,79 @@ def with_copies(rows: DataFrame, source: str, size: str, doc_id: str, seed: int
         take = fit_budget(pdf["l"].to_numpy(), pdf["n"].to_numpy(), round(t - whole * s)) if s else np.zeros(len(pdf), dtype=np.int64)
         return pd.DataFrame({"k": pdf["k"], "l": pdf["l"], "whole": whole, "more": take, "s": s, "t": t})
 
-    fitted = by_size.groupBy("k").applyInPandas(fit, "k string, l long, whole int, more long, s long, t double")
-    before = Window.partitionBy("k", "l").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("k", "l", "b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    plan = scratch.save(offsets.join(fitted, ["k", "l"]), "plan")
-    plan = plan.select(F.col("k").alias(key), F.col("l").alias(length), F.col("b").alias(bucket), "before", "whole", "more", F.col("s").alias(source_size), F.col("t").alias(target))
-    plan = plan.select(key, length, bucket, F.col("before").alias(fresh(rows, "mix_before")), F.col("whole").alias(fresh(rows, "mix_whole")), F.col("more").alias(fresh(rows, "mix_more")), source_size, target)
-    within = Window.partitionBy(key, length, bucket).orderBy(F.col(hashed), F.col(doc_id))
-    ranked = keyed.withColumn(rank, F.row_number().over(within)).join(plan, [key, length, bucket])
-    more = (F.col(fresh(rows, "mix_before")) + F.col(rank) <= F.col(fresh(rows, "mix_more"))).cast("int")
-    out = ranked.withColumn(copies, F.when(F.col(length) > 0, F.col(fresh(rows, "mix_whole")) + more).otherwise(0))
-    return out.select(*rows.columns, copies, source_size, target), [copies, source_size, target]
+    by_size = counts.groupBy("k", "l").agg(F.sum("n").alias("n")).join(aim, "k")
+    fitted = scratch.save(by_size.groupBy("k").applyInPandas(fit, "k string, l long, whole int, more long, s long, t double"), "fitted")
+
+    def upto(at: str, *by: str):
+        return F.sum("n").over(Window.partitionBy(*by).orderBy(at))
+
+    ends = counts.withColumn("upto", upto("b", "k", "l")).join(fitted.where("more > 0").select("k", "l", "more"), ["k", "l"])
+    ends = scratch.save(ends.where("upto - n < more and more <= upto").select("k", "l", "b", (F.col("more") - F.col("upto") + F.col("n")).alias("more")), "ends")
+    hashes = rows.withColumn("b", bucket).join(ends, ["k", "l", "b"]).groupBy("k", "l", "b", "more", "h").agg(F.count(F.lit(1)).alias("n"))
+    cuts = hashes.withColumn("upto", upto("h", "k", "l", "b")).where("upto - n < more and more <= upto")
+    cuts = cuts.select("k", "l", F.col("h").alias("cut"), F.col("n").alias("ties"), (F.col("more") - F.col("upto") + F.col("n")).alias("take"))
+    return scratch.save(fitted.drop("more").join(cuts, ["k", "l"], "left"), "plan")
+
+
+def keyed(docs: DataFrame, seed: int = 11) -> tuple[DataFrame, list[str]]:
+    """docs with the columns of plan()'s rows, and their names: the source as key, the size, a hash of id and text."""
+    k, l, h = names = [fresh(docs, f"mix_{c}") for c in ("key", "size", "hash")]
+    key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
+    return docs.withColumns({k: key, l: size_of(), h: F.xxhash64("doc_id", "text", F.lit(seed))}), names
+
+
+def with_copies(rows: DataFrame, names: list[str], planned: DataFrame) -> tuple[DataFrame, list[str]]:
+    """rows with three columns more: copies to take, the source's size, its target.
+
+    The plan has a row for each source and size; up to PLAN_ROWS of them, by count, are
+    broadcast, so that rows, which may hold texts, needn't be shuffled. Rows of equal hash that
+    are not all taken are the only ones that are ranked.
+    """
+    k, l, h = names
+    small = planned.count() <= PLAN_ROWS
+    add = {c: fresh(rows, f"mix_{c}") for c in ("whole", "cut", "ties", "take", "s", "t", "copies", "rank")}
+    table = planned.select(F.col("k").alias(k), F.col("l").alias(l), *[F.col(c).alias(add[c]) for c in ("whole", "cut", "ties", "take", "s", "t")])
+    out = rows.join(F.broadcast(table) if small else table, [k, l])
+    tied = (F.col(h) == F.col(add["cut"])) & (F.col(add["take"]) < F.col(add["ties"]))
+    more = F.coalesce(F.col(h) <= F.col(add["cut"]), F.lit(False)).cast("int")
+    copies = lambda more: F.when(F.col(l) > 0, F.col(add["whole"]) + more).otherwise(0)
+    if planned.where("take < ties").isEmpty():
+        out = out.withColumn(add["copies"], copies(more))
+    else:
+        tied = F.coalesce(tied, F.lit(False))
+        rank = F.row_number().over(Window.partitionBy(k, l, h).orderBy("doc_id"))
+        some = out.where(tied).withColumn(add["rank"], rank)
+        some = some.withColumn(add["copies"], copies((F.col(add["rank"]) <= F.col(add["take"])).cast("int"))).drop(add["rank"])
+        out = out.where(~tied).withColumn(add["copies"], copies(more)).unionByName(some)
+    return out, [add["copies"], add["s"], add["t"]]
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """(doc_id, size, source_size, target, taken) of every row of docs; taken counts the words of each copy.
 
     Null texts have size 0 and are taken 0 times; a null source is a source, the last in
-    order. Ties of the hash go by id; repeated rows count each, and which of them is taken
-    once more is immaterial. Other columns are ignored whatever their names; an empty table
-    gives an empty one. Reruns agree, as everything follows from ids, sizes and sources.
+    order; long texts count whole. Which documents of a size are taken once more follows from
+    a seeded hash of id and text; of rows that repeat both, which one is immaterial. Other
+    columns are ignored whatever their names; an empty table gives an empty one. Reruns agree,
+    as everything follows from ids, texts and sources.
     """
-    rows = docs.select("doc_id", "source", size_of().alias("size"))
-    out, (copies, source_size, target) = with_copies(rows, "source", "size", "doc_id")
-    return out.select("doc_id", "size", F.col(source_size).alias("source_size"), F.col(target).alias("target"), (F.col("size") * F.col(copies)).cast("long").alias("taken"))
+    scratch = Scratch(docs.sparkSession, "mixing")
+    rows, (k, l, h) = keyed(docs.select("doc_id", "source", "text"))
+    slim = scratch.save(rows.select("doc_id", F.col(k).alias("k"), F.col(l).alias("l"), F.col(h).alias("h")), "slim")
+    out, (copies, source_size, target) = with_copies(slim, ["k", "l", "h"], plan(slim.select("k", "l", "h"), scratch))
+    return out.select("doc_id", F.col("l").alias("size"), F.col(source_size).alias("source_size"), F.col(target).alias("target"), (F.col("l") * F.col(copies)).cast("long").alias("taken"))
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """docs, all columns, each row as often as the mix takes it."""
-    size = fresh(docs, "size")
-    out, (copies, _, _) = with_copies(docs.withColumn(size, size_of()), "source", size, "doc_id")
-    once = fresh(docs, "copy")
+    """docs, all columns, each row as often as the mix takes it.
+
+    Null and empty texts are never taken; long ones count whole; ties, repeated rows and null
+    sources as in mix(). Texts are read twice, for their sizes and to be returned, but not
+    shuffled. Columns keep their names and values; an empty table gives an empty one.
+    """
+    scratch = Scratch(docs.sparkSession, "mixing")
+    rows, names = keyed(docs)
+    slim = scratch.save(rows.select(*[F.col(c).alias(n) for c, n in zip(names, "klh", strict=True)]), "slim")
+    out, (copies, _, _) = with_copies(rows, names, plan(slim, scratch))
+    once = fresh(out, "copy")
     return out.withColumn(once, F.explode(F.array_repeat(F.lit(1), F.col(copies).cast("int")))).select(*docs.columns)

@@ -126,6 +126,41 @@ def test_targets_and_budgets():
         assert sum(got * np.array(lengths)) <= budget and (got <= counts).all()
 
 
+def test_budgets_beyond_one_knapsack(monkeypatch):
+    """Few long documents are fitted exactly; with little room for bit sets the sum is short by less than one document."""
+    fit = lambda lengths, counts, budget: int((mixing.fit_budget(np.array(lengths), np.array(counts), budget) * np.array(lengths)).sum())
+    assert fit([70_000, 140_000], [1, 1], 140_000) == 140_000
+    assert fit([100_000, 150_000, 70_001], [3, 2, 1], 370_001) == 370_001
+    rng = np.random.default_rng(1)
+    lengths = np.unique(rng.integers(1, 200_000, 400))
+    counts = rng.integers(1, 9, len(lengths))
+    budget = int((lengths * counts).sum() // 3)
+    assert 0 <= budget - fit(lengths, counts, budget) < lengths.min()
+    monkeypatch.setattr(mixing, "BITS", 1 << 14)
+    assert 0 <= budget - fit(lengths, counts, budget) < lengths.max()
+
+
+def test_aims_of_many_sources(spark):
+    """The distributed level is that of the plain one, with null sources, empty sources and code points beyond 16 bits."""
+    rng = random.Random(3)
+    sizes = {f"d{i}" if i % 3 else chr(0xE000 + i) if i % 2 else chr(0x10000 + i): rng.choice((0, 1, 5, 1000, 10**9)) for i in range(500)} | {None: 77, "": 3}
+    df = spark.createDataFrame([("n" if k is None else "s" + k, s) for k, s in sizes.items()], "k string, s long")
+    got = {None if r["k"] == "n" else r["k"][1:]: r["t"] for r in mixing.aims(df.repartition(7), Scratch(spark, "aims")).collect()}
+    assert got == pytest.approx(mixing.targets(sizes))
+
+
+def test_mix_of_repeated_rows(spark):
+    """Rows that repeat id and text are taken as often as the plan says, and no other column decides."""
+    rows = [(i % 7, "a b c", "x") for i in range(70)] + [(100 + i, "w " * 4, "y") for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(docs).collect()
+    want = mixing.targets({"x": 210, "y": 36})
+    for ids, s, n in ((range(7), "x", 3), (range(100, 109), "y", 4)):
+        taken = sum(r["taken"] for r in got if r["doc_id"] in ids)
+        assert 0 <= want[s] - taken < n and all(r["taken"] in (0, n, 2 * n) for r in got if r["doc_id"] in ids)
+    assert mixing.mixed(docs).count() == sum(r["taken"] // r["size"] for r in got)
+
+
 def test_mixing_query(spark):
     d = "/root/testdata/sf0.01"
     docs = {r["doc_id"]: r for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
@@ -179,6 +214,31 @@ def test_warc(spark, tmp_path, compression):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_warc_appends_and_foreign_records(spark, tmp_path):
+    """Two writes to a folder keep each other's files; a record without an id doesn't pass a filter for one; codings are undone."""
+    path = f"file://{tmp_path}/w"
+    for i in (1, 2):
+        warc.archive(spark.createDataFrame([(i, "u", f"<p>{i}")], "page_id long, url string, html string"), path, Scratch(spark, "t"))
+    assert sorted(r["page_id"] for r in warc.read_back(spark, path).collect()) == [1, 2]
+    body = gzip.compress(b"hello world")
+    chunked = b"5\r\n" + body[:5] + b"\r\n" + f"{len(body) - 5:x}".encode() + b";x=1\r\n" + body[5:] + b"\r\n0\r\n\r\n"
+    block = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\nContent-Encoding: gzip\r\n\r\n" + chunked
+    head = b"WARC/1.0\r\nWARC-Type: response\r\nContent-Type: application/http\r\nContent-Length: %d\r\n\r\n" % len(block)
+    os.makedirs(tmp_path / "f")
+    (tmp_path / "f" / "x.warc").write_bytes(head + block + b"\r\n\r\n")
+    read = spark.read.format("warc").option("path", f"file://{tmp_path}/f").load()
+    assert [bytes(r["payload"]) for r in read.collect()] == [b"hello world"] and read.where("record_id is not null").count() == 0
+    assert read.where("record_type = 'response'").count() == 1
+
+
+def test_keep_one_of_differing_rows(spark):
+    rows = [(1, "a b c d e f g h", "x"), (1, "quite another text than the first one is", "y"), (1, "a b c d e f g h", "w"), (2, "a b c d e f g h", "x"), (3, None, "x"), (4, "", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = simhash.keep_one(docs)
+    assert sorted((r["doc_id"], r["text"]) for r in got.collect()) == [(1, "a b c d e f g h"), (1, "quite another text than the first one is"), (3, None)]
+    assert rows_of(got) == rows_of(simhash.keep_one(docs.orderBy(F.desc("source")).repartition(3)))
+
+
 def test_warc_pushes_filters_down():
     from pyspark.sql.datasource import EqualTo, GreaterThan, In
 
@@ -306,6 +366,22 @@ def test_media_decoders():
     assert (media.decode(_pgm(x)) == x).all() and media.decode(b"P5 x") is None and media.decode(b"") is None and media.decode(None) is None
 
 
+def test_media_png_palettes_depths_and_channels():
+    part = lambda k, b: struct.pack(">I", len(b)) + k + b + struct.pack(">I", zlib.crc32(k + b))
+    file = lambda w, h, depth, color, raw, extra=b"", laced=0: b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", w, h, depth, color, 0, 0, laced)) + extra + part(b"IDAT", zlib.compress(raw)) + part(b"IEND", b"")
+    rng = np.random.default_rng(3)
+    index, colors = rng.integers(0, 4, (5, 7)), rng.integers(0, 256, (4, 3))
+    packed = np.packbits(np.pad(((index[:, :, None] >> np.array([1, 0])) & 1).reshape(5, -1), ((0, 0), (0, 2))), axis=1)
+    raw = b"".join(b"\0" + r.astype(np.uint8).tobytes() for r in packed)
+    got = media.decode(file(7, 5, 2, 3, raw, part(b"PLTE", colors.astype(np.uint8).tobytes())))
+    assert np.allclose(got, colors[index].mean(axis=2))
+    assert (media.decode(file(7, 5, 2, 0, raw)) == index * 85).all()
+    rgb = rng.integers(0, 256, (5, 4, 3)).astype(np.uint8)
+    left = np.concatenate([np.zeros((5, 1, 3), dtype=np.uint8), rgb[:, :-1]], axis=1)
+    assert np.allclose(media.decode(file(4, 5, 8, 2, b"".join(b"\1" + r.tobytes() for r in rgb - left))), rgb.astype(float).mean(axis=2))
+    assert media.decode(file(4, 5, 8, 2, b"", laced=1)) is None and media.decode(file(4, 5, 16, 0, b"")) is None
+
+
 def test_media_finds_crops_and_edits(spark):
     rng = np.random.default_rng(11)
     side = lambda v: np.kron(np.clip(128 + 50 * v, 0, 255), np.ones((8, 8)))

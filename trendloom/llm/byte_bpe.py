@@ -170,6 +170,8 @@ class Codec:
                 else:
                     last = [-1]
                     self.extend(last, data.decode("latin-1"))
+                    if len(last) <= len(data):
+                        raise ValueError(f"no token ends at byte {len(last)} of {data!r}")
                     found = tuple(self.walk(last))
             if len(piece) <= 64:
                 if len(self._pieces) >= CACHE_PIECES // 2:
@@ -207,8 +209,10 @@ def codec(path: str, pattern: str) -> Codec:
 def encode_table(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids]) of every row of docs, text encoded whole and decoded again.
 
-    A null or empty text has no tokens and the digests of nothing. Repeated rows give the same
-    row each; other columns are ignored whatever their names; an empty table gives an empty one.
+    A null or empty text has no tokens and the digests of nothing. Long texts are encoded whole,
+    one after the other. A vocabulary that lacks a byte of a text is an error. Repeated rows give
+    the same row each; other columns are ignored whatever their names; an empty table gives an
+    empty one.
     """
     bounded_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -36,7 +36,7 @@ _DY, _DX = np.array(_DISC).T
 
 
 def decode(data: bytes | None) -> np.ndarray | None:
-    """Grey values of an image in binary PGM or PPM, or in PNG with 8 bits a channel, not interlaced; else None."""
+    """Grey values of an image in binary PGM or PPM, or in PNG with up to 8 bits a channel, palettes included, not interlaced; else None."""
     try:
         if data is None:
             return None
@@ -53,42 +53,60 @@ def decode(data: bytes | None) -> np.ndarray | None:
 
 
 def _decode_png(data: bytes) -> np.ndarray | None:
-    at, body, head = 8, b"", None
+    at, body, head, palette = 8, [], None, b""
     while at < len(data):
         n, kind = struct.unpack(">I4s", data[at : at + 8])
         part = data[at + 8 : at + 8 + n]
         if kind == b"IHDR":
             head = struct.unpack(">IIBBBBB", part)
+        elif kind == b"PLTE":
+            palette = part
         elif kind == b"IDAT":
-            body += part
+            body.append(part)
         at += 12 + n
     w, h, depth, color, _, _, interlaced = head
-    c = {0: 1, 2: 3, 4: 2, 6: 4}[color]
-    if depth != 8 or interlaced:
+    c = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[color]
+    if depth > 8 or interlaced:
         return None
-    raw = np.frombuffer(zlib.decompress(body), dtype=np.uint8).reshape(h, 1 + w * c)
-    out = np.zeros((h + 1, (w + 1) * c), dtype=np.int64)  # a row above and a pixel before it are zero
+    step = max(1, c * depth // 8)  # bytes from a pixel to the next
+    width = (w * c * depth + 7) // 8
+    raw = np.frombuffer(zlib.decompress(b"".join(body)), dtype=np.uint8).reshape(h, 1 + width)
+    out = np.zeros((h, width), dtype=np.uint8)
+    up = np.zeros(width, dtype=np.uint8)
     for y in range(h):
-        kind, line, up = raw[y, 0], raw[y, 1:].astype(np.int64), out[y]
-        if kind == 0:
-            out[y + 1, c:] = line
-        elif kind == 2:
-            out[y + 1, c:] = (line + up[c:]) & 255
-        else:
-            for i in range(w * c):
-                left, above, corner = out[y + 1, i], up[i + c], up[i]
-                if kind == 1:
-                    guess = left
-                elif kind == 3:
-                    guess = (left + above) // 2
-                else:
-                    p = left + above - corner
-                    guess = min((left, above, corner), key=lambda v, p=p: abs(p - v))
-                out[y + 1, i + c] = (line[i] + guess) & 255
-    x = out[1:, c:].reshape(h, w, c).astype(np.float32)
+        up = out[y] = _unfilter(int(raw[y, 0]), raw[y, 1:], up, step)
+    if depth < 8:
+        bits = np.unpackbits(out, axis=1).reshape(h, -1, depth)[:, :w] @ (1 << np.arange(depth)[::-1])
+        out = bits if color == 3 else bits * 255 // ((1 << depth) - 1)
+    if color == 3:
+        return np.frombuffer(palette, dtype=np.uint8).reshape(-1, 3)[out.astype(int)].astype(np.float32).mean(axis=2)
+    x = out.reshape(h, w, c).astype(np.float32)
     return x[:, :, : 3 if c >= 3 else 1].mean(axis=2)
 
 
+def _unfilter(kind: int, line: np.ndarray, up: np.ndarray, step: int) -> np.ndarray:
+    """A line of bytes with its PNG filter undone. Filters 3 and 4 need each byte's left one first, so they loop over plain integers."""
+    if kind == 0:
+        return line
+    if kind == 2:
+        return line + up
+    if kind == 1:
+        padded = np.append(line, np.zeros(-len(line) % step, dtype=np.uint8)).reshape(-1, step)
+        return np.cumsum(padded, axis=0, dtype=np.uint8).ravel()[: len(line)]
+    out, above, data = [0] * step, [0] * step + up.tolist(), line.tolist()
+    if kind == 3:
+        for i, v in enumerate(data):
+            out.append((v + (out[i] + above[i + step]) // 2) & 255)
+    elif kind == 4:
+        for i, v in enumerate(data):
+            a, b, c = out[i], above[i + step], above[i]
+            pa_, pb, pc = abs(b - c), abs(a - c), abs(a + b - 2 * c)
+            out.append((v + (a if pa_ <= pb and pa_ <= pc else b if pb <= pc else c)) & 255)
+    else:
+        raise ValueError(f"filter {kind}")
+    return np.array(out[step:], dtype=np.uint8)
+
+
 def resize(x: np.ndarray, by: float) -> np.ndarray:
     """Bilinear."""
     if by == 1.0:
@@ -273,13 +291,17 @@ def image_links(rows: DataFrame, signatures: DataFrame, scratch: Scratch, rounds
 
 
 def signature_column(image: Column, docs: DataFrame) -> Column:
-    """struct(content string, signature binary) of encoded images."""
+    """struct(content string, signature binary, decoded boolean) of encoded images; all null for null but the signature."""
     bounded_batches(docs.sparkSession)
 
-    @F.pandas_udf("content string, signature binary")
+    @F.pandas_udf("content string, signature binary, decoded boolean")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for images in batches:
-            yield pd.DataFrame([(None if data is None else hashlib.sha256(data).hexdigest(), describe(decode(data))) for data in images], columns=["content", "signature"])
+            rows = []
+            for data in images:
+                x = decode(data)
+                rows.append((None if data is None else hashlib.sha256(data).hexdigest(), describe(x), None if data is None else x is not None))
+            yield pd.DataFrame(rows, columns=["content", "signature", "decoded"])
 
     return run(image)
 
@@ -295,20 +317,20 @@ def key_column(signature: str) -> Column:
 
 
 def copies(images: DataFrame, image: Column | None = None) -> DataFrame:
-    """(image_id, corners, class_id, linked) of every row of images (image_id, image).
+    """(image_id, corners, class_id, linked, decoded) of every row of images (image_id, image).
 
     Equal bytes are one class. Different images are linked if a matching corner of theirs shares a key
     of a Hamming table and one similarity transform explains INLIERS of their matching corners; class_id is
     the smallest image_id reachable, linked whether the class has an image of other bytes.
-    Nulls and bytes that can't be decoded have no corners; undecodable bytes are still equal
-    to equal bytes, a null is equal to nothing and its class is its own id. Rows without an id
+    Nulls and bytes that can't be decoded have no corners, and decoded says null and false;
+    images are decoded one at a time; undecodable bytes are still equal to equal bytes, a null is equal to nothing and its class is its own id. Rows without an id
     are linked by their bytes only. Repeated rows are returned each; other columns are ignored
     whatever their names; an empty table gives an empty one.
     """
     scratch = Scratch(images.sparkSession, "media")
     made = signature_column(F.col("image") if image is None else image, images)
     marked = scratch.save(images.select(F.col("image_id").cast("long").alias("image_id"), made.alias("m")).select("image_id", "m.*"), "signatures")
-    groups = marked.where("content is not null").groupBy("content").agg(F.min("image_id").alias("id"), F.max("signature").alias("signature"))
+    groups = marked.where("content is not null").groupBy("content").agg(F.min("image_id").alias("id"), F.any_value("signature").alias("signature"))
     groups = scratch.save(groups, "distinct")
     rows = groups.where("id is not null").select("id", F.posexplode(key_column("signature")).alias("corner", "key")).select("id", "corner", F.explode("key").alias("bucket"))
     links = scratch.save(image_links(rows, groups.where("id is not null").select("id", "signature"), scratch), "links")
@@ -316,7 +338,7 @@ def copies(images: DataFrame, image: Column | None = None) -> DataFrame:
     named = groups.select("content", "id").join(parts, "id", "left").select("content", F.coalesce("component", "id").alias("class_id"), F.col("component").isNotNull().alias("linked"))
     out = marked.join(named, "content", "left")
     size = _CORNER.itemsize
-    return out.select("image_id", (F.octet_length("signature") / size).cast("int").alias("corners"), F.when(F.col("content").isNull(), F.col("image_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("linked", F.lit(False)).alias("linked"))
+    return out.select("image_id", (F.octet_length("signature") / size).cast("int").alias("corners"), F.when(F.col("content").isNull(), F.col("image_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("linked", F.lit(False)).alias("linked"), "decoded")
 
 
 def mosaic(vector: np.ndarray | None, cell: int = 8, gain: float = 400.0) -> bytes | None:

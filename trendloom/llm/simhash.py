@@ -11,6 +11,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from trendloom.llm.common import bounded_batches, fresh
 from trendloom.operators.components import connected_components
@@ -202,8 +203,8 @@ def near_components(docs: DataFrame, scratch: Scratch | None = None) -> DataFram
     Rows whose fingerprints differ in at most three bits are linked; component_id is the
     smallest id reachable, the row's own included (null only if a component has no id).
     Null and empty texts have fingerprint 0 and are linked like any others; repeated rows are
-    linked with each other and returned each; other columns are ignored whatever their names;
-    an empty table gives an empty one.
+    linked with each other and returned each; texts are read whole however long; other columns
+    are ignored whatever their names; an empty table gives an empty one.
     """
     scratch = scratch or Scratch(docs.sparkSession, "simhash")
     marked = scratch.save(docs.select("doc_id", fingerprint_column(docs).alias("fp")), "fingerprints")
@@ -223,8 +224,11 @@ def keep_one(docs: DataFrame, similar: Callable[[DataFrame, DataFrame, Scratch],
     ``similar`` may join components further: from docs and (doc_id, component_id) it gives
     (node, component) of those that it joins.
 
-    Rows that repeat an id count as one document, so one of them stays. Rows without an id
-    can't be told apart and stay.
+    Rows that repeat an id are told apart by their texts: of such a row's component's rows
+    with that id, each different text stays once, the row whose columns hash least. Rows
+    without an id can't be told apart and stay. Null and empty texts are near-duplicates of
+    each other; texts are read whole however long; columns keep their names and values; an
+    empty table gives an empty one.
     """
     scratch = Scratch(docs.sparkSession, "simhash-keep")
     found = near_components(docs, scratch)
@@ -236,5 +240,8 @@ def keep_one(docs: DataFrame, similar: Callable[[DataFrame, DataFrame, Scratch],
     once = kept.where("n = 1").select("doc_id")
     out = docs.join(once, "doc_id", "left_semi")
     if not kept.where("n > 1").isEmpty():
-        out = out.unionByName(docs.join(kept.where("n > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+        digest, rank = fresh(docs, "digest"), fresh(docs, "rank")
+        some = docs.join(kept.where("n > 1").select("doc_id"), "doc_id", "left_semi").withColumn(digest, F.sha2("text", 256))
+        w = Window.partitionBy("doc_id", digest).orderBy(F.sha2(F.to_json(F.struct(*docs.columns)), 256))
+        out = out.unionByName(some.withColumn(rank, F.row_number().over(w)).where(F.col(rank) == 1).select(*docs.columns))
     return out.unionByName(docs.where(F.col("doc_id").isNull()))

@@ -33,7 +33,8 @@ FIELDS = {
 }
 LENGTH = "WARC-Payload-Length"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-MANIFEST = "_manifest.json"
+#: Each write adds a list of its files, of a name of its own, so that no two writes overwrite each other's.
+MANIFEST = re.compile(r"_manifest-[0-9a-f]+\.json")
 ROLL_BYTES, BATCH_RECORDS, BATCH_BYTES = 128 << 20, 512, 16 << 20
 
 
@@ -113,8 +114,29 @@ class _Stream:
             n -= k
 
 
-def read_records(stream: _Stream, wanted: list[tuple[str, frozenset]], payloads: bool) -> Iterator[tuple]:
-    """Rows of SCHEMA. A record's header decides whether its block is read or skipped."""
+def http_payload(block: bytes) -> bytes:
+    """The body of an HTTP message, chunks joined and gzip or deflate undone; as it stands if that fails or the coding is another."""
+    head, _, body = block.partition(b"\r\n\r\n")
+    fields = dict(re.findall(r"(?m)^([\w-]+):[ \t]*([^\r\n]*?)[ \t]*\r?$", head.decode("latin-1").lower()))
+    try:
+        if fields.get("transfer-encoding", "").endswith("chunked"):
+            at, parts = 0, []
+            while (end := body.index(b"\r\n", at)) and (n := int(body[at:end].split(b";")[0], 16)):
+                parts.append(body[end + 2 : end + 2 + n])
+                at = end + 4 + n
+            body = b"".join(parts)
+        coding = fields.get("content-encoding")
+        if coding in ("gzip", "x-gzip"):
+            return zlib.decompress(body, 31)
+        if coding == "deflate":
+            return zlib.decompress(body, 15 if body[:1] == b"\x78" else -15)
+    except (ValueError, zlib.error):
+        pass
+    return body
+
+
+def read_records(stream: _Stream, wanted: list[tuple[str, frozenset]], payloads: bool, present: Iterable[str] = ()) -> Iterator[tuple]:
+    """Rows of SCHEMA with one of the wanted values in each column named, none null in ``present``. A record's header decides whether its block is read or skipped."""
     columns = {field.lower(): c for c, field in FIELDS.items()}
     while first := stream.line():
         if not first.strip():
@@ -127,7 +149,7 @@ def read_records(stream: _Stream, wanted: list[tuple[str, frozenset]], payloads:
             head[name.strip().lower()] = value.strip()
         length = int(head["content-length"])
         row = {c: head.get(f) for f, c in columns.items()}
-        if not all(row[c] in values for c, values in wanted):
+        if not all(row[c] in values for c, values in wanted) or any(row[c] is None for c in present):
             stream.skip(length)
             continue
         n = int(head[LENGTH.lower()]) if LENGTH.lower() in head else None
@@ -135,7 +157,7 @@ def read_records(stream: _Stream, wanted: list[tuple[str, frozenset]], payloads:
         if payloads and row["record_type"] != "revisit":
             block = stream.read(length)
             if "application/http" in (row["content_type"] or ""):
-                payload = block[block.find(b"\r\n\r\n") + 4 :]
+                payload = http_payload(block)
             else:
                 payload = block
             n = len(payload)
@@ -149,6 +171,16 @@ class ArchiveFile(InputPartition):
     path: str
 
 
+def manifests(fs: pa.fs.FileSystem, folder: str) -> dict[str, list[str]]:
+    """The files that each write to a folder listed, by the list's name."""
+    out = {}
+    for i in fs.get_file_info(pa.fs.FileSelector(folder, allow_not_found=True)):
+        if MANIFEST.fullmatch(i.base_name):
+            with fs.open_input_stream(f"{folder}/{i.base_name}") as f:
+                out[i.base_name] = json.loads(f.read())
+    return out
+
+
 class WarcReader(DataSourceReader):
     """A partition for each archive file; record types and header values are pushed down to the header parser."""
 
@@ -156,6 +188,7 @@ class WarcReader(DataSourceReader):
         self.path = options["path"]
         self.payloads = str(options.get("payload", "true")).lower() == "true"
         self.wanted: list[tuple[str, frozenset]] = []
+        self.present: list[str] = []
 
     def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
         for f in filters:
@@ -164,17 +197,16 @@ class WarcReader(DataSourceReader):
                 self.wanted.append((name, frozenset([f.value])))
             elif isinstance(f, In) and name in FIELDS:
                 self.wanted.append((name, frozenset(v for v in f.value if v is not None)))
-            elif isinstance(f, IsNotNull) and name in ("record_type", "record_id"):
-                pass  # every record has them
+            elif isinstance(f, IsNotNull) and name in FIELDS:
+                self.present.append(name)
             else:
                 yield f
 
     def partitions(self) -> list[ArchiveFile]:
         fs, folder = _open_folder(self.path)
-        listed = f"{folder}/{MANIFEST}"
-        if fs.get_file_info(listed).type == pa.fs.FileType.File:
-            with fs.open_input_stream(listed) as f:
-                names = json.loads(f.read())
+        listed = manifests(fs, folder)
+        if listed:
+            names = [n for kept in listed.values() for n in kept]
         else:
             names = [i.base_name for i in fs.get_file_info(pa.fs.FileSelector(folder)) if i.base_name.endswith((".warc", ".warc.gz"))]
         return [ArchiveFile(n) for n in sorted(names)]
@@ -187,7 +219,7 @@ class WarcReader(DataSourceReader):
         types = [*[pa.string()] * len(FIELDS), pa.int64(), pa.binary()]
         rows, size = [], 0
         with fs.open_input_file(f"{folder}/{partition.path}") as f:
-            for r in read_records(_Stream(io.BufferedReader(f, 1 << 20), partition.path.endswith(".gz")), self.wanted, self.payloads):
+            for r in read_records(_Stream(io.BufferedReader(f, 1 << 20), partition.path.endswith(".gz")), self.wanted, self.payloads, self.present):
                 rows.append(r)
                 size += len(r[-1] or b"")
                 if len(rows) >= BATCH_RECORDS or size >= BATCH_BYTES:
@@ -235,15 +267,12 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages: list[Written | None]) -> None:
         fs, folder = _open_folder(self.path)
         fs.create_dir(folder, recursive=True)
-        listed, names = f"{folder}/{MANIFEST}", [n for m in messages if m is not None for n in m.names]
-        old = []
-        if fs.get_file_info(listed).type == pa.fs.FileType.File:
-            with fs.open_input_stream(listed) as f:
-                old = json.loads(f.read())
-        with fs.open_output_stream(listed, compression=None) as f:
-            f.write(json.dumps(sorted(names if self.overwrite else [*old, *names])).encode())
-        if self.overwrite:
-            for n in old:
+        old = manifests(fs, folder) if self.overwrite else {}
+        with fs.open_output_stream(f"{folder}/_manifest-{uuid.uuid4().hex}.json", compression=None) as f:
+            f.write(json.dumps(sorted(n for m in messages if m is not None for n in m.names)).encode())
+        for listed, names in old.items():
+            fs.delete_file(f"{folder}/{listed}")
+            for n in names:
                 fs.delete_file(f"{folder}/{n}")
 
     def abort(self, messages: list[Written | None]) -> None:
@@ -329,7 +358,8 @@ def read_back(spark: SparkSession, path: str) -> DataFrame:
 def round_trip(pages: DataFrame) -> DataFrame:
     """Writes pages to an archive in the shared folder and reads it back, as read_back() does.
 
-    A null html is an empty payload; a null url becomes about:blank. Rows that repeat the
+    A null html is an empty payload; a null url becomes about:blank; long pages are whole
+    records, one at a time in memory. Rows that repeat the
     smallest page_id of their payload are responses all; a null page_id is never the smallest
     and stays null. Other columns are ignored whatever their names; an empty table gives an
     empty one.

@@ -51,6 +51,20 @@ def plain_components(ids, fps, radius=3):
     return [low[find(k)] for k in range(len(ids))]
 
 
+def plain_near(ids, texts):
+    """Smallest id reachable by fingerprints within three bits or five-word shingles of Jaccard similarity 0.8, over all pairs."""
+    label = plain_components(ids, [plain_fingerprint(t) for t in texts])
+    words = [(t or "").encode("utf-8", "replace").lower().split() for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+    for i in range(len(ids)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and both >= 0.8 * (len(sets[i]) + len(sets[j]) - both) and label[i] != label[j]:
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    return label
+
+
 def test_simhash_odd_rows(spark):
     docs = odd_documents(spark)
     got = simhash.near_components(docs)
@@ -496,7 +510,7 @@ def test_pipeline_against_its_parts(spark):
     toxic = lambda t: 1 / (1 + np.exp(-(sum(weight.get(k, 0.0) for k in toxicity.features(t).tolist()) + bias)))
     left = {i: r for i, r in left.items() if toxic(r["text"]) < 0.3}
     ids = sorted(left)
-    part = plain_components(ids, [plain_fingerprint(left[i]["text"]) for i in ids])
+    part = plain_near(ids, [left[i]["text"] for i in ids])
     left = {i: left[i] for i, c in zip(ids, part, strict=True) if i == c}
     sizes = {i: len(re.findall(r"[^\x20\x09-\x0D]+", r["text"])) for i, r in left.items()}
     got = corpus_pipeline.run(spark, d).collect()

@@ -150,7 +150,7 @@ def plan(rows: DataFrame, scratch: Scratch) -> DataFrame:
     task ranks a whole size, however common it is, nor the copies of one document. A task that
     fills a budget holds the distinct sizes of one source.
     """
-    bucket = F.shiftrightunsigned("h", 54).cast("int")
+    bucket = F.shiftright("h", 53).cast("int")
     counts = scratch.save(rows.groupBy("k", "l", bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")), "counts")
     aim = aims(counts.groupBy("k").agg(F.sum(F.col("l") * F.col("n")).alias("s")), scratch)
 
@@ -176,10 +176,10 @@ def plan(rows: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def keyed(docs: DataFrame, seed: int = 11) -> tuple[DataFrame, list[str]]:
-    """docs with the columns of plan()'s rows, and their names: the source as key, the size, a hash of id and text."""
+    """docs with the columns of plan()'s rows, and their names: the source as key, the size, a hash of id and text of 63 bits."""
     k, l, h = names = [fresh(docs, f"mix_{c}") for c in ("key", "size", "hash")]
     key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
-    return docs.withColumns({k: key, l: size_of(), h: F.xxhash64("doc_id", "text", F.lit(seed))}), names
+    return docs.withColumns({k: key, l: size_of(), h: F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.lit(seed)), 1)}), names
 
 
 def with_copies(rows: DataFrame, names: list[str], planned: DataFrame) -> tuple[DataFrame, list[str]]:

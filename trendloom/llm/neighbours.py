@@ -253,7 +253,7 @@ def search(embeddings: DataFrame, every: int = 100, k: int = 10, exact: bool = T
     sizes = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     rows = rows.where(F.size("v") == (sizes["n"] if sizes else 0))
     index, coded, d = build(distinct_rows(rows, k, scratch), scratch)
-    queries = coded.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "v")
+    queries = scratch.save(rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "v").distinct(), "queries")
     probe, scale = RERANK, index.scale()
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

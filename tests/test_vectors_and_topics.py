@@ -136,10 +136,113 @@ def test_top_k_join_agrees_with_matrix(spark, sf, monkeypatch):
     ranked = C.top_k(v, labels, 2)
     assert sorted((r["doc_id"], r["rank"], r["topic"], round(r["sim"], 7)) for r in ranked.collect()) == fast
     plan = ranked._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in plan and "Python" not in plan
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert C.top_k(v, labels, 0).count() == 0
 
 
+@pytest.mark.parametrize("cells", [20_000_000, 8, 0])
+def test_parts_of_a_matrix_agree_on_nulls_ties_and_repeats(spark, monkeypatch, cells):
+    """However many parts the matrix comes in: rows without a vector go, repeated rows stay, ties go to the smaller topic or label."""
+    monkeypatch.setattr(C, "MATRIX_CELLS", cells)
+    docs = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, None), (3, [1.0, 1.0]), (3, [1.0, 1.0]), (4, [-1.0, 0.0])], "doc_id int, embedding array<double>")
+    cents = spark.createDataFrame([(7, [1.0, 0.0]), (2, [0.0, 1.0]), (9, [1.0, 0.0]), (5, [-1.0, 0.0]), (4, [0.6, 0.8])], "topic int, centroid array<double>")
+    got = sorted((r["doc_id"], r["best_topic"], r["best_sim"], r["second_sim"]) for r in C.top_two(docs, cents, ["doc_id"]).collect())
+    assert got == [(1, 2, 1.0, 0.8), (1, 7, 1.0, 1.0), (3, 4, 0.989949493661, 0.707106781187), (3, 4, 0.989949493661, 0.707106781187), (4, 5, 1.0, 0.0)]
+    labels = cents.select(F.col("topic").alias("name"), F.col("centroid").alias("embedding"))
+    ranks = sorted((r["doc_id"], r["rank"], r["name"]) for r in C.top_k(docs, labels, 3).collect())
+    assert ranks == sorted([(1, 1, 7), (1, 2, 9), (1, 3, 4), (1, 1, 2), (1, 2, 4), (1, 3, 5), *[(3, 1, 4), (3, 2, 2), (3, 3, 7)] * 2, (4, 1, 5), (4, 2, 2), (4, 3, 4)])
+    pairs = sorted((r["a"], r["b"], r["sim"]) for r in C.near_pairs(labels, 0.6, "name").collect())
+    assert pairs == [(2, 4, 0.8), (4, 7, 0.6), (4, 9, 0.6), (7, 9, 1.0)]
+
+
+@pytest.mark.parametrize("cells", [20_000_000, 8])
+def test_silhouette_against_pairs(spark, monkeypatch, cells):
+    monkeypatch.setattr(C, "MATRIX_CELLS", cells)
+    rng = np.random.default_rng(3)
+    x, topic = rng.normal(size=(40, 4)), np.r_[np.repeat([0, 1, 2], 13), 5]
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    d = 1 - u @ u.T
+    want = []
+    for i in range(40):
+        own = (topic == topic[i]) & (np.arange(40) != i)
+        b = min(d[i][topic == t].mean() for t in set(topic.tolist()) - {topic[i]})
+        want.append((b - d[i][own].mean()) / max(b, d[i][own].mean()) if own.any() else 0.0)
+    df = spark.createDataFrame([(i, int(t), v.tolist()) for i, (t, v) in enumerate(zip(topic, x, strict=True))] + [(99, -1, [1.0] * 4), (98, 1, None)], "doc_id int, topic int, embedding array<double>")
+    got = C.silhouette(df).first()
+    assert got["docs"] == 40 and got["silhouette"] == pytest.approx(np.mean(want))
+    assert C.silhouette(df.where("topic = 1")).count() == 0
+
+
+def plain_coherence(docs, words, window):
+    """c_npmi and c_v of one topic's words over explicit windows."""
+    import math
+    import re
+
+    windows = []
+    for t in docs:
+        ts = re.findall(r"[a-z0-9]+(?:[-_][a-z0-9]+)*", (t or "").lower())
+        windows += [set(ts[i : i + window]) for i in range(max(1, len(ts) - window + 1))]
+    n = len(windows)
+    p = lambda *ws: sum(all(w in s for w in ws) for s in windows) / n
+
+    def score(a, b):
+        if a == b:
+            return 1.0
+        both = p(a, b)
+        if both == 0:
+            return -1.0
+        return math.log((both + 1e-12) / (p(a) * p(b))) / -math.log(both + 1e-12)
+
+    pairs = [score(a, b) for i, a in enumerate(words) for b in words[i + 1 :]]
+    vectors = np.array([[score(a, b) for b in words] for a in words])
+    total = vectors.sum(0)
+    return np.mean(pairs), np.mean([v @ total / (np.linalg.norm(v) * np.linalg.norm(total)) for v in vectors])
+
+
+@pytest.mark.parametrize("listed", [20_000, 0])
+def test_coherence_against_windows(spark, monkeypatch, listed):
+    from trendloom.operators import keywords as K
+
+    monkeypatch.setattr(K, "LITERAL_WORDS", listed)
+    rng = np.random.default_rng(4)
+    vocabulary = [f"w{i}" for i in range(12)] + ["a-b", "x_1"]
+    docs = [" ".join(rng.choice(vocabulary, int(n))) for n in (3, 50, 7, 25, 1, 80)] + ["W1, w2! w1", None, ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(docs)], "doc_id int, text string")
+    kws = spark.createDataFrame([(0, "w1"), (0, "w2 a-b"), (0, "x_1"), (1, "w3"), (1, "w4"), (2, "w5"), (3, "nowhere"), (3, "w1")], "topic int, term string")
+    got = {r["topic"]: r for r in K.coherence(df, kws, window=6).collect()}
+    assert sorted(got) == [0, 1] and got[0]["words"] == 4
+    for t, ws in ((0, ["a-b", "w1", "w2", "x_1"]), (1, ["w3", "w4"])):
+        npmi, cv = plain_coherence(docs, ws, 6)
+        assert got[t]["c_npmi"] == pytest.approx(npmi, abs=1e-6) and got[t]["c_v"] == pytest.approx(cv, abs=1e-6)
+
+
+def test_ctfidf_by_hand(spark):
+    from collections import Counter
+
+    from trendloom.operators import keywords as K
+
+    docs = [(0, "aa bb aa cc"), (0, "aa dd"), (1, "bb bb ee aa"), (1, None), (-1, "zz zz aa"), (2, "ff ff")]
+    df = spark.createDataFrame(docs, "topic int, text string")
+    per, seen = {}, Counter()
+    for t, text in docs:
+        if t != -1:
+            ws = (text or "").split()
+            terms = ws + [f"{a} {b}" for a, b in zip(ws, ws[1:], strict=False)]
+            per.setdefault(t, Counter()).update(terms)
+            seen.update(set(terms))
+    counted = {(r["topic"], r["term"]): (r["tf"], r["df"]) for r in K.term_counts(df).collect()}
+    assert {k: v[0] for k, v in counted.items()} == {(t, w): n for t, c in per.items() for w, n in c.items()}
+    assert sum(v[1] for k, v in counted.items() if k[1] == "aa") == seen["aa"] == 3
+    got = {(r["topic"], r["term"]): r["score"] for r in K.ctfidf(df, 5, 2).collect()}
+    kept = {w for w, n in seen.items() if n >= 2}
+    topics = [t for t in per if any(w in kept for w in per[t])]
+    for (t, w), score in got.items():
+        spread = sum(w in per[u] for u in per)
+        share = per[t][w] / sum(n for v, n in per[t].items() if v in kept)
+        assert score == pytest.approx(share * (np.log((1 + len(topics)) / (1 + spread)) + 1))
+    assert {w for _, w in got} == kept
+
+
 def test_pushdown_reaches_the_scan(spark, sf):
     from trendloom.plans.catalog import QUERIES
 

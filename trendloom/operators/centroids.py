@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from trendloom.functions.vectors import EPS, clip, cosine_distance, dot, unit
+from trendloom.plans.scratch import Scratch
 
-#: Centroids x components that may be broadcast as one matrix; beyond, scores come from a join.
+#: Rows x components of a matrix that is broadcast at once; larger tables come in parts of that size, one after the other.
 MATRIX_CELLS = 20_000_000
 
 
@@ -30,88 +31,106 @@ def centroids(docs: DataFrame, by: list[str], least: int = 1, normalise: bool =
     return means.select(*by, "n", unit(vector_to_array("_m")).alias("centroid"))
 
 
+def _parts(table: DataFrame, key: str, vector: str) -> Iterator[pa.Table]:
+    """A table's rows on the driver, MATRIX_CELLS cells at a time, about, by hash of the key; none if it is empty."""
+    size = table.agg(F.count(F.lit(1)).alias("k"), F.max(F.size(vector)).alias("d")).first()
+    n = min(size["k"], -(-size["k"] * max(1, size["d"] or 0) // max(1, MATRIX_CELLS)))
+    for i in range(n):
+        part = (table.where(F.pmod(F.xxhash64(key), F.lit(n)) == i) if n > 1 else table).orderBy(key).toArrow()
+        if part.num_rows:
+            yield part
+
+
+def _unit_rows(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    x = np.array(column.to_pylist(), dtype=float).reshape(len(column), -1)
+    return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), EPS)
+
+
+def _schema(df: DataFrame, columns: list[str]) -> str:
+    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
+
+
 def top_two(docs: DataFrame, cents: DataFrame, keep: list[str], vector: str = "embedding", single_margin: float = 1.0) -> DataFrame:
-    """(keep..., best_topic, best_sim, second_sim, margin) of each row, ties to the smaller topic.
+    """(keep..., best_topic, best_sim, second_sim, margin) of each row with a vector, ties to the smaller topic.
 
-    As a product with the matrix of all centroids where that is small enough to broadcast,
-    which its counted size decides; else as a join with their table and two-row aggregates.
+    Rows are multiplied by a broadcast matrix of centroids. Where that would have more than
+    MATRIX_CELLS cells it comes in parts, and the two best so far go along with the rows,
+    written in between; so rows are never shuffled, and each is returned as often as it comes.
     With one centroid there is no second, and the margin is ``single_margin``.
     """
-    cents = cents.select("topic", "centroid")
-    size = cents.agg(F.count(F.lit(1)).alias("k"), F.max(F.size("centroid")).alias("d")).first()
-    if not size["k"]:
-        none = F.lit(None).cast("double")
-        return docs.select(*keep, F.lit(None).cast("int").alias("best_topic"), none.alias("best_sim"), none.alias("second_sim"), none.alias("margin"))
-    if size["k"] * size["d"] > MATRIX_CELLS:
-        sims = docs.select(*keep, unit(vector).alias("_u")).join(cents).withColumn("_s", F.round(dot("_u", "centroid"), 12))
-        w = Window.partitionBy(*keep).orderBy(F.desc("_s"), "topic")
-        two = sims.withColumn("_r", F.row_number().over(w)).where("_r <= 2").groupBy(*keep)
-        out = two.agg(F.min_by("topic", "_r").alias("best_topic"), F.max("_s").alias("best_sim"), F.max(F.when(F.col("_r") == 2, F.col("_s"))).alias("second_sim"))
-    else:
-        rows = cents.orderBy("topic").collect()
-        spark = docs.sparkSession
-        shared = spark.sparkContext.broadcast((np.array([r["topic"] for r in rows]), np.array([r["centroid"] for r in rows], dtype=float)))
-        kinds = [docs.schema[c] for c in keep]
-
-        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "top-two")
+    none = F.lit(None).cast("double")
+    rows = docs.where(F.col(vector).isNotNull()).select(*keep, F.col(vector).alias("_v"), F.lit(None).cast("int").alias("best_topic"), none.alias("best_sim"), none.alias("second_sim"))
+    names = [*keep, "_v", "best_topic", "best_sim", "second_sim"]
+    schema = _schema(rows, names)
+    cents = scratch.save(cents.select("topic", "centroid"), "centroids")
+    before = 0
+    for part in _parts(cents, "topic", "centroid"):
+        shared = spark.sparkContext.broadcast((part["topic"].to_numpy().astype(np.int64), np.array(part["centroid"].to_pylist(), dtype=float)))
+        if before:
+            rows = scratch.save(rows, "so-far")
+        before += part.num_rows
+
+        def score(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             topics, m = shared.value
             for b in batches:
-                v = b.column(len(keep))
-                x = np.array(v.to_pylist(), dtype=float).reshape(b.num_rows, -1)
-                x = x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), EPS)
-                s = np.round(x @ m.T, 12) if b.num_rows else np.zeros((0, len(topics)))
-                best = s.argmax(1) if b.num_rows else np.zeros(0, dtype=int)
-                at = np.arange(len(s))
-                top = s[at, best]
-                rest = s.copy()
-                rest[at, best] = -np.inf
-                second = rest.max(1) if len(topics) > 1 else np.full(len(s), np.nan)
-                yield pa.RecordBatch.from_arrays(
-                    [*[b.column(i) for i in range(len(keep))], pa.array(topics[best], pa.int32()), pa.array(top, pa.float64()), pa.array(second, pa.float64(), from_pandas=True)],
-                    [*keep, "best_topic", "best_sim", "second_sim"],
-                )
-
-        schema = ", ".join(f"`{k.name}` {k.dataType.simpleString()}" for k in kinds)
-        out = docs.where(F.col(vector).isNotNull()).select(*keep, vector).mapInArrow(score, f"{schema}, best_topic int, best_sim double, second_sim double")
-    return out.withColumn("margin", F.coalesce(F.col("best_sim") - F.col("second_sim"), F.lit(single_margin)))
+                if not b.num_rows:
+                    continue
+                best, sim, second = (b.column(len(keep) + k).to_numpy(zero_copy_only=False).astype(float) for k in (1, 2, 3))
+                at = np.arange(b.num_rows)
+                s = np.round(_unit_rows(b.column(len(keep))) @ m.T, 12)
+                first = s.argmax(1)  # topics are in order, so the smallest of equals
+                top = s[at, first]
+                s[at, first] = -np.inf
+                rest = s.max(1) if len(topics) > 1 else np.full(len(s), np.nan)
+                wins = np.isnan(sim) | (top > sim) | ((top == sim) & (topics[first] < best))
+                second = np.fmax(np.where(wins, sim, top), np.fmax(second, rest))
+                best, sim = np.where(wins, topics[first], best), np.where(wins, top, sim)
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(keep) + 1], pa.array(best.astype(np.int32)), pa.array(sim), pa.array(second, from_pandas=True)], names)
+
+        rows = rows.mapInArrow(score, schema)
+    return rows.drop("_v").withColumn("margin", F.when(F.col("best_topic").isNotNull(), F.coalesce(F.col("best_sim") - F.col("second_sim"), F.lit(single_margin))))
 
 
 def top_k(docs: DataFrame, labels: DataFrame, k: int, doc: str = "doc_id", vector: str = "embedding") -> DataFrame:
-    """(doc, label columns, sim, rank) of the k nearest rows of labels (..., embedding) to each document, ties by the label columns.
+    """(doc, label columns, sim, rank) of the k nearest rows of labels (..., embedding) to each row with a vector, ties by the label columns.
 
-    As a product with the labels' matrix where it is small enough to broadcast, which keeps k
-    rows of a document and no more; else as a join whose window keeps k rows of a partition.
+    As top_two(): rows carry the numbers of their k best labels so far past the parts of the
+    labels' matrix, and only then meet the labels' columns, by number.
     """
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "top-k")
     names = [c for c in labels.columns if c != "embedding"]
-    size = labels.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d")).first()
-    if k < 1 or not size["n"] or size["n"] * size["d"] > MATRIX_CELLS:
-        right = labels.withColumn("_b", unit("embedding")).drop("embedding")
-        pairs = docs.select(doc, unit(vector).alias("_a")).join(right).withColumn("sim", F.round(dot("_a", "_b"), 9)).drop("_a", "_b")
-        w = Window.partitionBy(doc).orderBy(F.desc("sim"), *names)
-        return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    table = labels.orderBy(*names).toArrow()
-    matrix = np.array(table["embedding"].to_pylist(), dtype=float)
-    matrix = matrix / np.maximum(np.sqrt((matrix * matrix).sum(1, keepdims=True)), EPS)
-    shared = docs.sparkSession.sparkContext.broadcast((table.select(names).combine_chunks(), matrix))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, m = shared.value
-        n = min(k, len(m))
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x = np.array(b.column(1).to_pylist(), dtype=float).reshape(b.num_rows, -1)
-            x = x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), EPS)
-            s = np.round(x @ m.T, 9)
-            best = np.argsort(-s, axis=1, kind="stable")[:, :n]
-            found = rows.take(pa.array(best.ravel())).combine_chunks()
-            cols = [b.column(0).take(pa.array(np.repeat(np.arange(len(s)), n))), *[found[c].combine_chunks() for c in names]]
-            cols += [pa.array(np.take_along_axis(s, best, axis=1).ravel()), pa.array(np.tile(np.arange(1, n + 1, dtype=np.int32), len(s)))]
-            yield pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in cols], [doc, *names, "sim", "rank"])
-
-    fields = [docs.schema[doc], *[labels.schema[c] for c in names]]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return docs.where(F.col(vector).isNotNull()).select(doc, vector).mapInArrow(score, f"{schema}, sim double, rank int")
+    ordered = labels.where(F.col("embedding").isNotNull())
+    ordered = ordered.repartitionByRange(*names).sortWithinPartitions(*names) if names else ordered
+    numbered = scratch.save(ordered.withColumn("_i", F.monotonically_increasing_id()), "labels")
+    rows = docs.where(F.col(vector).isNotNull()).select(doc, F.col(vector).alias("_v"), F.array().cast("array<long>").alias("_n"), F.array().cast("array<double>").alias("_s"))
+    schema, first = _schema(rows, [doc, "_v", "_n", "_s"]), True
+    for part in _parts(numbered.select("_i", "embedding"), "_i", "embedding") if k > 0 else ():
+        shared = spark.sparkContext.broadcast((part["_i"].to_numpy(), _unit_rows(part["embedding"])))
+        if not first:
+            rows = scratch.save(rows, "so-far")
+        first = False
+
+        def score(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, m = shared.value
+            n = min(k, len(m))
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                s = np.round(_unit_rows(b.column(1)) @ m.T, 9)
+                best = np.argsort(-s, axis=1, kind="stable")[:, :n]
+                number, sim = ids[best], np.take_along_axis(s, best, axis=1)
+                if len(b.column(2).values):  # all rows have as many so far
+                    number = np.hstack([b.column(2).values.to_numpy().reshape(b.num_rows, -1), number])
+                    sim = np.hstack([b.column(3).values.to_numpy().reshape(b.num_rows, -1), sim])
+                    order = np.lexsort((number, -sim), axis=1)[:, :k]
+                    number, sim = np.take_along_axis(number, order, axis=1), np.take_along_axis(sim, order, axis=1)
+                lists = [pa.array(list(x), t) for x, t in ((number, pa.list_(pa.int64())), (sim, pa.list_(pa.float64())))]
+                yield pa.RecordBatch.from_arrays([*b.columns[:2], *lists], [doc, "_v", "_n", "_s"])
+
+        rows = rows.mapInArrow(score, schema)
+    each = rows.select(doc, F.posexplode(F.arrays_zip("_n", "_s")).alias("_p", "_x")).select(doc, F.col("_x._n").alias("_i"), F.col("_x._s").alias("sim"), (F.col("_p") + 1).alias("rank"))
+    return each.join(numbered.drop("embedding"), "_i").select(doc, *names, "sim", "rank")
 
 
 def quantile(df: DataFrame, column: str, q: float) -> float | None:
@@ -119,32 +138,45 @@ def quantile(df: DataFrame, column: str, q: float) -> float | None:
     return df.agg(F.percentile(column, q)).first()[0]
 
 
-def reassign(docs: DataFrame, sim: float = 0.65, margin: float = 0.0, auto_quantile: float | None = None, gate: tuple[float, float] | None = None, least: int = 2, most: int = 0) -> DataFrame:
+def gate_threshold(docs: DataFrame, gate: tuple[float, float], auto_quantile: float | None) -> tuple[float, float]:
+    """The gate (similarity, entropy), its entropy that quantile among outliers of that similarity where one is given and there are any."""
+    if auto_quantile is None:
+        return gate
+    return gate[0], quantile(docs.where((F.col("topic") == -1) & (F.col("cso_top1_sim") >= gate[0]) & F.col("entropy").isNotNull()), "entropy", min(max(auto_quantile, 0.0), 1.0)) or gate[1]
+
+
+def reassign(
+    docs: DataFrame, sim: float = 0.65, margin: float = 0.0, auto_quantile: float | None = None, gate: tuple[float, float] | None = None, least: int = 2, most: int = 0, gate_quantile: float | None = None
+) -> DataFrame:
     """M6: docs (doc_id, topic, embedding, ...) with outliers given to the nearest centroid that is near and clear enough.
 
     Centroids are of topics of ``least`` documents. An outlier (-1) moves if its best cosine is
     ``sim`` or more and its margin to the second is ``margin`` or more; with ``auto_quantile``
     the margin is that quantile among outliers near enough. ``gate`` (similarity, entropy)
     protects documents whose cso_top1_sim reaches the one and whose entropy is no more than the
-    other. With ``most`` above 0, only the first so many outliers by doc_id are looked at (L1).
-    Assigned rows never change. Adds old_topic, similarity_score, similarity_margin,
-    assignment_source and assignment_confidence.
+    other, or than the quantile ``gate_quantile`` of such outliers' entropies. With ``most``
+    above 0, only the first so many outliers by doc_id are looked at (L1). Assigned rows never
+    change. Adds old_topic, similarity_score, similarity_margin, assignment_source and
+    assignment_confidence; where docs has the last two, rows that don't move keep theirs.
     """
     cents = centroids(docs.where("topic <> -1"), ["topic"], least)
     scored = top_two(first_outliers(docs, most), cents, ["doc_id"])
     near = F.col("best_sim") >= sim
     if auto_quantile is not None:
-        margin = quantile(scored.where(near), "margin", auto_quantile) or 0.0
+        margin = max(quantile(scored.where(near), "margin", min(max(auto_quantile, 0.0), 1.0)) or 0.0, 0.0)
     moves = scored.where(near & (F.col("margin") >= margin))
     if gate is not None:
-        safe = docs.where((F.col("cso_top1_sim") >= gate[0]) & (F.col("entropy") <= gate[1])).select("doc_id")
+        low, high = gate_threshold(docs, gate, gate_quantile)
+        safe = docs.where((F.col("cso_top1_sim") >= low) & (F.col("entropy") <= high)).select("doc_id")
         moves = moves.join(safe, "doc_id", "left_anti")
     out = docs.join(moves.select("doc_id", "best_topic", "best_sim", F.col("margin").alias("_margin")), "doc_id", "left")
     moved = F.col("best_topic").isNotNull() & (F.col("topic") == -1)
     sure = clip(F.col("best_sim") * F.least(F.lit(1.0), F.col("_margin") / (margin + EPS)), 0.0, 1.0)
+    source = F.when(F.col("topic") == -1, "outlier").otherwise(F.coalesce(F.when(F.col("assignment_source") != "outlier", F.col("assignment_source")), F.lit("model")) if "assignment_source" in docs.columns else F.lit("model"))
+    before = F.col("assignment_confidence") if "assignment_confidence" in docs.columns else F.lit(None).cast("double")
     return out.withColumns({
         "old_topic": F.col("topic"), "similarity_score": F.when(moved, F.col("best_sim")), "similarity_margin": F.when(moved, F.col("_margin")),
-        "assignment_source": F.when(moved, "centroid").when(F.col("topic") == -1, "outlier").otherwise("model"), "assignment_confidence": F.when(moved, sure),
+        "assignment_source": F.when(moved, "centroid").otherwise(source), "assignment_confidence": F.when(moved, sure).otherwise(before),
         "topic": F.when(moved, F.col("best_topic")).otherwise(F.col("topic")),
     }).drop("best_topic", "best_sim", "_margin")
 
@@ -200,41 +232,69 @@ def silhouette(docs: DataFrame) -> DataFrame:
     """Q14: mean silhouette by cosine distance, exact, without pairs.
 
     A document's mean distance to a group is 1 less its product with the group's sum of unit
-    vectors over its size, so sums by topic are all that is needed. A topic of one document
-    counts 0; without two topics the table is empty.
+    vectors over its size, so sums by topic are all that is needed; they come as top_two()'s
+    centroids do. A topic of one document counts 0; without two topics the table is empty.
     """
-    own = docs.where("topic <> -1").select("doc_id", "topic", unit("embedding").alias("u"))
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "silhouette")
+    own = docs.where((F.col("topic") != -1) & F.col("embedding").isNotNull()).select("topic", unit("embedding").alias("u"))
     sums = own.select("topic", array_to_vector("u").alias("v")).groupBy("topic").agg(F.count(F.lit(1)).alias("n"), Summarizer.sum(F.col("v")).alias("s"))
-    table = sums.agg(F.collect_list(F.struct("topic", "n", vector_to_array("s").alias("s"))).alias("groups")).where(F.size("groups") >= 2)
-    rows = own.join(F.broadcast(table), F.lit(True))
-    dist = F.transform("groups", lambda g: F.struct(g["topic"].alias("topic"), g["n"].alias("n"), (g["n"] - dot("u", g["s"])).alias("sum")))
-    rows = rows.withColumn("d", dist)
-    mine = F.get(F.filter("d", lambda g: g["topic"] == F.col("topic")), F.lit(0))
-    a = mine["sum"] / F.greatest(mine["n"] - 1, F.lit(1))
-    b = F.array_min(F.transform(F.filter("d", lambda g: g["topic"] != F.col("topic")), lambda g: g["sum"] / g["n"]))
-    s = F.when(mine["n"] == 1, 0.0).otherwise((b - a) / F.greatest(a, b, F.lit(EPS)))
-    return rows.agg(F.avg(s).alias("silhouette"), F.count(F.lit(1)).alias("docs")).where("docs > 0")
+    sums = scratch.save(sums.select("topic", "n", vector_to_array("s").alias("s")), "sums")
+    none = F.lit(None).cast("double")
+    rows, first = own.select("topic", "u", none.alias("a"), none.alias("b")), True
+    schema = _schema(rows, rows.columns)
+    for part in _parts(sums, "topic", "s") if sums.count() >= 2 else ():
+        shared = spark.sparkContext.broadcast((part["topic"].to_numpy(), part["n"].to_numpy(), np.array(part["s"].to_pylist(), dtype=float)))
+        if not first:
+            rows = scratch.save(rows, "so-far")
+        first = False
+
+        def score(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            topics, n, s = shared.value
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                a, b = (batch.column(k).to_numpy(zero_copy_only=False).astype(float) for k in (2, 3))
+                u = np.array(batch.column(1).to_pylist(), dtype=float).reshape(batch.num_rows, -1)
+                away = n - u @ s.T  # summed distances to each group
+                mine = topics == batch.column(0).to_numpy()[:, None]
+                i, j = np.nonzero(mine)
+                a[i] = np.where(n[j] == 1, np.nan, away[i, j] / np.maximum(n[j] - 1, 1))
+                b = np.fmin(b, np.where(mine, np.inf, away / n).min(axis=1))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(a), pa.array(b)], ["topic", "u", "a", "b"])
+
+        rows = rows.mapInArrow(score, schema)
+    s = F.when(F.isnan("a"), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b", F.lit(EPS)))
+    return rows.where("b is not null").agg(F.avg(s).alias("silhouette"), F.count(F.lit(1)).alias("docs")).where("docs > 0")
 
 
 def drift(docs: DataFrame, least: int = 5, consecutive: bool = False, by_gap: bool = False) -> DataFrame:
-    """Q9: (topic, years_used, first_year, last_year, drift_total_dist, drift_step_mean, drift_robust_score, mean_year_gap).
+    """Q9: a row for each topic with two years or more: how far its centroid moves.
 
     Centroids by topic and year of ``least`` documents; distances between successive years,
-    over the years between them with ``by_gap``, and only between neighbouring years with
-    ``consecutive``. The robust score is the mean step times ln(steps + 2).
+    over the years between them with ``by_gap`` (drift_mode per_year, else raw_step), and only
+    between neighbouring years with ``consecutive``. The robust score is the mean step times
+    ln(steps + 2); the columns named raw are of distances not divided; missing_emb_rate is the
+    share of a topic's documents without a vector.
     """
-    cents = centroids(docs.where("topic <> -1"), ["topic", "year"], least)
+    own = docs.where("topic <> -1")
+    cents = centroids(own, ["topic", "year"], least)
     w = Window.partitionBy("topic").orderBy("year")
-    steps = cents.select("topic", "year", "centroid", F.lag("centroid").over(w).alias("p"), F.lag("year").over(w).alias("y0")).where("p is not null")
+    used = Window.partitionBy("topic")
+    steps = cents.select(
+        "topic", "year", "centroid", F.lag("centroid").over(w).alias("p"), F.lag("year").over(w).alias("y0"),
+        F.count(F.lit(1)).over(used).cast("int").alias("years"), F.min("year").over(used).alias("first_year"), F.max("year").over(used).alias("last_year"),
+    ).where("p is not null")
     if consecutive:
         steps = steps.where("year - y0 = 1")
     gap = (F.col("year") - F.col("y0")).cast("double")
-    d = cosine_distance("centroid", "p")
-    steps = steps.select("topic", "year", "y0", gap.alias("gap"), (d / gap if by_gap else d).alias("step"))
-    out = steps.groupBy("topic").agg(
-        (F.count(F.lit(1)) + 1).cast("int").alias("years_used"), F.min("y0").alias("first_year"), F.max("year").alias("last_year"),
-        F.sum("step").alias("drift_total_dist"), F.avg("step").alias("drift_step_mean"), F.avg("gap").alias("mean_year_gap"),
+    steps = steps.select("topic", "years", "first_year", "last_year", gap.alias("gap"), cosine_distance("centroid", "p").alias("raw"))
+    steps = steps.withColumn("step", F.col("raw") / F.col("gap") if by_gap else F.col("raw"))
+    out = steps.groupBy("topic", "years", "first_year", "last_year").agg(
+        (F.count(F.lit(1)) + 1).cast("int").alias("years_used"), F.sum("step").alias("drift_total_dist"), F.avg("step").alias("drift_step_mean"), F.avg("gap").alias("mean_year_gap"),
+        F.sum("raw").alias("drift_total_dist_raw"), F.avg("raw").alias("drift_step_mean_raw"),
     )
+    missing = own.groupBy("topic").agg((1 - F.count("embedding") / F.count(F.lit(1))).alias("missing_emb_rate"))
+    out = out.join(missing, "topic").withColumn("drift_mode", F.lit("per_year" if by_gap else "raw_step"))
     return out.withColumn("drift_robust_score", F.col("drift_step_mean") * F.ln(F.col("years_used") + F.lit(1.0)))
 
 
@@ -279,9 +339,28 @@ def merge_micro(docs: DataFrame, min_size: int = 10, sim: float = 0.85) -> tuple
 def near_pairs(labels: DataFrame, sim: float, key: str = "id", vector: str = "embedding") -> DataFrame:
     """Pairs (a < b) of the rows of a label table whose cosine is ``sim`` or more.
 
-    For tables of a row for each label or topic, whose pairs are what is asked for.
+    Rows are multiplied by the table's matrix, as many cells of it at a time as may be
+    broadcast, and only near pairs come out; none are joined or shuffled. Rows without a vector
+    are in no pair. The work grows with the square of the table, which has a row for each label.
     """
-    left = labels.select(F.col(key).alias("a"), unit(vector).alias("va"))
-    right = labels.select(F.col(key).alias("b"), unit(vector).alias("vb"))
-    pairs = left.join(right, F.col("a") < F.col("b")).withColumn("sim", F.round(dot("va", "vb"), 9))
-    return pairs.where(F.col("sim") >= sim).select("a", "b", "sim")
+    spark = labels.sparkSession
+    rows = labels.where(F.col(vector).isNotNull()).select(F.col(key).alias("a"), F.col(vector).alias("_v"))
+    kind = labels.schema[key].dataType.simpleString()
+    out = spark.createDataFrame([], f"a {kind}, b {kind}, sim double")
+    for part in _parts(rows, "a", "_v"):
+        shared = spark.sparkContext.broadcast((part["a"].to_numpy(zero_copy_only=False), _unit_rows(part["_v"])))
+
+        def score(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, m = shared.value
+            for b in batches:
+                own = b.column(0).to_numpy(zero_copy_only=False)
+                x = _unit_rows(b.column(1)) if b.num_rows else np.zeros((0, m.shape[1]))
+                for at in range(0, len(x), 256):
+                    s = np.round(x[at : at + 256] @ m.T, 9)
+                    i, j = np.nonzero(s >= sim)
+                    less = own[at + i] < ids[j]
+                    i, j = i[less], j[less]
+                    yield pa.RecordBatch.from_arrays([pa.array(own[at + i], b.schema.field(0).type), pa.array(ids[j], b.schema.field(0).type), pa.array(s[i, j])], ["a", "b", "sim"])
+
+        out = out.union(rows.mapInArrow(score, f"a {kind}, b {kind}, sim double"))
+    return out

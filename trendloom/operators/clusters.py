@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Protocol
 
 import numpy as np
@@ -16,6 +17,7 @@ from trendloom.operators.centroids import centroids, topic_spread
 from trendloom.operators.concepts import purity, symbolic_topics
 from trendloom.operators.evaluate import agreement
 from trendloom.operators.keywords import ctfidf
+from trendloom.plans.scratch import Scratch
 
 
 class Clusterer(Protocol):
@@ -149,53 +151,111 @@ def reduce_vectors(docs: DataFrame, k: int = 5) -> DataFrame:
     return model.transform(rows).select("doc_id", vector_to_array("p").alias("x"))
 
 
-def fit_topics(docs: DataFrame, clusterer: Clusterer | None = None, components: int = 5, sample: int = 5000, seed: int = 42) -> DataFrame:
-    """M5: (doc_id, topic, probability) of docs (doc_id, embedding), topics in order of falling size.
+#: Rows that are clustered in one task at most: the work of one is quadratic in them, its memory linear.
+SAMPLE = 20_000
 
-    Clusters are found among ``sample`` rows at most, by seeded hash, in one task; the other
-    rows go to the topic of their nearest found member's centroid in reduced space if they are
-    no farther from it than its farthest member, else they are outliers.
-    """
-    clusterer = clusterer or DensityClusters()
-    reduced = reduce_vectors(docs, components).withColumn("h", F.xxhash64("doc_id", F.lit(seed)))
-    share = min(1.0, sample / max(1, docs.count()))
-    part = reduced.where(F.pmod("h", F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else reduced
+
+def _sampled(rows: DataFrame, clusterer: Clusterer, sample: int, seed: int, kind: str) -> DataFrame:
+    """(doc_id, x, topic, probability) of about ``sample`` of rows (doc_id, x), topics in order of falling size, clustered in one task."""
+    n = rows.count()
+    h = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 1)
+    part = rows if n <= sample else rows.where(h < F.lit(int(sample / n * (1 << 63))))
 
     def run(batches):
-        pdf = pd.concat(list(batches) or [pd.DataFrame({"doc_id": [], "x": []})]).sort_values("doc_id")
-        labels, strength = clusterer.labels(np.array(pdf["x"].tolist(), dtype=float).reshape(len(pdf), -1))
+        held = [b for b in batches if len(b)]
+        if not held:
+            return
+        pdf = pd.concat(held).sort_values("doc_id")
+        labels, strength = clusterer.labels(np.array(pdf["x"].tolist(), dtype=float))
         order = {c: i for i, (c, _) in enumerate(sorted(((c, (labels == c).sum()) for c in set(labels.tolist()) - {-1}), key=lambda t: (-t[1], t[0])))}
-        yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "topic": [order.get(c, -1) for c in labels.tolist()], "probability": np.where(labels >= 0, strength, 0.0)})
+        yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "x": pdf["x"], "topic": [order.get(c, -1) for c in labels.tolist()], "probability": np.where(labels >= 0, strength, 0.0)})
+
+    return part.select("doc_id", "x").repartition(1).mapInPandas(run, f"doc_id {kind}, x array<double>, topic int, probability double")
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    found = part.select("doc_id", "x").repartition(1).mapInPandas(run, f"doc_id {kind}, topic int, probability double")
-    if share >= 1:
-        return found
-    from trendloom.plans.scratch import Scratch
-
-    found = Scratch(docs.sparkSession, "topics").save(found, "sample")
-    inside = found.where("topic <> -1").join(reduced, "doc_id")
-    centre = inside.select("topic", F.posexplode("x").alias("i", "v")).groupBy("topic", "i").agg(F.avg("v").alias("v")).groupBy("topic").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda e: e["v"]).alias("c"))
-    away = F.sqrt(F.aggregate(F.zip_with("x", "c", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d))
-    reach = F.broadcast(inside.join(centre, "topic").groupBy("topic", "c").agg(F.max(away).alias("reach")))
-    rest = reduced.join(found.select("doc_id"), "doc_id", "left_anti").join(reach, F.lit(True)).withColumn("d", away)
-    near = rest.groupBy("doc_id").agg(F.min(F.struct("d", "topic", "reach")).alias("n"))
-    fits = F.col("n.d") <= F.col("n.reach")
-    return found.union(near.select("doc_id", F.when(fits, F.col("n.topic")).otherwise(-1), F.when(fits, 1 - F.col("n.d") / (F.col("n.reach") + 1e-12)).otherwise(0.0)))
 
+def _attached(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """(doc_id, topic, probability) of rows (doc_id, x) that lie no farther from a topic's centre than its farthest member in found, the nearest such.
+
+    The topics of one sample are few (no more than its rows), so their centres and reaches are broadcast.
+    """
+    inside = found.where("topic <> -1")
+    centres = inside.select("topic", F.posexplode("x").alias("i", "v")).groupBy("topic", "i").agg(F.avg("v").alias("v")).groupBy("topic").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda e: e["v"]).alias("c"))
+    away = F.sqrt(F.aggregate(F.zip_with("x", "c", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d))
+    table = inside.join(F.broadcast(centres), "topic").groupBy("topic", "c").agg(F.max(away).alias("reach")).orderBy("topic").collect()
+    shared = rows.sparkSession.sparkContext.broadcast((np.array([r["topic"] for r in table]), np.array([r["c"] for r in table], dtype=float), np.array([r["reach"] for r in table])))
+    kind = rows.schema["doc_id"].dataType.simpleString()
 
-def split_topics(docs: DataFrame, min_size: int = 200, mean_sim: float = 0.60, std_sim: float = 0.12, clusterer: Clusterer | None = None, duplicate: float = 0.90) -> DataFrame:
+    def run(batches):
+        topics, c, reach = shared.value
+        for pdf in batches:
+            x = np.array(pdf["x"].tolist(), dtype=float)
+            for at in range(0, len(x), 1024):
+                d = np.sqrt(((x[at : at + 1024, None] - c) ** 2).sum(2))
+                d[d > reach] = np.inf
+                best = d.argmin(1)
+                near = d[np.arange(len(d)), best]
+                ok = np.isfinite(near)
+                yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy()[at : at + 1024][ok], "topic": topics[best[ok]], "probability": 1 - near[ok] / (reach[best[ok]] + 1e-12)})
+
+    return rows.mapInPandas(run, f"doc_id {kind}, topic int, probability double")
+
+
+def fit_topics(docs: DataFrame, clusterer: Clusterer | None = None, components: int = 5, sample: int = SAMPLE, seed: int = 42, gain: float = 0.01) -> DataFrame:
+    """M5: (doc_id, topic, probability) of docs (doc_id, embedding), topics in order of falling size, ties in order of discovery.
+
+    Rounds of one rule: about ``sample`` of the rows without a topic, all if they are no more, by
+    seeded hash, are clustered in one task; the other rows join the nearest of the topics found
+    that reaches them. Rounds end when all rows left were in the sample, or it has no cluster, or
+    its topics take less than ``gain`` of the rows left, as clusters of mere noise do. So up to ``sample`` rows are clustered as a whole; of more, dense topics are found first, and
+    rarer ones among what they leave; a topic stays unfound if the sample of the last round
+    holds fewer of its rows than the clusterer's least size. Rows without a vector get no row.
+    """
+    clusterer = clusterer or DensityClusters()
+    scratch = Scratch(docs.sparkSession, "topics")
+    left = scratch.save(reduce_vectors(docs, components), "reduced")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    parts, topics, turn = [], 0, 0
+    while True:
+        found = scratch.save(_sampled(left, clusterer, sample, seed + turn, kind), "sample")
+        n = found.where("topic <> -1").select("topic").distinct().count()
+        if not n:
+            break
+        rest = left.join(found.select("doc_id"), "doc_id", "left_anti")
+        whole = rest.isEmpty()
+        got = found.where("topic <> -1").select("doc_id", "topic", "probability")
+        got = scratch.save(got if whole else got.union(_attached(rest, found)), "attached")
+        parts.append(got.withColumn("topic", (F.col("topic") + F.lit(topics)).cast("int")))
+        before = left.count()
+        left = scratch.save(left.join(got.select("doc_id"), "doc_id", "left_anti"), "left")
+        topics, turn = topics + n, turn + 1
+        if whole or before - left.count() < gain * before:
+            break
+    out = left.select("doc_id", F.lit(-1).alias("topic"), F.lit(0.0).alias("probability"))
+    if parts:
+        all_ = reduce(DataFrame.union, parts)
+        if turn > 1:  # sizes of different rounds
+            sizes = sorted(((-r["count"], r["topic"]) for r in all_.groupBy("topic").count().collect()))
+            ranks = docs.sparkSession.createDataFrame([(t, i) for i, (_, t) in enumerate(sizes)], "topic int, rank int")
+            all_ = all_.join(F.broadcast(ranks), "topic").select("doc_id", F.col("rank").alias("topic"), "probability")
+        out = out.union(all_)
+    return out
+
+
+def split_topics(docs: DataFrame, min_size: int = 200, mean_sim: float = 0.60, std_sim: float = 0.12, clusterer: Clusterer | None = None, duplicate: float = 0.90, sample: int = SAMPLE) -> DataFrame:
     """Docs with loose topics split: the largest part keeps the id, others get the next free ones.
 
     A part whose centroid is within ``duplicate`` of a topic other than the one it leaves stays there.
 
     A topic of ``min_size`` is left alone if its mean similarity is ``mean_sim`` or more and its
-    deviation ``std_sim`` or less. Its documents are clustered in one task each, in the
-    vectors' first components; noise stays with the topic.
+    deviation ``std_sim`` or less. Others are clustered in the vectors' first components, one
+    task a topic, of a topic of more than ``sample`` documents about so many by hash; its other
+    documents, and noise, stay with the topic, as do parts that the sample has too few rows of.
     """
     clusterer = clusterer or DensityClusters(6, 2, "leaf")
-    loose = topic_spread(docs).where((F.col("n") >= min_size) & ~((F.col("mean_sim") >= mean_sim) & (F.col("std_sim") <= std_sim))).select("topic")
-    rows = docs.join(F.broadcast(loose), "topic").select("topic", "doc_id", unit("embedding").alias("v"))
+    loose = topic_spread(docs).where((F.col("n") >= min_size) & ~((F.col("mean_sim") >= mean_sim) & (F.col("std_sim") <= std_sim))).select("topic", "n")
+    h = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(9)), 1)
+    inside = (F.col("n") <= sample) | (h < F.floor(F.lit(float(sample)) / F.col("n") * float(1 << 63)).cast("long"))
+    rows = docs.join(loose, "topic").where(inside).select("topic", "doc_id", unit("embedding").alias("v"))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -208,8 +268,6 @@ def split_topics(docs: DataFrame, min_size: int = 200, mean_sim: float = 0.60, s
         return pd.DataFrame({"topic": pdf["topic"].to_numpy(), "doc_id": pdf["doc_id"].to_numpy(), "part": [part.get(c, 0) for c in labels.tolist()]})
 
     parts = rows.groupBy("topic").applyInPandas(run, f"topic int, doc_id {kind}, part int").where("part > 0")
-    from trendloom.plans.scratch import Scratch
-
     parts = Scratch(docs.sparkSession, "split").save(parts, "parts")
     last = docs.agg(F.max("topic")).first()[0] or 0
     keys = sorted((r["topic"], r["part"]) for r in parts.select("topic", "part").distinct().collect())
@@ -223,20 +281,18 @@ def split_topics(docs: DataFrame, min_size: int = 200, mean_sim: float = 0.60, s
     return out.withColumns({"parent_topic": F.when(F.col("new").isNotNull(), F.col("topic")), "topic": F.coalesce("new", "topic")}).drop("new")
 
 
-def augment(docs: DataFrame, least: int = 8, min_samples: int = 3, top_weight: float = 0.0, pure: float = 0.0, label_sim: float = 0.65) -> DataFrame:
+def augment(docs: DataFrame, least: int = 8, min_samples: int = 3, top_weight: float = 0.0, pure: float = 0.0, label_sim: float = 0.65, sample: int = SAMPLE) -> DataFrame:
     """Docs (doc_id, topic, text, embedding, cso_top1_*) with new topics for outliers: by label first, then by density.
 
     A cluster counts if its best keyword weighs ``top_weight`` and its effective purity is
-    ``pure`` or more. Assigned rows never change.
+    ``pure`` or more. Assigned rows never change. Clusters are fit_topics()'s, by its sample.
     """
-    from trendloom.plans.scratch import Scratch
-
     scratch = Scratch(docs.sparkSession, "augment")
     named = scratch.save(symbolic_topics(docs, least, label_sim)[0], "symbolic")
     rest = named.where("topic = -1")
     if rest.count() <= max(10, least):
         return named
-    found = scratch.save(fit_topics(rest, DensityClusters(least, min_samples, "leaf")), "clusters")
+    found = scratch.save(fit_topics(rest, DensityClusters(least, min_samples, "leaf"), sample=sample), "clusters")
     trial = rest.drop("topic").join(found.where("topic <> -1").select("doc_id", "topic"), "doc_id")
     good = ctfidf(trial, 1).where(F.col("score") >= top_weight).select("topic").join(purity(trial).where(F.col("purity_eff") >= pure).select("topic"), "topic")
     last = named.agg(F.max("topic")).first()[0]
@@ -244,13 +300,11 @@ def augment(docs: DataFrame, least: int = 8, min_samples: int = 3, top_weight: f
     return named.join(new, "doc_id", "left").withColumn("topic", F.when(F.col("topic") == -1, F.coalesce("new", "topic")).otherwise(F.col("topic"))).drop("new")
 
 
-def stability(docs: DataFrame, runs: int = 3, seed: int = 42, clusterer: Clusterer | None = None, sample: int = 5000) -> DataFrame:
+def stability(docs: DataFrame, runs: int = 3, seed: int = 42, clusterer: Clusterer | None = None, sample: int = SAMPLE) -> DataFrame:
     """Q12: (runs, mean_ami, std_ami) over pairs of clusterings with seeds 17 apart; (1, 0) for one run or none."""
     spark = docs.sparkSession
     if runs <= 1:
         return spark.createDataFrame([(runs, 1.0, 0.0)], "runs int, mean_ami double, std_ami double")
-    from trendloom.plans.scratch import Scratch
-
     scratch = Scratch(spark, "stability")
     tables = {f"{i:03d}": scratch.save(fit_topics(docs, clusterer, sample=sample, seed=seed + 17 * i), f"run{i}") for i in range(runs)}
     return agreement(tables).agg(F.lit(runs).alias("runs"), F.avg("ami_all").alias("mean_ami"), F.stddev_pop("ami_all").alias("std_ami"))

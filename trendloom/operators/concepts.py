@@ -40,9 +40,9 @@ def mark_ambiguous(labels: DataFrame) -> DataFrame:
 
 
 def retrieve(docs: DataFrame, labels: DataFrame, k: int = 10, sim: float = 0.6) -> DataFrame:
-    """M3: (doc_id, uris, labels, weight_uri, weight_label) of the k nearest labels (uri, text, ambiguous, embedding) of ``sim`` or more.
+    """(doc_id, uris, labels, weight_uri, support_uri, weight_label) of the k nearest labels (uri, text, ambiguous, embedding) of ``sim`` or more.
 
-    A uri weighs its best hit by a clear label; an ambiguous hit counts only for a uri that has
+    A uri weighs its best hit by a clear label, and its support is how many there are; an ambiguous hit counts only for a uri that has
     one. Documents without hits have empty lists; k of 0 or less gives no hits.
     """
     hits = top_k(docs, labels, max(k, 0)).where(F.col("sim") >= sim)
@@ -50,11 +50,11 @@ def retrieve(docs: DataFrame, labels: DataFrame, k: int = 10, sim: float = 0.6)
     kept = hits.where(~F.col("ambiguous")).unionByName(hits.where("ambiguous").join(clear, ["doc_id", "uri"], "left_semi").select(*hits.columns))
     by_uri = kept.where(~F.col("ambiguous")).groupBy("doc_id", "uri").agg(F.max("sim").alias("w"), F.count(F.lit(1)).alias("support"))
     by_text = kept.groupBy("doc_id", "text").agg(F.max("sim").alias("w"))
-    u = by_uri.groupBy("doc_id").agg(F.sort_array(F.collect_list("uri")).alias("uris"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("uri", "w")))).alias("weight_uri"))
+    u = by_uri.groupBy("doc_id").agg(F.sort_array(F.collect_list("uri")).alias("uris"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("uri", "w")))).alias("weight_uri"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("uri", "support")))).alias("support_uri"))
     t = by_text.groupBy("doc_id").agg(F.sort_array(F.collect_list("text")).alias("labels"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("text", "w")))).alias("weight_label"))
     out = docs.select("doc_id").distinct().join(u, "doc_id", "left").join(t, "doc_id", "left")
     none, weights = F.array().cast("array<string>"), F.create_map().cast("map<string,double>")
-    return out.select("doc_id", F.coalesce("uris", none).alias("uris"), F.coalesce("labels", none).alias("labels"), F.coalesce("weight_uri", weights).alias("weight_uri"), F.coalesce("weight_label", weights).alias("weight_label"))
+    return out.select("doc_id", F.coalesce("uris", none).alias("uris"), F.coalesce("labels", none).alias("labels"), F.coalesce("weight_uri", weights).alias("weight_uri"), F.coalesce("support_uri", F.create_map().cast("map<string,long>")).alias("support_uri"), F.coalesce("weight_label", weights).alias("weight_label"))
 
 
 def concept_entropy(df: DataFrame, weights: str = "weight_label", top: int = 15, margin: float = 0.05, temperature: float = 0.07) -> DataFrame:

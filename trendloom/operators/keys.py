@@ -101,8 +101,9 @@ def topic_cards(topics: DataFrame, *tables: DataFrame) -> DataFrame:
     return out
 
 
-def examples(doc_topics: DataFrame, n: int = 3, recent: bool = False) -> DataFrame:
-    """Up to n documents of each topic, surest first (or latest, then surest)."""
+def examples(doc_topics: DataFrame, n: int = 3, recent: bool = False, texts: DataFrame | None = None) -> DataFrame:
+    """Up to n documents of each topic, surest first (or latest, then surest), with the columns of texts (doc_id, ...) if given."""
     order = [F.desc("year"), F.desc("assignment_confidence"), "doc_id"] if recent else [F.desc("assignment_confidence"), F.desc("year"), "doc_id"]
     w = Window.partitionBy("topic").orderBy(*order)
-    return doc_topics.where("topic <> -1").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    out = doc_topics.where("topic <> -1").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    return out if texts is None else out.join(texts, "doc_id", "left")

@@ -148,7 +148,7 @@ def bh_fdr(df: DataFrame, p: str, out: str, by: list[str] = ()) -> DataFrame:
     return df.withColumn(out, F.when(ok, q)).drop("_r", "_m")
 
 
-def bursts(xs: Column, base: float = 2.0, gamma: float = 1.0, levels: int = 40) -> Column:
+def bursts(xs: Column, base: float = 2.0, gamma: float = 1.0) -> Column:
     """Q6: struct(starts array<int>, max_level int, states array<int>) of a series of counts.
 
     Two passes of a fold with an array state: costs forward, with for each time the best level
@@ -159,7 +159,7 @@ def bursts(xs: Column, base: float = 2.0, gamma: float = 1.0, levels: int = 40)
     n = F.size(x)
     mean = F.greatest(F.aggregate(x, F.lit(0.0), lambda s, v: s + v) / F.greatest(n, F.lit(1)), F.lit(1e-6))
     top = F.greatest(F.array_max(x), mean)
-    count = F.least(F.greatest(F.lit(0), F.ceil(F.round(F.ln(top / mean) / math.log(base), 12))).cast("int") + 1, F.lit(levels))
+    count = F.greatest(F.lit(0), F.ceil(F.round(F.ln(top / mean) / math.log(base), 12))).cast("int") + 1
     ids = F.sequence(F.lit(0), count)
     cost = lambda v, j: mean * F.pow(F.lit(base), j) - v * F.ln(mean * F.pow(F.lit(base), j))
     argmin = lambda a: (F.array_position(a, F.array_min(a)) - 1).cast("int")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from trendloom.plans import queries_relational, queries_text, queries_topics, queries_trends, queries_vectors
+from trendloom.plans import queries_run  # after those that it refers to
 from trendloom.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "queries_relational", "queries_text", "queries_topics", "queries_trends", "queries_vectors"]
+__all__ = ["ORACLES", "QUERIES", "queries_relational", "queries_run", "queries_text", "queries_topics", "queries_trends", "queries_vectors"]

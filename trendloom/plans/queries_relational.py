@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from trendloom.functions.text import foreign_letters, parse_year, stable_id
 from trendloom.operators.components import connected_components
-from trendloom.operators.evaluate import by_source, coverage, stratified
+from trendloom.operators.evaluate import by_source, contingency, coverage, stratified
 from trendloom.operators.keys import align, backfill, examples, is_doctorate, topic_cards, unique_ids, z_score
 from trendloom.plans.registry import query, rounded
 from trendloom.plans.scratch import Scratch
@@ -111,9 +111,10 @@ def j8(spark, d):
     return table(spark, d, "customer").join(rich, "c_custkey", "left_semi").select("c_custkey", "c_name")
 
 
-@query("j9_anti", "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("j9_anti", "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)")
 def j9(spark, d):
-    return table(spark, d, "customer").join(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey", "c_name")
+    rich = table(spark, d, "orders").where("o_totalprice > 200000").select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, d, "customer").join(rich, "c_custkey", "left_anti").select("c_custkey", "c_name")
 
 
 @query("a1_topic_sizes", f"WITH {V1_SQL} SELECT topic, count(*) AS n FROM v1 GROUP BY 1")
@@ -121,10 +122,13 @@ def a1(spark, d):
     return doc_topics_li(spark, d).groupBy("topic").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("a2_pivot", f"WITH {V1_SQL} SELECT topic, count(*) FILTER (year = 1995) AS y1995, count(*) FILTER (year = 1996) AS y1996, count(*) FILTER (year = 1997) AS y1997 FROM v1 GROUP BY 1")
+_YEARS = range(1995, 2002)
+
+
+@query("a2_pivot", f"WITH {V1_SQL} SELECT topic, " + ", ".join(f"count(*) FILTER (year = {y}) AS y{y}" for y in _YEARS) + " FROM v1 GROUP BY 1")
 def a2(spark, d):
-    wide = doc_topics_li(spark, d).groupBy("topic").pivot("year", [1995, 1996, 1997]).count().fillna(0)
-    return wide.select("topic", *[F.col(str(y)).alias(f"y{y}") for y in (1995, 1996, 1997)])
+    wide = doc_topics_li(spark, d).groupBy("topic").pivot("year", list(_YEARS)).count().fillna(0)
+    return wide.select("topic", *[F.col(str(y)).alias(f"y{y}") for y in _YEARS])
 
 
 @query("a6_quantiles", "SELECT o_orderpriority, round(quantile_cont(o_totalprice, 0.1), 6) AS p10, round(median(o_totalprice), 6) AS median, round(quantile_cont(o_totalprice, 0.9), 6) AS p90 FROM orders GROUP BY 1")
@@ -150,7 +154,8 @@ def a15(spark, d):
 
 @query("a16_contingency", "SELECT label AS a, (vec_id % 10)::INTEGER AS b, count(*) AS n FROM embeddings GROUP BY 1, 2")
 def a16(spark, d):
-    return table(spark, d, "embeddings").groupBy(F.col("label").alias("a"), (F.col("vec_id") % 10).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "label")
+    return contingency(e.select("doc_id", F.col("label").alias("topic")), e.select("doc_id", (F.col("doc_id") % 10).cast("int").alias("topic")))
 
 
 @query("w2_average_rank", "SELECT p_partkey, (rank() OVER (PARTITION BY p_brand ORDER BY p_size) + (count(*) OVER (PARTITION BY p_brand, p_size) - 1) / 2.0)::DOUBLE AS r FROM part")
@@ -166,7 +171,11 @@ def w7(spark, d):
     return rounded(c.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("year"))))
 
 
-@query("w9_stratified")
+@query("w9_stratified", f"""
+    WITH {V3_SQL}, r AS (SELECT doc_id, topic, md5(doc_id::VARCHAR || ':42') AS h FROM v3 WHERE topic <> -1),
+    k AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY h, doc_id) AS r FROM r)
+    SELECT doc_id, topic FROM k WHERE r <= 20 ORDER BY h, doc_id LIMIT 150
+""")
 def w9(spark, d):
     return stratified(doc_topics_vec(spark, d), 20, 150).select("doc_id", "topic")
 
@@ -204,11 +213,14 @@ def u3(spark, d):
 
 
 @query("u4_components", """
-    WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS u, l_partkey % 97 + 1000000 AS v FROM lineitem WHERE l_quantity > 49 AND l_linenumber = 1),
-    b AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
-    r AS (SELECT u AS node, u AS c FROM b UNION SELECT b.v, r.c FROM r JOIN b ON r.node = b.u)
-    SELECT node, min(c) AS component FROM r GROUP BY 1
+    WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS u, l_partkey + 1000000000 AS v FROM lineitem), b AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e),
+    r(node, c) USING KEY (node) AS (
+        SELECT DISTINCT u, u FROM b
+        UNION
+        SELECT b.v, min(r.c) FROM r JOIN b ON r.node = b.u JOIN recurring.r AS o ON o.node = b.v WHERE r.c < o.c GROUP BY b.v
+    )
+    SELECT node, c AS component FROM r
 """)
 def u4(spark, d):
-    li = table(spark, d, "lineitem").where("l_quantity > 49 and l_linenumber = 1")
-    return connected_components(li.select(F.col("l_suppkey").alias("u"), (F.col("l_partkey") % 97 + 1000000).alias("v")))
+    li = table(spark, d, "lineitem")
+    return connected_components(li.select(F.col("l_suppkey").alias("u"), (F.col("l_partkey") + 1000000000).alias("v")))

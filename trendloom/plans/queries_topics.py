@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from trendloom.functions.vectors import unit
 from trendloom.operators.clusters import DensityClusters, augment, fit_topics, split_topics, stability
-from trendloom.operators.concepts import concept_entropy, promotable, purity, retrieve, symbolic_topics
+from trendloom.operators.concepts import concept_entropy, label_index, promotable, purity, retrieve, symbolic_topics
 from trendloom.operators.keys import topic_cards
 from trendloom.plans.registry import query, rounded
 from trendloom.plans.views import V1_SQL, V3_SQL, centroid_sql, corpus, dense_id, doc_topics_li, doc_topics_vec, table
@@ -15,14 +15,14 @@ from trendloom.providers.embedders import embed
 
 
 def _labels(spark, d):
-    """Twenty labels, some of them ambiguous, with vectors of the first rows."""
-    e = table(spark, d, "embeddings").where("vec_id < 20")
-    return e.select((F.col("vec_id") % 12).cast("string").alias("uri"), F.concat(F.lit("label "), (F.col("vec_id") % 15).cast("string")).alias("text"), (F.col("vec_id") % 4 == 0).alias("ambiguous"), "embedding")
+    """A label for each embedding, some of them ambiguous, with its vector back to front."""
+    e = table(spark, d, "embeddings")
+    return e.select((F.col("vec_id") % 97).cast("string").alias("uri"), F.concat(F.lit("label "), (F.col("vec_id") % 101).cast("string")).alias("text"), (F.col("vec_id") % 4 == 0).alias("ambiguous"), F.reverse("embedding").alias("embedding"))
 
 
 _LABEL_SQL = """
-    lb AS (SELECT (vec_id % 12)::VARCHAR AS uri, 'label ' || (vec_id % 15)::VARCHAR AS text, vec_id % 4 = 0 AS ambiguous,
-                  list_transform(embedding, lambda x: x::DOUBLE / greatest(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 1e-12)) AS c FROM embeddings WHERE vec_id < 20),
+    lb AS (SELECT (vec_id % 97)::VARCHAR AS uri, 'label ' || (vec_id % 101)::VARCHAR AS text, vec_id % 4 = 0 AS ambiguous,
+                  list_transform(list_reverse(embedding), lambda x: x::DOUBLE / greatest(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 1e-12)) AS c FROM embeddings),
     ls AS (SELECT doc_id, uri, text, ambiguous, round(list_dot_product(u, c), 9) AS sim FROM v3, lb),
     lr AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sim DESC, uri, text, ambiguous) AS r FROM ls),
     lh AS (SELECT * FROM lr WHERE r <= 5 AND sim >= 0.1),
@@ -31,12 +31,13 @@ _LABEL_SQL = """
 
 @query("m3_retrieve", f"""
     WITH {V3_SQL}, {_LABEL_SQL}, u AS (SELECT doc_id, string_agg(DISTINCT uri, ';' ORDER BY uri) AS uris FROM lk WHERE NOT ambiguous GROUP BY 1),
-    t AS (SELECT doc_id, string_agg(DISTINCT text, ';' ORDER BY text) AS labels, max(sim) AS best FROM lk GROUP BY 1)
-    SELECT doc_id, coalesce(uris, '') AS uris, coalesce(labels, '') AS labels, round(best, 6) AS best FROM v3 LEFT JOIN u USING (doc_id) LEFT JOIN t USING (doc_id)
+    t AS (SELECT doc_id, string_agg(DISTINCT text, ';' ORDER BY text) AS labels, max(sim) AS best FROM lk GROUP BY 1),
+    n AS (SELECT doc_id, string_agg(uri || ':' || n, ';' ORDER BY uri) AS support FROM (SELECT doc_id, uri, count(*) AS n FROM lk WHERE NOT ambiguous GROUP BY 1, 2) GROUP BY 1)
+    SELECT doc_id, coalesce(uris, '') AS uris, coalesce(labels, '') AS labels, round(best, 6) AS best, coalesce(support, '') AS support FROM v3 LEFT JOIN u USING (doc_id) LEFT JOIN t USING (doc_id) LEFT JOIN n USING (doc_id)
 """)
 def m3(spark, d):
     r = retrieve(doc_topics_vec(spark, d), _labels(spark, d), 5, 0.1)
-    return rounded(r.select("doc_id", F.array_join("uris", ";").alias("uris"), F.array_join("labels", ";").alias("labels"), F.array_max(F.map_values("weight_label")).alias("best")))
+    return rounded(r.select("doc_id", F.array_join("uris", ";").alias("uris"), F.array_join("labels", ";").alias("labels"), F.array_max(F.map_values("weight_label")).alias("best"), F.array_join(F.transform(F.array_sort(F.map_entries("support_uri")), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))), ";").alias("support")))
 
 
 @query("m4_entropy", f"""
@@ -84,7 +85,12 @@ def m9(spark, d):
 
 @query("m1_embed")
 def m1(spark, d):
-    return rounded(embed(corpus(spark, d)).select("doc_id", F.get("embedding", F.lit(0)).cast("double").alias("e1")))
+    return embed(corpus(spark, d)).select("doc_id", _hashed("embedding").alias("h"))
+
+
+def _hashed(vector):
+    """MD5 of a vector's components in millionths."""
+    return F.md5(F.array_join(F.transform(vector, lambda x: F.round(x.cast("double") * 1e6).cast("long").cast("string")), ","))
 
 
 @query("m5_density_topics")
@@ -105,7 +111,7 @@ def m12(spark, d):
 
 @query("q12_stability")
 def q12(spark, d):
-    return rounded(stability(doc_topics_vec(spark, d), 2, clusterer=DensityClusters(8, 4), sample=400))
+    return rounded(stability(doc_topics_vec(spark, d), 2, clusterer=DensityClusters(8, 4)))
 
 
 @query("m7_llm_gate", f"""
@@ -122,24 +128,36 @@ def m7(spark, d):
     return rounded(out.select("doc_id", "topic", "llm_called", "llm_skip_reason", "assignment_confidence"))
 
 
-@query("m18_refine_taxonomy")
+@query("m18_refine_taxonomy", """
+    WITH RECURSIVE e AS (SELECT vec_id AS id, 'topic ' || vec_id AS label, vec_id % 7 AS gen_freq, list_transform(embedding, lambda x: x::DOUBLE / greatest(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 1e-12)) AS u FROM embeddings WHERE vec_id % 7 >= 2),
+    p AS (SELECT a.id AS u, b.id AS v FROM e a JOIN e b ON a.id < b.id WHERE round(list_dot_product(a.u, b.u), 9) >= 0.35), b AS (SELECT u, v FROM p UNION ALL SELECT v, u FROM p),
+    r(node, c) USING KEY (node) AS (
+        SELECT id, id FROM e
+        UNION
+        SELECT b.v, min(r.c) FROM r JOIN b ON r.node = b.u JOIN recurring.r AS o ON o.node = b.v WHERE r.c < o.c GROUP BY b.v
+    )
+    SELECT first(label ORDER BY gen_freq DESC, label) AS label, sum(gen_freq)::BIGINT AS gen_freq, count(*) AS members FROM r JOIN e ON e.id = r.node GROUP BY c ORDER BY 2 DESC, 1 LIMIT 500
+""")
 def m18(spark, d):
-    e = table(spark, d, "embeddings").where("vec_id < 200")
-    topics = e.select(F.col("vec_id").alias("id"), F.concat(F.lit("topic "), F.col("vec_id").cast("string")).alias("label"), (F.col("vec_id") % 7).alias("gen_freq"), "embedding")
+    topics = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.concat(F.lit("topic "), F.col("vec_id").cast("string")).alias("label"), (F.col("vec_id") % 7).alias("gen_freq"), "embedding")
     return refine_taxonomy(topics, 2, 0.35).drop("component")
 
 
-@query("m19_assign")
+@query("m19_assign", """
+    WITH n AS (SELECT doc_id, length(coalesce(text, '')) % 3 AS n FROM documents)
+    SELECT doc_id, CASE WHEN n = 0 THEN 'alpha' ELSE 'Outlier' END AS topic_label, CASE WHEN n = 2 THEN 'no such quote, surely' ELSE '' END AS quote,
+           CASE WHEN n = 0 THEN 'ok' ELSE 'failed' END AS status, CASE WHEN n = 0 THEN 0 ELSE 2 END::INTEGER AS retries FROM n
+""")
 def m19(spark, d):
-    model = _EchoLabel()
-    return assign_labels(corpus(spark, d).select("doc_id", "text"), ["alpha", "beta"], model, 1)
+    return assign_labels(corpus(spark, d).select("doc_id", "text"), ["alpha", "beta"], _ByLength(), 2, doc_chars=0)
 
 
-class _EchoLabel:
-    """A stand-in model: the first topic listed, without a quote."""
+class _ByLength:
+    """A stand-in model: by the length of the document it says a topic, one it wasn't given, or one with a quote of its own."""
 
     def reply(self, prompts: list[str]) -> list[str]:
-        return ['{"label": "' + p.split(":", 1)[1].split(";")[0].strip() + '", "quote": ""}' for p in prompts]
+        said = ['{"label": "Alpha", "quote": ""}', '{"label": "gamma", "quote": ""}', '{"label": "beta", "quote": "no such quote, surely"}']
+        return [said[len(p.split("\nDocument: ", 1)[1].rpartition("\n")[0]) % 3] for p in prompts]
 
 
 @query("m20_label_ids", "SELECT c_custkey, c_mktsegment AS topic_label, (dense_rank() OVER (ORDER BY c_mktsegment) - 1)::INTEGER AS topic FROM customer")
@@ -160,8 +178,27 @@ def m16(spark, d):
     return topic_cards(labels, sizes, docs.groupBy("topic").agg(F.count_if(F.col("flag") == 1).alias("flagged")))
 
 
+def _triples(spark, d):
+    """Parts as an ontology: labels, some of them in another language, and equivalents."""
+    part = table(spark, d, "part")
+    uri = F.concat(F.lit("http://x/topics/p"), F.col("p_partkey").cast("string"))
+    lang = F.when(F.col("p_partkey") % 5 == 0, "tr").when(F.col("p_partkey") % 2 == 0, "en")
+    named = part.select(uri.alias("s"), F.lit("http://www.w3.org/2000/01/rdf-schema#label").alias("p"), F.col("p_name").alias("o"), lang.alias("lang"))
+    same = part.where("p_partkey % 3 = 0").select(uri.alias("s"), F.lit("http://x/schema#relatedEquivalent"), F.concat(F.lit("http://x/topics/"), F.translate("p_brand", "# ", "__")), F.lit(None).cast("string"))
+    return named.union(same)
+
+
+@query("m2_label_index", """
+    WITH l AS (SELECT 'http://x/topics/p' || p_partkey AS uri, p_name AS text FROM part WHERE p_partkey % 5 <> 0
+               UNION SELECT 'http://x/topics/p' || p_partkey, trim(translate(translate(p_brand, '# ', '__'), '_', ' ')) FROM part WHERE p_partkey % 3 = 0),
+    k AS (SELECT *, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS k FROM l WHERE length(text) >= 3), n AS (SELECT k, count(DISTINCT uri) AS n FROM k GROUP BY 1)
+    SELECT uri, text, n > 1 AS ambiguous FROM k JOIN n USING (k) WHERE NOT (n > 1 AND (length(text) <= 4 OR (len(string_split(k, ' ')) = 1 AND length(text) <= 6)))
+""")
+def m2_index(spark, d):
+    return label_index(_triples(spark, d))
+
+
 @query("m2_label_vectors")
 def m2(spark, d):
-    """Labels of parts, encoded."""
-    p = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("uri"), F.col("p_name").alias("text"))
-    return rounded(embed(p).select("uri", "text", F.get(unit("embedding"), F.lit(0)).alias("e1")))
+    """The label index, encoded."""
+    return embed(label_index(_triples(spark, d))).select("uri", "text", "ambiguous", _hashed(unit("embedding")).alias("h"))

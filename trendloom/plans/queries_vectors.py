@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from trendloom.functions.vectors import cosine, cosine_distance, dot, entropy, npmi, softmax, unit
 from trendloom.operators.centroids import centroids, certainty, drift, merge_micro, near_pairs, reassign, silhouette, sweep, top_k, top_two, topic_spread
-from trendloom.operators.evaluate import agreement, compare, coverage, gini, metrics, topic_entropy
+from trendloom.operators.evaluate import agreement, compare, gini, topic_entropy
 from trendloom.plans.registry import query, rounded
 from trendloom.plans.views import V1_SQL, V3_SQL, centroid_sql, doc_topics_li, doc_topics_vec, table
 
@@ -29,13 +29,13 @@ def x1(spark, d):
 
 
 @query("x5_softmax_entropy", """
-    WITH e AS (SELECT vec_id, list_transform(embedding[1:8], lambda x: x::DOUBLE) AS e FROM embeddings),
+    WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
     x AS (SELECT vec_id, e, list_transform(e, lambda v: exp((v - list_max(e)) / 0.07)) AS x FROM e),
     s AS (SELECT vec_id, list_transform(x, lambda v: v / (list_sum(x) + 1e-12)) AS p FROM x)
     SELECT vec_id, round(p[1], 6) AS p1, round(-list_sum(list_transform(p, lambda v: v * ln(v + 1e-12))), 6) AS h FROM s
 """)
 def x5(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double")).alias("e"))
+    e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
     p = e.select("vec_id", softmax("e", 0.07).alias("p"))
     return rounded(p.select("vec_id", F.get("p", F.lit(0)).alias("p1"), entropy("p").alias("h")))
 
@@ -57,10 +57,10 @@ def x9(spark, d):
     return rounded(j.select("a", "b", npmi(F.col("na") / F.col("n"), F.col("nb") / F.col("n"), F.col("nab") / F.col("n")).alias("npmi")))
 
 
-@query("a3_centroids", f"WITH {V3_SQL}, {_C2} SELECT topic, n, round(c[1], 6) AS c1, round(c[64], 6) AS c64 FROM c2")
+@query("a3_centroids", f"WITH {V3_SQL}, {_C2} SELECT topic, n, md5(array_to_string(list_transform(c, lambda x: round(x * 1000000)::BIGINT), ',')) AS h FROM c2")
 def a3(spark, d):
     c = centroids(doc_topics_vec(spark, d).where("topic <> -1"), ["topic"], 2)
-    return rounded(c.select("topic", "n", F.element_at("centroid", 1).alias("c1"), F.element_at("centroid", 64).alias("c64")))
+    return c.select("topic", "n", F.md5(F.array_join(F.transform("centroid", lambda x: F.round(x * 1e6).cast("long").cast("string")), ",")).alias("h"))
 
 
 @query("a4_spread", f"""
@@ -113,7 +113,8 @@ def m6(spark, d):
     l AS (SELECT k // 10000 AS topic, k % 10000 AS year, c, lag(c) OVER w AS p, lag(k % 10000) OVER w AS y0 FROM cy WINDOW w AS (PARTITION BY k // 10000 ORDER BY k)),
     s AS (SELECT topic, year, y0, (year - y0)::DOUBLE AS gap, least(greatest(1 - least(greatest(list_dot_product(c, p), -1.0), 1.0), 0.0), 2.0) AS step FROM l WHERE p IS NOT NULL)
     SELECT topic::INTEGER AS topic, (count(*) + 1)::INTEGER AS years_used, min(y0)::INTEGER AS first_year, max(year)::INTEGER AS last_year, round(sum(step), 6) AS drift_total_dist, round(avg(step), 6) AS drift_step_mean,
-           round(avg(gap), 6) AS mean_year_gap, round(avg(step) * ln(count(*) + 2.0), 6) AS drift_robust_score FROM s GROUP BY 1
+           round(avg(gap), 6) AS mean_year_gap, round(avg(step) * ln(count(*) + 2.0), 6) AS drift_robust_score, (count(*) + 1)::INTEGER AS years, round(sum(step), 6) AS drift_total_dist_raw, round(avg(step), 6) AS drift_step_mean_raw,
+           0.0::DOUBLE AS missing_emb_rate, 'raw_step' AS drift_mode FROM s GROUP BY 1
 """)
 def q9(spark, d):
     return rounded(drift(doc_topics_vec(spark, d), 3))
@@ -168,26 +169,28 @@ def m13(spark, d):
     return rounded(merge_micro(doc_topics_vec(spark, d), 45, 0.0)[1])
 
 
-@query("q13_ami")
+def _ami_sql(name: str, where: str = "true") -> str:
+    """CTE name(n, ami) of the contingency table cell(a, b, n)."""
+    g = "lgamma"
+    return f"""
+    {name}_c AS (SELECT a, b, n::DOUBLE AS n FROM cell WHERE {where}), {name}_n AS (SELECT sum(n) AS t FROM {name}_c),
+    {name}_a AS (SELECT a, sum(n) AS i FROM {name}_c GROUP BY 1), {name}_b AS (SELECT b, sum(n) AS j FROM {name}_c GROUP BY 1),
+    {name}_m AS (SELECT sum(n / t * ln(t * n / (i * j))) AS mi FROM {name}_c JOIN {name}_a USING (a) JOIN {name}_b USING (b), {name}_n),
+    {name}_k AS (SELECT i, j, t, unnest(range(greatest(1, i + j - t)::BIGINT, least(i, j)::BIGINT + 1)) AS k FROM {name}_a, {name}_b, {name}_n),
+    {name}_e AS (SELECT sum(k / t * ln(t * k / (i * j)) * exp({g}(i + 1) + {g}(j + 1) + {g}(t - i + 1) + {g}(t - j + 1) - {g}(t + 1) - {g}((k + 1)::DOUBLE) - {g}(i - k + 1) - {g}(j - k + 1) - {g}(t - i - j + k + 1))) AS emi FROM {name}_k),
+    {name} AS (SELECT t::BIGINT AS n, (mi - emi) / (((SELECT -sum(i / t * ln(i / t)) FROM {name}_a) + (SELECT -sum(j / t * ln(j / t)) FROM {name}_b)) / 2 - emi) AS ami FROM {name}_m, {name}_e, {name}_n)"""
+
+
+@query("q13_ami", f"""
+    WITH cell AS (SELECT label AS a, vec_id % 10 - 1 AS b, count(*) AS n FROM embeddings GROUP BY 1, 2), {_ami_sql("w")}, {_ami_sql("o", "a <> -1 AND b <> -1")}
+    SELECT 'label' AS "left", 'modulo' AS "right", w.n AS docs, round(w.ami, 6) AS ami_all, o.n AS docs_both, round(o.ami, 6) AS ami_both FROM w, o
+""")
 def q13(spark, d):
     e = table(spark, d, "embeddings")
     runs = {"label": e.select(F.col("vec_id").alias("doc_id"), F.col("label").alias("topic")), "modulo": e.select(F.col("vec_id").alias("doc_id"), (F.col("vec_id") % 10 - 1).alias("topic"))}
     return rounded(agreement(runs))
 
 
-@query("q19_evaluate", f"""
-    WITH {V3_SQL}, {centroid_sql("c3", "v3", "topic", 3)}, c AS (SELECT count(*) AS n, count(DISTINCT CASE WHEN topic <> -1 THEN topic END) AS t, count(*) FILTER (topic = -1) AS o FROM v3),
-    s AS (SELECT count(*) AS n FROM v3 WHERE topic <> -1 GROUP BY topic), p AS (SELECT n / sum(n) OVER () AS p FROM s),
-    h AS (SELECT -sum(p * ln(p + 1e-12)) AS h, count(*) AS k FROM p), z AS (SELECT avg(list_dot_product(u, c)) AS z FROM v3 JOIN c3 USING (topic))
-    SELECT 'docs' AS metric, n::DOUBLE AS value FROM c UNION ALL SELECT 'topics', t FROM c UNION ALL SELECT 'outliers', o FROM c UNION ALL SELECT 'coverage', round(1 - o / n, 6) FROM c
-    UNION ALL SELECT 'topic_entropy', round(h, 6) FROM h UNION ALL SELECT 'topic_entropy_norm', round(h / ln(k), 6) FROM h UNION ALL SELECT 'certainty', round(z, 6) FROM z
-""")
-def q19(spark, d):
-    v = doc_topics_vec(spark, d)
-    h = topic_entropy(v).select(F.col("entropy").alias("topic_entropy"), F.col("entropy_norm").alias("topic_entropy_norm"))
-    return rounded(metrics(_a=coverage(v), _b=h, _c=certainty(v).select("certainty")))
-
-
 @query("q20_compare", """
     WITH r AS (SELECT l_returnflag AS label, l_linenumber AS run, 'price' AS metric, avg(l_extendedprice) AS value FROM lineitem GROUP BY 1, 2)
     SELECT label, metric, count(DISTINCT run) AS n_runs, round(avg(value), 6) AS mean, round(coalesce(stddev_samp(value), 0.0), 6) AS std FROM r GROUP BY 1, 2

@@ -13,10 +13,11 @@ from typing import Protocol
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from trendloom.functions.text import clean_label
 from trendloom.functions.vocabulary import ABSTENTIONS
-from trendloom.operators.centroids import centroids, top_k
+from trendloom.operators.centroids import centroids, first_outliers, gate_threshold, top_k
 
 
 class Chooser(Protocol):
@@ -150,20 +151,28 @@ def gate_prompt(text: Column, cards: Column, limit: int = 1200) -> Column:
     return F.concat(F.lit('Which topic fits the document? Answer with {"topic_id": id} or {"topic_id": -1}.\nDocument: '), F.substring(F.coalesce(text, F.lit("")), 1, limit), F.lit("\nTopics:\n"), F.array_join(lines, "\n"))
 
 
-def llm_gate(docs: DataFrame, topics: DataFrame, chooser: Chooser | None = None, k: int = 5, floor: float = 0.55, gate: tuple[float, float] | None = None) -> DataFrame:
+def llm_gate(docs: DataFrame, topics: DataFrame, chooser: Chooser | None = None, k: int = 5, floor: float = 0.55, gate: tuple[float, float] | None = None, gate_quantile: float | None = None, most: int = 0) -> DataFrame:
     """M7: docs (doc_id, topic, text, embedding) with outliers put to a language model that picks among the nearest topics.
 
-    Candidates are the k nearest centroids over ``floor``; documents without one, or protected
-    by ``gate`` (see reassign()), aren't asked, and say so in llm_skip_reason. A None chooser
-    passes all rows through. Adds llm_called, llm_skip_reason and assignment_confidence.
+    Candidates are the k nearest centroids over ``floor``; documents without one, protected by
+    ``gate`` and ``gate_quantile`` (see reassign()), or after the first ``most`` by doc_id where
+    that is above 0, aren't asked, and say so in llm_skip_reason. A None chooser passes all rows
+    through. Adds llm_called, llm_skip_reason and assignment_confidence, which rows that aren't
+    assigned here keep where docs has it.
     """
-    flags = {"llm_called": F.lit(False), "llm_skip_reason": F.lit(""), "assignment_confidence": F.lit(None).cast("double")}
+    before = F.col("assignment_confidence") if "assignment_confidence" in docs.columns else F.lit(None).cast("double")
+    flags = {"llm_called": F.lit(False), "llm_skip_reason": F.lit(""), "assignment_confidence": before}
     if chooser is None:
         return docs.withColumns(flags)
     cents = centroids(docs.where("topic <> -1"), ["topic"]).select("topic", F.col("centroid").alias("embedding"))
-    near = top_k(docs.where("topic = -1"), cents, k).where(F.col("sim") > floor).join(F.broadcast(topics.select("topic", "label")), "topic", "left")
+    if gate:
+        gate = gate_threshold(docs, gate, gate_quantile)
+        fine = docs.where(~F.coalesce((F.col("cso_top1_sim") >= gate[0]) & (F.col("entropy") <= gate[1]), F.lit(False)))
+    else:
+        fine = docs
+    near = top_k(first_outliers(fine, most), cents, k).where(F.col("sim") > floor).join(topics.select("topic", "label"), "topic", "left")
     cards = near.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("rank", "topic", "sim", F.coalesce("label", F.lit("")).alias("label")))).alias("cards"))
-    safe = (F.col("cso_top1_sim") >= gate[0]) & (F.col("entropy") <= gate[1]) if gate else F.lit(False)
+    safe = F.coalesce((F.col("cso_top1_sim") >= gate[0]) & (F.col("entropy") <= gate[1]), F.lit(False)) if gate else F.lit(False)
     open_ = docs.where((F.col("topic") == -1) & ~safe).select("doc_id", "text").join(cards, "doc_id")
     replies = ask(open_.withColumn("prompt", gate_prompt(F.col("text"), F.col("cards"))), "prompt", chooser)
     picked = replies.select("doc_id", "cards", choice_column(F.col("reply"), F.transform("cards", lambda c: c["topic"]), F.transform("cards", lambda c: c["label"])).alias("pick"))
@@ -172,7 +181,7 @@ def llm_gate(docs: DataFrame, topics: DataFrame, chooser: Chooser | None = None,
     outlier, called = F.col("topic") == -1, F.col("pick").isNotNull()
     reason = F.when(~outlier | called, "").when(safe, "entropy_gate").otherwise("low_similarity")
     return out.withColumns({
-        "llm_called": called, "llm_skip_reason": reason, "assignment_confidence": F.when(called & (F.col("pick") != -1), F.col("_sim")),
+        "llm_called": called, "llm_skip_reason": reason, "assignment_confidence": F.when(called & (F.col("pick") != -1), F.col("_sim")).otherwise(before),
         "topic": F.when(called, F.col("pick")).otherwise(F.col("topic")),
     }).drop("pick", "_sim")
 
@@ -235,30 +244,41 @@ def discover(texts: Iterator[str], ask_one: Callable[[str], str], batch: int = 5
     return list(topics.values())[:most]
 
 
-def assign_labels(docs: DataFrame, labels: list[str], chooser: Chooser, retries: int = 5) -> DataFrame:
-    """(doc_id, topic_label, quote, status, retries): each text put to a model until its label is known and its quote stands in the text."""
+def assign_labels(docs: DataFrame, labels: list[str], chooser: Chooser, retries: int = 5, doc_chars: int = 1200, taxonomy: str | None = None) -> DataFrame:
+    """(doc_id, topic_label, quote, status, retries): each text put to a model until its label is known and its quote stands in what it was shown.
+
+    The model sees the first ``doc_chars`` characters, all if that is 0 or less, and ``taxonomy``
+    (taxonomy_text()) or the bare labels. The prompts of a batch that are still open go out in
+    one call, so that a client may pool its requests.
+    """
     known = {name.lower(): name for name in labels}
+    listed = taxonomy or "; ".join(labels)
     squeeze = lambda s: re.sub(r"\s+", " ", s or "").strip()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                label, quote, status, said, tries = "Outlier", "", "failed", "", 0
-                for tries in range(retries + 1):
-                    prompt = f"Topics: {'; '.join(labels)}\nDocument: {(text or '')[:1200]}\n{said}"
-                    got = parse_json(chooser.reply([prompt])[0])
+            shown = [(t or "")[:doc_chars] if doc_chars > 0 else t or "" for t in pdf["text"]]
+            said = [""] * len(shown)
+            rows = [["Outlier", "", "failed", retries] for _ in shown]
+            open_ = list(range(len(shown)))
+            for tries in range(retries + 1):
+                replies = chooser.reply([f"Topics: {listed}\nDocument: {shown[i]}\n{said[i]}" for i in open_]) if open_ else []
+                left = []
+                for i, reply in zip(open_, replies, strict=True):
+                    got = parse_json(reply)
                     name = _tidy(str(got.get("label", ""))) if isinstance(got, dict) else ""
                     quote = str(got.get("quote") or "") if isinstance(got, dict) else ""
+                    rows[i][1] = quote
                     if name != "outlier" and name not in known:
-                        said = f"'{name}' is not a topic."
-                    elif squeeze(quote) not in squeeze(text):
-                        said = "The quote is not in the document."
+                        said[i] = f"'{name}' is not a topic."
+                    elif squeeze(quote) not in squeeze(shown[i]):
+                        said[i] = "The quote is not in the document."
                     else:
-                        label, status = known.get(name, "Outlier"), "ok"
-                        break
-                rows.append((doc_id, label, quote, status, tries))
-            yield pd.DataFrame(rows, columns=["doc_id", "topic_label", "quote", "status", "retries"])
+                        rows[i] = [known.get(name, "Outlier"), quote, "ok", tries]
+                        continue
+                    left.append(i)
+                open_ = left
+            yield pd.DataFrame([(d, *r) for d, r in zip(pdf["doc_id"], rows, strict=True)], columns=["doc_id", "topic_label", "quote", "status", "retries"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, topic_label string, quote string, status string, retries int")
@@ -267,9 +287,8 @@ def assign_labels(docs: DataFrame, labels: list[str], chooser: Chooser, retries:
 def label_ids(df: DataFrame, label: str = "topic_label") -> DataFrame:
     """Adds topic: 0, 1 and so on in order of the distinct labels, -1 for Outlier."""
     names = df.select(clean_label(label).alias("_l")).where("_l <> 'Outlier'").distinct()
-    ids = names.agg(F.sort_array(F.collect_list("_l")).alias("_all"))
-    at = F.array_position("_all", clean_label(label)).cast("int") - 1
-    return df.join(F.broadcast(ids), F.lit(True)).withColumn("topic", F.when(clean_label(label) == "Outlier", -1).otherwise(at)).drop("_all")
+    ids = names.select("_l", (F.row_number().over(Window.orderBy("_l")) - 1).alias("_i"))  # a row for each label
+    return df.withColumn("_l", clean_label(label)).join(ids, "_l", "left").withColumn("topic", F.coalesce("_i", F.lit(-1))).drop("_l", "_i")
 
 
 def refine_taxonomy(topics: DataFrame, min_freq: int = 2, sim: float = 0.85, most: int = 500) -> DataFrame:

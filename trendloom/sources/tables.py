@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import io
 import json
 import re
@@ -35,33 +36,41 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def file_encoding(spark: SparkSession, path: str) -> str:
-    """The first of ENCODINGS that the files' bytes are; checked where the files are, a file at a time."""
+def _filesystem(path: str) -> tuple[pa.fs.FileSystem, str]:
+    return pa.fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+
+
+def file_encoding(spark: SparkSession, path: str, chunk: int = 8 << 20) -> str:
+    """The first of ENCODINGS that all the files' bytes are, read where the files are in chunks, so that no task holds a file."""
 
     @F.pandas_udf("int")
     def first(s: pd.Series) -> pd.Series:
-        def of(data: bytes) -> int:
-            for i, name in enumerate(ENCODINGS):
+        def fits(name: str, encoding: str) -> bool:
+            fs, p = _filesystem(name)
+            decoder = codecs.getincrementaldecoder(encoding)()
+            with fs.open_input_stream(p) as f:
                 try:
-                    data.decode(name)
-                    return i
+                    while data := f.read(chunk):
+                        decoder.decode(data)
+                    decoder.decode(b"", final=True)
                 except UnicodeDecodeError:
-                    continue
-            return len(ENCODINGS) - 1
+                    return False
+            return True
 
-        return s.map(of).astype("int32")
+        return s.map(lambda name: next((i for i, e in enumerate(ENCODINGS[:-1]) if fits(name, e)), len(ENCODINGS) - 1)).astype("int32")
 
-    worst = spark.read.format("binaryFile").load(path).agg(F.max(first("content"))).first()[0]
+    worst = spark.read.format("binaryFile").load(path).select("path").agg(F.max(first("path"))).first()[0]
     return ENCODINGS[worst or 0]
 
 
-def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = None, lenient: bool = False) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = None, lenient: bool = False, multi_line: bool = True) -> DataFrame:
     """CSV with a header, quoted line breaks and any of ENCODINGS; doc_id is a string.
 
     ``lenient`` drops lines that don't fit the schema; else they fail the read. Without a
-    schema all columns are strings.
+    schema all columns are strings. Files whose fields hold no line break are split over tasks
+    with ``multi_line`` off; else each is one task.
     """
-    reader = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"')
+    reader = spark.read.option("header", True).option("multiLine", multi_line).option("quote", '"').option("escape", '"')
     encoding = file_encoding(spark, path)
     reader = reader.option("encoding", "UTF-8" if encoding == "UTF-8" else "ISO-8859-1").option("mode", "DROPMALFORMED" if lenient else "FAILFAST")
     df = (reader.schema(schema) if schema is not None else reader).csv(path)
@@ -114,11 +123,11 @@ def find_run_dir(spark: SparkSession, roots: list[str]) -> str | None:
 @dataclass
 class Rows(InputPartition):
     start: int
-    stop: int
+    ids: list[str]
 
 
 class NpyReader(DataSourceReader):
-    """Ranges of rows of an .npy matrix with a JSON list of ids beside it; each task reads its own bytes."""
+    """Ranges of rows of an .npy matrix with a JSON list of ids beside it; each task gets its ids and reads its own bytes."""
 
     def __init__(self, options: dict[str, str]):
         self.path = options["path"]
@@ -126,7 +135,7 @@ class NpyReader(DataSourceReader):
         self.rows = int(options.get("rows", 8192))
 
     def _open(self, path: str):
-        fs, p = pa.fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+        fs, p = _filesystem(path)
         return fs.open_input_file(p)
 
     def _head(self, f) -> tuple[tuple[int, ...], np.dtype, int]:
@@ -142,20 +151,18 @@ class NpyReader(DataSourceReader):
         with self._open(self.path) as f:
             shape, _, _ = self._head(f)
         with self._open(self.ids) as f:
-            n = len(json.loads(f.read()))
-        if n != shape[0]:
-            raise ValueError(f"{n} ids for {shape[0]} rows")
-        return [Rows(i, min(i + self.rows, n)) for i in range(0, n, self.rows)]
+            ids = [str(i) for i in json.loads(f.read())]
+        if len(ids) != shape[0]:
+            raise ValueError(f"{len(ids)} ids for {shape[0]} rows")
+        return [Rows(i, ids[i : i + self.rows]) for i in range(0, len(ids), self.rows)]
 
     def read(self, partition: Rows) -> Iterator[pa.RecordBatch]:
         with self._open(self.path) as f:
             shape, kind, at = self._head(f)
             width = shape[1] * kind.itemsize
             f.seek(at + partition.start * width)
-            x = np.frombuffer(f.read((partition.stop - partition.start) * width), dtype=kind).reshape(-1, shape[1]).astype(np.float32)
-        with self._open(self.ids) as f:
-            ids = json.loads(f.read())[partition.start : partition.stop]
-        yield pa.RecordBatch.from_pydict({"doc_id": pa.array([str(i) for i in ids]), "embedding": pa.array(list(x), pa.list_(pa.float32()))})
+            x = np.frombuffer(f.read(len(partition.ids) * width), dtype=kind).reshape(-1, shape[1]).astype(np.float32)
+        yield pa.RecordBatch.from_pydict({"doc_id": pa.array(partition.ids), "embedding": pa.array(list(x), pa.list_(pa.float32()))})
 
 
 class NpySource(DataSource):
@@ -255,3 +262,24 @@ def write_jsonl(df: DataFrame, path: str) -> None:
 def write_metrics(df: DataFrame, path: str) -> None:
     """K5: a JSON document of one row."""
     df.coalesce(1).write.mode("overwrite").json(path)
+
+
+def write_vectors(df: DataFrame, path: str) -> None:
+    """K3: (doc_id, embedding) as Parquet, ids beside their vectors."""
+    df.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("embedding").cast("array<float>").alias("embedding")).write.mode("overwrite").parquet(path)
+
+
+def write_label_index(df: DataFrame, path: str) -> None:
+    """K4: (uri, text, ambiguous, embedding) as Parquet."""
+    df.select("uri", "text", "ambiguous", F.col("embedding").cast("array<float>").alias("embedding")).write.mode("overwrite").parquet(path)
+
+
+def align_vectors(docs: DataFrame, vectors: DataFrame | None, encode) -> DataFrame:
+    """(doc_id, embedding) of every row of docs (doc_id, text): from vectors (doc_id, embedding) by id, or ``encode(docs)`` for those that have none."""
+    docs = docs.withColumn("doc_id", F.col("doc_id").cast("string"))
+    if vectors is None:
+        return encode(docs).select("doc_id", "embedding")
+    vectors = vectors.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("embedding").cast("array<float>").alias("embedding"))
+    missing = docs.join(vectors.where("embedding is not null").select("doc_id"), "doc_id", "left_anti")
+    kept = docs.select("doc_id").join(vectors.where("embedding is not null"), "doc_id")
+    return kept if missing.isEmpty() else kept.union(encode(missing).select("doc_id", F.col("embedding").cast("array<float>")))

@@ -130,13 +130,13 @@ def terms(t: Column | str, stop: list[str] = (), longest: int = 2) -> Column:
 
 
 def parse_list(t: Column | str) -> Column:
-    """T5: a list written as JSON, as a Python literal, or with ';', '|' or ',' between; trimmed, distinct, in order."""
+    """T5: a list written as JSON, as a Python list, tuple, set or dictionary (its keys), or with ';', '|' or ',' between; trimmed, distinct, in order."""
     s = F.trim(F.coalesce(_c(t), F.lit("")))
     bracketed = F.regexp_like(s, F.lit(r"^[\[{(](?s:.*)[\])}]$"))
-    as_json = F.from_json(F.when(bracketed, F.regexp_replace(F.regexp_replace(F.regexp_replace(s, r"^\(", "["), r"\)$", "]"), "'", '"')), "array<string>")
+    as_json = F.from_json(F.when(bracketed, F.regexp_replace(F.regexp_replace(F.regexp_replace(s, r"^[({]", "["), r"[)}]$", "]"), "'", '"')), "array<string>")
     as_keys = F.map_keys(F.from_json(F.when(s.startswith("{"), F.regexp_replace(s, "'", '"')), "map<string,string>"))
     by = F.when(s.contains(";"), F.split(s, ";")).when(s.contains("|"), F.split(s, r"\|")).when(s.contains(","), F.split(s, ",")).otherwise(F.array(s))
-    items = F.coalesce(F.when(s.startswith("{"), as_keys).when(bracketed, as_json), by)
+    items = F.coalesce(F.when(s.startswith("{"), as_keys), F.when(bracketed, as_json), by)
     tidy = F.array_distinct(F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: x != ""))
     return F.when((s == "") | F.lower(s).isin("nan", "none", "null"), F.array().cast("array<string>")).otherwise(tidy)
 

@@ -208,16 +208,19 @@ def test_sampled_topics_find_what_a_whole_clustering_finds(spark):
 
 
 def test_augment_names_then_clusters(spark):
+    """Of four groups, the first has a topic, the second a label, and the other two only lie apart."""
     rng = np.random.default_rng(3)
     rows = []
-    for i in range(60):
-        g = i % 3
+    for i in range(80):
+        g = i % 4
         v = (np.eye(6)[g] + 0.02 * rng.normal(size=6)).tolist()
         rows.append((i, 0 if g == 0 else -1, f"word{g} thing{g} part{g}", v, "named label" if g == 1 else "", 0.9 if g == 1 else 0.0, 0.1))
     df = spark.createDataFrame(rows, "doc_id long, topic int, text string, embedding array<double>, cso_top1_label string, cso_top1_sim double, entropy double")
     out = {r["doc_id"]: r["topic"] for r in clusters.augment(df, 5, 2).collect()}
-    assert {out[i] for i in range(0, 60, 3)} == {0} and {out[i] for i in range(1, 60, 3)} == {1}
-    assert all(out[i] in (-1, 2, 3) for i in range(2, 60, 3)) and sum(out[i] >= 2 for i in range(2, 60, 3)) >= 10
+    assert {out[i] for i in range(0, 80, 4)} == {0} and {out[i] for i in range(1, 80, 4)} == {1}
+    groups = [{out[i] for i in range(g, 80, 4)} - {-1} for g in (2, 3)]
+    assert all(len(g) >= 1 and min(g) >= 2 for g in groups) and not groups[0] & groups[1]
+    assert sum(out[i] >= 2 for i in range(80) if i % 4 >= 2) >= 20
     table = {r["label"]: r for r in concepts.symbolic_topics(df, 5)[1].collect()}
     assert table["named label"]["topic"] == 1 and table["named label"]["size"] == 20 and not table["named label"]["merged"]
     merged = concepts.symbolic_topics(df.withColumn("embedding", F.array(*[F.lit(1.0)] * 6)), 5)[1].first()

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.data import clashing, odd_documents, rows_of
-from trendloom.llm import byte_bpe, language_id, media, mixing, neighbours, simhash, toxicity, warc
+from trendloom.llm import byte_bpe, language_id, media, mixing, neighbours, shingles, simhash, toxicity, warc
 from trendloom.llm.queries import ORACLES, QUERIES
 from trendloom.plans.scratch import Scratch
 
@@ -245,6 +245,31 @@ def test_warc_appends_and_foreign_records(spark, tmp_path):
     assert read.where("record_type = 'response'").count() == 1
 
 
+@pytest.mark.parametrize("chunk", [2048, 16])
+def test_five_word_near_duplicates_against_all_pairs(spark, monkeypatch, chunk):
+    """A large group of near copies, texts that share a passage, and chains whose ends aren't alike."""
+    monkeypatch.setattr(shingles, "CHUNK", chunk)
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    base, passage = [word() for _ in range(90)], [word() for _ in range(40)]
+    texts = []
+    for _ in range(120):
+        t = base[:]
+        for _ in range(rng.randint(0, 3)):
+            t[rng.randrange(len(t))] = word()
+        texts.append(t)
+    texts += [[*(word() for _ in range(rng.randint(5, 30))), *passage, *(word() for _ in range(rng.randint(0, 20)))] for _ in range(120)]
+    chain = [word() for _ in range(100)]
+    for k in range(30):
+        chain = [*chain[2:], word(), word()] if k % 2 else [*chain[1:], word()]
+        texts.append(chain)
+    texts += [[word() for _ in range(3)] for _ in range(5)] + [texts[-1], []]
+    docs = spark.createDataFrame([(i, " ".join(t), "x") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    want = plain_near(list(range(len(texts))), [" ".join(t) for t in texts])
+    kept = {r["doc_id"] for r in simhash.keep_one(docs, shingles.similar_components).select("doc_id").collect()}
+    assert kept == set(want) and 100 < len(kept) < len(texts) - 100
+
+
 def test_keep_one_of_differing_rows(spark):
     rows = [(1, "a b c d e f g h", "x"), (1, "quite another text than the first one is", "y"), (1, "a b c d e f g h", "w"), (2, "a b c d e f g h", "x"), (3, None, "x"), (4, "", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")

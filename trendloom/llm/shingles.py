@@ -19,8 +19,10 @@ from trendloom.plans.scratch import Scratch
 SHINGLE, SIMILARITY = 5, 0.8
 #: Bands of minima; at similarity 0.8 all bands of a pair differ in 3 of a million cases.
 BANDS, ROWS = 24, 4
-#: Rows of one bucket that are compared with those of another chunk in one go; pairs at once.
-CHUNK, _PAIRS_AT_ONCE = 2048, 1 << 20
+#: Share of equal minima under which a pair isn't verified; true similarities of 0.8 fall below it in 4 of a million cases.
+LEAST_EQUAL = 0.615
+#: Rows of one bucket that are compared with those of another chunk in one go; pairs at once; shingles that meet all factors at once.
+CHUNK, _PAIRS_AT_ONCE, _SHINGLES_AT_ONCE = 2048, 1 << 18, 4096
 
 _FACTORS = np.random.default_rng(5).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -34,12 +36,15 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(ws[i : i + SHINGLE])) for i in range(n)), dtype=np.uint64, count=n))
 
 
-def bands(h: np.ndarray) -> list[int]:
+def minima(h: np.ndarray) -> np.ndarray:
+    """The least product of a text's shingles with each factor."""
+    parts = [(h[at : at + _SHINGLES_AT_ONCE, None] * _FACTORS).min(axis=0) for at in range(0, len(h), _SHINGLES_AT_ONCE)]
+    return np.min(parts, axis=0).astype("<u8")
+
+
+def bands(low: np.ndarray) -> list[int]:
     """A bucket key for each band: its ROWS minima, hashed."""
-    if not len(h):
-        return []
-    low = np.array([(h * f).min() for f in _FACTORS], dtype="<u8").reshape(BANDS, ROWS)
-    return [xxhash.xxh64_intdigest(row.tobytes(), k) - (1 << 63) for k, row in enumerate(low)]
+    return [xxhash.xxh64_intdigest(row.tobytes(), k) - (1 << 63) for k, row in enumerate(low.reshape(BANDS, ROWS))]
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -47,18 +52,31 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / max(1, len(a) + len(b) - both)
 
 
-def _differing(component: pa.ChunkedArray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows (i, j) of one run and different components."""
-    c = component.to_numpy()
-    n = len(c)
-    after = np.repeat(np.append(starts[1:], n), np.diff(np.append(starts, n))) - np.arange(n) - 1
+_VALUE = np.dtype([("component", ">i8"), ("band", "u1"), ("size", ">u4"), ("minima", "u1", BANDS * ROWS)])
+
+
+def _alike(values: pa.ChunkedArray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (i, j) of one run, of different components, whose sizes and minima allow for the similarity; each pair in the first band that both share.
+
+    Minima are held by their last byte.
+    """
+    x = np.frombuffer(b"".join(values.to_pylist()), dtype=_VALUE)
+    n, component, size = len(x), x["component"].astype(np.int64), x["size"].astype(np.int64)
+    low = np.ascontiguousarray(x["minima"])
+    by_band = low.view("<u4")
+    after = np.repeat(np.append(starts[1:], n), np.diff(np.append(starts, n))) - np.arange(n) - 1  # rows of the run that follow
     upto = np.cumsum(after)
     found = [(np.zeros(0, dtype=int),) * 2]
     for begin in range(0, int(upto[-1]) if n else 0, _PAIRS_AT_ONCE):
         k = np.arange(begin, min(begin + _PAIRS_AT_ONCE, int(upto[-1])))
         i = np.searchsorted(upto, k, side="right")
         j = i + 1 + k - (upto[i] - after[i])
-        found.append((i[c[i] != c[j]], j[c[i] != c[j]]))
+        fits = (component[i] != component[j]) & (np.minimum(size[i], size[j]) >= SIMILARITY * np.maximum(size[i], size[j]) - 1e-9)
+        i, j = i[fits], j[fits]
+        first = (by_band[i] == by_band[j]).argmax(axis=1) == x["band"][i]
+        i, j = i[first], j[first]
+        near = (low[i] == low[j]).sum(axis=1) >= LEAST_EQUAL * BANDS * ROWS
+        found.append((i[near], j[near]))
     return tuple(np.concatenate(f) for f in zip(*found, strict=True))
 
 
@@ -73,49 +91,64 @@ def _verify(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(a, "u").join(b, "v").select("u", "v", "us", "vs").mapInArrow(run, "u long, v long")
 
 
-def similar_components(docs: DataFrame, parts: DataFrame, scratch: Scratch, similarity: float = SIMILARITY, rounds: int = 2) -> DataFrame:
+def similar_components(docs: DataFrame, parts: DataFrame, scratch: Scratch, similarity: float = SIMILARITY, rounds: int = 4) -> DataFrame:
     """(node, component): which components of parts (doc_id, component_id) pairs of texts with that similarity join.
 
     Components that nothing joins don't appear. Texts with the same bands of minima meet in
-    buckets: first, in rounds, with a bucket's smallest row alone, then, where a bucket still
-    holds several components, each with each. All pairs are verified by their shingles.
+    buckets. First, in rounds, a bucket's row of least hash leads it, another in each round, and
+    every row is held against one leader of another component, that which it shares most
+    buckets with: a pair a row, which joins copies of one text whatever their number. Then
+    buckets that still hold several components compare each two of their rows by sizes and
+    minima, inside a task and in chunks of bounded size; only pairs that may be similar come
+    out. All pairs are verified by their shingles.
     """
     bounded_batches(docs.sparkSession)
 
-    @F.pandas_udf("array<long>")
-    def keys(s: pd.Series) -> pd.Series:
-        return pd.Series([bands(shingles(t)) for t in s], dtype=object)
+    @F.pandas_udf("keys array<long>, sketch binary")
+    def marks(s: pd.Series) -> pd.DataFrame:
+        out = []
+        for t in s:
+            h = shingles(t)
+            low = minima(h) if len(h) else None
+            out.append(([], b"") if low is None else (bands(low), len(h).to_bytes(4, "big") + low.astype(np.uint8).tobytes()))
+        return pd.DataFrame(out, columns=["keys", "sketch"])
 
     @F.pandas_udf("binary")
     def packed(s: pd.Series) -> pd.Series:
         return pd.Series([shingles(t).tobytes() for t in s], dtype=object)
 
     of = parts.where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("component"))
-    marked = scratch.save(docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), keys("text").alias("keys")), "bands")
+    made = docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), marks("text").alias("m"))
+    marked = scratch.save(made.select("id", "m.keys", "m.sketch"), "bands")
     # equal bands throughout stand for one text only if it is in one component anyway, so only those fall together
-    marked = marked.join(of.withColumnRenamed("doc_id", "id"), "id").groupBy("keys", "component").agg(F.min("id").alias("id"))
-    rows = scratch.save(marked.select("id", "component", F.explode("keys").alias("bucket")), "rows")
+    alone = marked.select("id", "keys").join(of.withColumnRenamed("doc_id", "id"), "id").groupBy("keys", "component").agg(F.min("id").alias("id"))
+    rows = alone.select("id", "component", F.posexplode("keys").alias("band", "bucket"))
 
     def several(classed: DataFrame) -> DataFrame:
         n = classed.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("bucket")
         return classed.join(n, "bucket")
 
-    rows = scratch.save(several(rows), "met")
+    rows = scratch.save(several(scratch.save(rows, "rows")), "met")
     ids = rows.select("id").distinct()
     sets = scratch.save(docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi").select("id", packed("text").alias("shingles")), "shingles")
-    start, classed, joined = rows.select("id", "component").distinct(), rows, rows.select(F.col("component").alias("u"), F.col("component").alias("v")).limit(0)
-    for k in range(rounds + 1):
-        left = several(classed)
-        if k < rounds:
-            lead = left.groupBy("bucket").agg(F.min(F.struct("component", "id")).alias("lead"))
-            pairs = left.join(lead, "bucket").where("component <> lead.component").select(F.col("lead.id").alias("u"), F.col("id").alias("v"))
-        else:
-            pairs = bucket_links(left.select("bucket", "id", "component"), "component", pa.int64(), CHUNK, _differing)
-        links = _verify(scratch.save(pairs.distinct(), "pairs"), sets, similarity)
+    start, left, joined = rows.select("id", "component").distinct(), rows, rows.select(F.col("component").alias("u"), F.col("component").alias("v")).limit(0)
+
+    def join(pairs: DataFrame) -> None:
+        nonlocal joined, found
+        links = _verify(scratch.save(pairs, "pairs"), sets, similarity)
         a, b = (start.select(F.col("id").alias(c), F.col("component").alias(f"{c}c")) for c in "uv")
-        joined = scratch.save(joined.union(links.join(a, "u").join(b, "v").select("uc", "vc")), "joined")
+        joined = scratch.save(joined.union(links.join(a, "u").join(b, "v").select("uc", "vc")).distinct(), "joined")
         found = connected_components(joined, scratch)
-        if k < rounds:
-            moved = found.select(F.col("node").alias("was"), F.col("component").alias("now"))
-            classed = scratch.save(rows.withColumnRenamed("component", "was").join(moved, "was", "left").select("id", F.coalesce("now", "was").alias("component"), "bucket"), "classed")
+
+    found = joined.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    for k in range(rounds):
+        lead = left.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), "id", "component")).alias("lead"))
+        met = left.join(lead, "bucket").where("component <> lead.component").groupBy(F.col("lead.id").alias("u"), F.col("id").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+        join(met.groupBy("v").agg(F.max_by("u", F.struct("n", "u")).alias("u")).select("u", "v"))
+        moved = found.select(F.col("node").alias("was"), F.col("component").alias("now"))
+        classed = rows.withColumnRenamed("component", "was").join(moved, "was", "left").select("id", F.coalesce("now", "was").alias("component"), "band", "bucket")
+        left = scratch.save(several(scratch.save(classed, "classed")), "left")
+    value = F.concat(F.unhex(F.lpad(F.hex("component"), 16, "0")), F.unhex(F.lpad(F.hex("band"), 2, "0")), F.col("sketch"))
+    held = left.join(marked.select("id", "sketch"), "id").select("bucket", "id", value.alias("value"))
+    join(bucket_links(held, "value", pa.binary(), CHUNK, _alike).distinct())
     return scratch.save(found, "components")

@@ -96,11 +96,10 @@ def test_commands_from_a_csv(spark, tmp_path):
         words = " ".join(f"{'ab'[i % 2]}word{j}" for j in rng.integers(0, 12, 25))
         lines.append(f'"Title {i}","{words}, with ""quotes""",doctoral,{2000 + i % 6}')
     (tmp_path / "c.csv").write_text("\n".join(lines))
-    for name in ("run", "bare"):
-        args = [name, "--data", str(tmp_path / "c.csv"), "--run_dir", str(tmp_path / name), "--min_cluster_size", "10", "--min_samples", "3", "--min_df", "2", "--trend_min_topic_size", "5", "--min_year_docs", "5", "--min_docs_shift", "2"]
-        assert cli.main(args) == 0
-        final = spark.read.parquet(str(tmp_path / name / "09_final_doc_topics.parquet"))
-        assert final.count() == 120 and final.where("topic <> -1").select("topic").distinct().count() >= 2
+    args = ["bare", "--data", str(tmp_path / "c.csv"), "--run_dir", str(tmp_path / "bare"), "--min_cluster_size", "10", "--min_samples", "3", "--min_df", "2", "--trend_min_topic_size", "5", "--min_year_docs", "5", "--min_docs_shift", "2"]
+    assert cli.main(args) == 0
+    final = spark.read.parquet(str(tmp_path / "bare" / "09_final_doc_topics.parquet"))
+    assert final.count() == 120 and final.where("topic <> -1").select("topic").distinct().count() >= 2
 
 
 class Namer:

@@ -455,6 +455,40 @@ def test_media_links_all_pairs(spark, monkeypatch):
     assert {r["image_id"]: r["class_id"] for r in media.copies(df).collect()} == dict(zip(ids, label, strict=True))
 
 
+def test_media_pairs_that_share_a_corner_stay_in_their_tasks(spark, monkeypatch):
+    """One corner in all images makes every two of them candidates, and few links; tables of pairs stay as long as that of images."""
+    monkeypatch.setattr(media, "CHUNK", 16)
+    rng = np.random.default_rng(9)
+    images = []
+    for _ in range(40):
+        x = np.full((100, 200), 128.0)
+        x[50:, :50] = 200
+        x[:, 104:] = np.kron(np.clip(128 + 50 * rng.normal(size=(13, 12)), 0, 255), np.ones((8, 8)))[:100]
+        images.append(x)
+    images += [np.clip(x + 3, 0, 255) for x in images[::4]]
+    blobs = [_pgm(x) for x in images]
+    sigs = [media.describe(media.decode(b)) for b in blobs]
+    corners, sets = [np.frombuffer(s, dtype=media._CORNER) for s in sigs], [set(media.keys(s)) for s in sigs]
+    label, candidates = list(range(len(blobs))), 0
+    for i in range(len(blobs)):
+        for j in range(i):
+            candidates += bool(sets[i] & sets[j])
+            if sets[i] & sets[j] and media.consensus(corners[j], corners[i]) >= media.INLIERS:
+                a, b = min(label[i], label[j]), max(label[i], label[j])
+                label = [a if x == b else x for x in label]
+    saved, save = [], Scratch.save
+
+    def counting(self, df, name="t"):
+        out = save(self, df, name)
+        saved.extend([out.count()] if set(out.columns) == {"u", "v"} else [])
+        return out
+
+    monkeypatch.setattr(Scratch, "save", counting)
+    df = spark.createDataFrame([(i, bytearray(b)) for i, b in enumerate(blobs)], "image_id long, image binary")
+    assert {r["image_id"]: r["class_id"] for r in media.copies(df).collect()} == dict(enumerate(label))
+    assert 20 < len(set(label)) <= 40 and candidates > 10 * len(blobs) and max(saved) <= 2 * len(blobs)
+
+
 def _turned(x, degrees):
     """x turned about its centre, bilinear, edges repeated."""
     h, w = x.shape

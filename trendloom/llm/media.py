@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trendloom.llm.common import bounded_batches
-from trendloom.llm.simhash import bucket_links
 from trendloom.operators.components import connected_components
 from trendloom.plans.scratch import Scratch
 
@@ -26,8 +25,8 @@ PATCH, MARGIN, TESTS = 22, 12, 256
 KEY_BITS, TABLES = 32, 8
 #: Differing bits of matching descriptors at most; matches that one similarity has to explain; pixels they may be off.
 MATCH_BITS, INLIERS, OFF = 55, 6, 2.0
-#: Corners of one bucket that are compared with those of another chunk in one go; pairs of corners at once.
-CHUNK, _PAIRS_AT_ONCE = 2048, 1 << 18
+#: Blocks of images that meet two by two: bytes of signatures in one at most, blocks that are made in any case if they hold CHUNK images each; pairs of corners at once.
+BLOCK_BYTES, BLOCKS, CHUNK, _PAIRS_AT_ONCE = 32 << 20, 3, 2048, 1 << 18
 
 _rng = np.random.default_rng(20)
 _PAIRS = np.clip(_rng.normal(0, PATCH / 2, (TESTS, 2, 2)), -PATCH, PATCH)
@@ -230,22 +229,101 @@ def consensus(a: np.ndarray, b: np.ndarray) -> int:
     return most
 
 
-def corner_pairs(corners: pa.ChunkedArray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows (i, j) in one run, of different classes, whose descriptors differ in MATCH_BITS at most; corners are 8 bytes of class and 32 of descriptor."""
-    x = np.frombuffer(b"".join(corners.to_pylist()), dtype=[("component", ">i8"), ("bits", "<u8", TESTS // 64)])
-    n, component, bits = len(x), x["component"].astype(np.int64), np.ascontiguousarray(x["bits"].T)
-    after = np.repeat(np.append(starts[1:], n), np.diff(np.append(starts, n))) - np.arange(n) - 1  # rows of the run that follow
+def block_links(component: np.ndarray, block: np.ndarray, corners: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (i, j) that join what all links between images of different blocks (of one block, if there is but one) join.
+
+    Images are rows in ascending order, and ``owner`` is the row of each corner. Two images are
+    held against each other if corners of theirs share a key and differ in MATCH_BITS at most,
+    unless their classes or links found before join them. A class gives one link at most.
+    """
+    n, two = len(component), block.min() != block.max()
+    _, first, which = np.unique(component, return_index=True, return_inverse=True)
+    start = first[which]
+    label, bound = start.copy(), np.searchsorted(owner, np.arange(n + 1))
+    mask, step = (1 << KEY_BITS) - 1, 1 << 15
+    keys = np.concatenate([(corner_keys(corners[at : at + step].tobytes()) & mask).astype(np.uint32) for at in range(0, len(corners), step)])
+    found, ends, held = [], [], 0
+    for key in keys.T:  # of each table the runs of equal keys that hold several classes, in both blocks if there are two
+        order = np.argsort(key, kind="stable")
+        begins = np.flatnonzero(np.r_[True, np.diff(key[order]) != 0])
+        size = np.diff(np.append(begins, len(order)))
+        several = size > 1
+        for x in (label, block) if two else (label,):
+            of = x[owner[order]]
+            several &= np.minimum.reduceat(of, begins) != np.maximum.reduceat(of, begins)
+        found.append(order[np.repeat(several, size)].astype(np.int32))
+        ends.append(held + np.repeat(np.cumsum(size[several]), size[several]))
+        held += len(found[-1])
+    del keys
+    member, end = np.concatenate(found), np.concatenate(ends)
+    pos = np.argsort(owner[member], kind="stable")
+    after = end[pos] - pos - 1  # corners of the run that follow, of the same image or later ones
     upto = np.cumsum(after)
-    found = []
-    for begin in range(0, int(upto[-1]) if n else 0, _PAIRS_AT_ONCE):
+    done = np.zeros(0, dtype=np.int64)
+    for begin in range(0, int(upto[-1]) if len(upto) else 0, _PAIRS_AT_ONCE):
         k = np.arange(begin, min(begin + _PAIRS_AT_ONCE, int(upto[-1])))
-        i = np.searchsorted(upto, k, side="right")
-        j = i + 1 + k - (upto[i] - after[i])
-        other = component[i] != component[j]
-        i, j = i[other], j[other]
-        near = sum(np.bitwise_count(b[i] ^ b[j]).astype(np.int16) for b in bits) <= MATCH_BITS
-        found.append((i[near], j[near]))
-    return tuple(np.concatenate(f) for f in zip(*found, strict=True)) if found else (np.zeros(0, dtype=int),) * 2
+        e = np.searchsorted(upto, k, side="right")
+        p, q = member[pos[e]], member[pos[e] + 1 + k - (upto[e] - after[e])]
+        last = owner[p[-1]]
+        i, j = owner[p], owner[q]
+        apart = label[i] != label[j]
+        if two:
+            apart &= block[i] != block[j]
+        p, q = p[apart], q[apart]
+        near = np.bitwise_count(corners["bits"][p] ^ corners["bits"][q]).sum(axis=1, dtype=np.int16) <= MATCH_BITS
+        pairs = np.unique(owner[p[near]] * n + owner[q[near]])
+        pairs = pairs[~np.isin(pairs, done)]
+        for i, j in zip((pairs // n).tolist(), (pairs % n).tolist(), strict=True):
+            if label[i] != label[j] and consensus(corners[bound[i] : bound[i + 1]], corners[bound[j] : bound[j + 1]]) >= INLIERS:
+                label[label == max(label[i], label[j])] = min(label[i], label[j])
+        done = np.append(done, pairs)
+        done = done[done // n == last]
+    joined = first[label[first] != first]
+    return label[joined], joined
+
+
+def _links_in_blocks(left: DataFrame, signatures: DataFrame, scratch: Scratch) -> DataFrame:
+    """(u, v) links that join what all links between images of left (bucket, id, component) with a matching corner in a common bucket join.
+
+    Images are dealt over blocks by hash. A task holds two blocks, with the signatures of those
+    images that share a bucket with one of the other block, looks their pairs up and verifies
+    them; pairs don't come out.
+    """
+    all_bytes, n = signatures.agg(F.sum(F.octet_length("signature")), F.count(F.lit(1))).first()
+    blocks = max(1, -(-(all_bytes or 0) // BLOCK_BYTES), min(BLOCKS, -(-n // CHUNK)))
+    at = left.select("bucket", "id", "component", F.pmod(F.xxhash64("id", F.lit(11)), F.lit(blocks)).cast("int").alias("block"))
+    inside = at.groupBy("bucket", "block").agg((F.min("component") != F.max("component")).alias("several"))
+    others = inside.groupBy("bucket").agg(F.collect_list(F.struct("block", "several")).alias("others"))
+    pairs = F.transform(F.filter("others", lambda o: (o["block"] != F.col("block")) | o["several"]), lambda o: F.least("block", o["block"]).cast("long") * (1 << 31) + F.greatest("block", o["block"]))
+    met = at.join(others, "bucket").select("id", "component", "block", F.explode(pairs).alias("pair")).distinct()
+    met = scratch.save(met.groupBy("id", "component", "block").agg(F.collect_list("pair").alias("pairs")), "blocks")
+    dealt = met.join(signatures, "id").select(F.explode("pairs").alias("pair"), "id", "component", "block", "signature")
+    dealt = dealt.repartition("pair").sortWithinPartitions("pair", "id")
+
+    def links(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held).combine_chunks()
+        held.clear()
+        ids, component, block = (t[c].to_numpy() for c in ("id", "component", "block"))
+        signature = t["signature"].chunk(0).cast(pa.large_binary())
+        ends = np.frombuffer(signature.buffers()[1], dtype=np.int64)[signature.offset : signature.offset + len(ids) + 1]
+        corners = np.frombuffer(signature.buffers()[2], dtype=np.uint8)[ends[0] : ends[-1]].view(_CORNER)
+        u, v = block_links(component, block, corners, np.repeat(np.arange(len(ids)), np.diff(ends) // _CORNER.itemsize))
+        return pa.RecordBatch.from_pydict({"u": pa.array(ids[u], pa.int64()), "v": pa.array(ids[v], pa.int64())})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            pair = b.column("pair").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(pair)) + 1).tolist(), len(pair)]
+            for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
+                if end > begin:
+                    if held and held[-1].column("pair")[0].as_py() != pair[begin]:
+                        yield links(held)
+                    held.append(b.slice(begin, end - begin))
+        if held:
+            yield links(held)
+
+    return dealt.mapInArrow(run, "u long, v long")
 
 
 def verify(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
@@ -262,32 +340,30 @@ def verify(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
 
 
 def image_links(rows: DataFrame, signatures: DataFrame, scratch: Scratch, rounds: int = 2) -> DataFrame:
-    """(u, v) links that connect what all links between images with a matching corner in a common bucket connect, from rows (id, bucket, corner).
+    """(u, v) links that connect what all links between images with a matching corner in a common bucket connect, from rows (id, bucket).
 
     First, ids alone: in each round an image is held against one smallest id of a bucket of its
-    own, that which it shares most buckets with, outside its class so far. Copies of one
-    image meet in nearly all their buckets, so that joins them by a pair each. Then, exactly:
-    buckets that still hold several classes get the descriptors of their corners, and every
-    two images of different classes with corners there that match are held against each other.
+    own, that which it shares most buckets with, outside its class so far, unless it has been.
+    Copies of one image meet in nearly all their buckets, so that joins them by a pair each.
+    Then, exactly: every two images of different classes with corners that match in a common
+    bucket are held against each other, in tasks that hold two blocks of images.
     """
     counted = rows.groupBy("bucket").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("bucket")
-    rows = scratch.save(rows.join(counted, "bucket").select("bucket", "id", "corner"), "shared")
+    rows = scratch.save(rows.join(counted, "bucket").select("bucket", "id"), "shared")
     links = scratch.save(rows.select(F.col("id").alias("u"), F.col("id").alias("v")).limit(0), "none")
-    classed = rows.withColumn("component", F.col("id"))
+    tried, classed = links, rows.withColumn("component", F.col("id"))
     for _ in range(rounds):
         lead = classed.groupBy("bucket").agg(F.min(F.struct("id", "component")).alias("lead"))
         met = classed.join(lead, "bucket").where("component <> lead.component").groupBy(F.col("lead.id").alias("u"), F.col("id").alias("v")).agg(F.count(F.lit(1)).alias("n"))
         best = met.groupBy("v").agg(F.max(F.struct("n", (-F.col("u")).alias("m"))).alias("b")).select((-F.col("b.m")).alias("u"), "v")
+        best = scratch.save(best.join(tried, ["u", "v"], "left_anti"), "best")
+        tried = tried.union(best)
         links = scratch.save(links.union(verify(best, signatures)), "verified")
         parts = connected_components(links, scratch).select(F.col("node").alias("id"), "component")
-        before, classed = classed, scratch.save(rows.join(parts, "id", "left").select("bucket", "id", "corner", F.coalesce("component", "id").alias("component")), "classed")
+        before, classed = classed, scratch.save(rows.join(parts, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component")), "classed")
         scratch.drop(before)
     mixed = classed.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("bucket")
-    size = _CORNER.itemsize
-    value = F.expr(f"concat(unhex(lpad(hex(component), 16, '0')), substring(signature, corner * {size} + {size - TESTS // 8 + 1}, {TESTS // 8}))")
-    left = classed.join(mixed, "bucket").join(signatures, "id").select("bucket", "id", value.alias("value"))
-    pairs = scratch.save(bucket_links(left, "value", pa.binary(), CHUNK, corner_pairs).distinct(), "pairs")
-    return links.union(verify(pairs, signatures))
+    return links.union(_links_in_blocks(classed.join(mixed, "bucket"), signatures, scratch))
 
 
 def signature_column(image: Column, docs: DataFrame) -> Column:
@@ -332,7 +408,7 @@ def copies(images: DataFrame, image: Column | None = None) -> DataFrame:
     marked = scratch.save(images.select(F.col("image_id").cast("long").alias("image_id"), made.alias("m")).select("image_id", "m.*"), "signatures")
     groups = marked.where("content is not null").groupBy("content").agg(F.min("image_id").alias("id"), F.any_value("signature").alias("signature"))
     groups = scratch.save(groups, "distinct")
-    rows = groups.where("id is not null").select("id", F.posexplode(key_column("signature")).alias("corner", "key")).select("id", "corner", F.explode("key").alias("bucket"))
+    rows = groups.where("id is not null").select("id", F.explode(key_column("signature")).alias("key")).select("id", F.explode("key").alias("bucket"))
     links = scratch.save(image_links(rows, groups.where("id is not null").select("id", "signature"), scratch), "links")
     parts = connected_components(links, scratch).select(F.col("node").alias("id"), "component")
     named = groups.select("content", "id").join(parts, "id", "left").select("content", F.coalesce("component", "id").alias("class_id"), F.col("component").isNotNull().alias("linked"))

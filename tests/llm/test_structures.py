@@ -270,6 +270,29 @@ def test_five_word_near_duplicates_against_all_pairs(spark, monkeypatch, chunk):
     assert kept == set(want) and 100 < len(kept) < len(texts) - 100
 
 
+@pytest.mark.parametrize(("chunk", "size"), [(2048, 16 << 20), (16, 16 << 20), (2048, 20_000)])
+def test_pairs_of_near_copies_stay_in_their_tasks(spark, monkeypatch, chunk, size):
+    """Eight groups, similar by 0.89 inside and 0.79 across: every two texts are candidates, but tables of pairs stay a few times as long as that of texts."""
+    monkeypatch.setattr(shingles, "CHUNK", chunk)
+    monkeypatch.setattr(simhash, "CHUNK_BYTES", size, raising=False)
+    base = [f"w{i}" for i in range(90)]
+    texts = [[*base[: 5 + 10 * (i % 8)], f"other{i}", *base[6 + 10 * (i % 8) :]] for i in range(120)]
+    sets = [{tuple(t[i : i + 5]) for i in range(86)} for t in texts]
+    assert all((len(a & b) >= 0.8 * len(a | b)) == (i % 8 == j % 8) for i, a in enumerate(sets) for j, b in enumerate(sets))
+    saved, save = [], Scratch.save
+
+    def counting(self, df, name="t"):
+        out = save(self, df, name)
+        saved.extend([out.count()] if set(out.columns) == {"u", "v"} else [])
+        return out
+
+    monkeypatch.setattr(Scratch, "save", counting)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = shingles.similar_components(docs, docs.selectExpr("doc_id", "doc_id component_id"), Scratch(spark, "test"), rounds=1)
+    assert {r["node"]: r["component"] for r in got.collect()} == {i: i % 8 for i in range(120)}
+    assert max(saved) <= 4 * len(texts)
+
+
 def test_keep_one_of_differing_rows(spark):
     rows = [(1, "a b c d e f g h", "x"), (1, "quite another text than the first one is", "y"), (1, "a b c d e f g h", "w"), (2, "a b c d e f g h", "x"), (3, None, "x"), (4, "", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")

@@ -21,8 +21,8 @@ RADIUS = 3
 SHINGLE, SEED = 3, 42
 #: Bits of the five blocks of a fingerprint. At most three differing bits leave two blocks equal.
 BLOCKS = (13, 13, 13, 13, 12)
-#: Fingerprints of one bucket that are compared with those of another chunk in one go.
-CHUNK = 8192
+#: Fingerprints of one bucket that are compared with those of another chunk in one go; bytes of payload in a chunk at most.
+CHUNK, CHUNK_BYTES = 8192, 16 << 20
 _PAIRS_AT_ONCE, _ROWS_AT_ONCE = 1 << 14, 100_000
 _ONE, _FULL = np.uint64(1), np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -132,23 +132,25 @@ def _keys(fp: Column) -> Column:
     return F.array(*[F.lit(t).cast("long") * (1 << 26) + block[i] * (1 << 13) + block[j] for t, (i, j) in enumerate(combinations(range(len(BLOCKS)), 2))])
 
 
-def bucket_links(rows: DataFrame, payload: str, kind: pa.DataType, chunk: int, link: Callable[[np.ndarray, np.ndarray], np.ndarray | tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """(u, v) links found by ``link`` within the buckets of rows (bucket, <payload>); payload long or a list.
+def bucket_links(rows: DataFrame, payload: str, chunk: int, link: Callable[[np.ndarray | pa.ChunkedArray, np.ndarray], np.ndarray], fetch: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(u, v) links found by ``link`` within the buckets of rows (bucket, id); the payload is the id or what ``fetch`` adds.
 
-    Buckets of one row fall away by their count. A bucket of more than ``chunk`` rows is dealt
-    over chunks by hash, and each two chunks meet in a task of their own, so no task holds
-    more than about two chunks of a bucket, however many rows share its key. Each row of a
-    bucket gives one link at most, to the smallest row it is connected with there, unless
-    ``link`` returns pairs of rows instead of labels: then each pair is a link.
+    Buckets of one row fall away by their count. A bucket of more than ``chunk`` rows, or of more
+    than CHUNK_BYTES by the rows' column ``bytes`` if there is a ``fetch``, is dealt over chunks
+    by hash, and each two chunks meet in a task of their own, so no task holds more than about
+    two chunks of a bucket, however many rows share its key. Only then are payloads fetched.
+    Each row of a bucket gives one link at most, to the smallest row it is connected with there.
     """
-    n = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    n = n.select("bucket", F.ceil(F.col("n") / chunk).cast("int").alias("chunks"))
-    met = rows.join(n, "bucket")
+    size = F.lit(0) if fetch is None else F.sum("bytes") / CHUNK_BYTES
+    n = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), size.alias("by_size")).where("n > 1")
+    n = n.select("bucket", F.ceil(F.greatest(F.col("n") / chunk, "by_size")).cast("int").alias("chunks"))
     own = F.pmod(F.xxhash64("id", F.lit(7)), F.col("chunks")).cast("int")
-    met = met.select("bucket", "id", payload, "chunks", own.alias("own")) if payload != "id" else met.select("bucket", "id", "chunks", own.alias("own"))
+    met = rows.join(n, "bucket").withColumn("own", own)
     others = F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: (F.col("chunks") == 1) | (j != F.col("own")))
     ends = F.transform(others, lambda j: F.least("own", j).cast("long") * (1 << 31) + F.greatest("own", j))
-    dealt = met.withColumn("part", F.explode(ends)).drop("own", "chunks")
+    dealt = met.withColumn("part", F.explode(ends)).drop("own", "chunks", "bytes")
+    if fetch is not None:
+        dealt = fetch(dealt)
     dealt = dealt.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,31 +161,28 @@ def bucket_links(rows: DataFrame, payload: str, kind: pa.DataType, chunk: int, l
             ids = t["id"].to_numpy()
             value = ids if payload == "id" else t[payload]
             label = link(value, starts)
-            if isinstance(label, tuple):
-                first, joined = label
-            else:
-                joined = np.flatnonzero(label != np.arange(len(ids)))
-                first = label[joined]
-            return pa.RecordBatch.from_pydict({"u": pa.array(ids[first], pa.int64()), "v": pa.array(ids[joined], pa.int64())})
+            joined = np.flatnonzero(label != np.arange(len(ids)))
+            return pa.RecordBatch.from_pydict({"u": pa.array(ids[label[joined]], pa.int64()), "v": pa.array(ids[joined], pa.int64())})
 
         def begins(t: pa.Table) -> np.ndarray:
             b, p = t["bucket"].to_numpy(), t["part"].to_numpy()
             return np.flatnonzero(np.r_[True, (b[1:] != b[:-1]) | (p[1:] != p[:-1])])
 
         held: list[pa.RecordBatch] = []
-        rows_held = 0
+        rows_held = bytes_held = 0
         for b in batches:
             if not b.num_rows:
                 continue
             held.append(b)
             rows_held += b.num_rows
-            if rows_held >= _ROWS_AT_ONCE:
+            bytes_held += b.nbytes
+            if rows_held >= _ROWS_AT_ONCE or bytes_held >= 2 * CHUNK_BYTES:
                 t = columns(held)
                 s = begins(t)
                 if len(s) > 1:
                     yield links(t.slice(0, int(s[-1])), s[:-1])
                     t = t.slice(int(s[-1])).combine_chunks()
-                held, rows_held = t.to_batches(), t.num_rows
+                held, rows_held, bytes_held = t.to_batches(), t.num_rows, t.nbytes
         if held:
             t = columns(held)
             yield links(t, begins(t))
@@ -194,7 +193,7 @@ def bucket_links(rows: DataFrame, payload: str, kind: pa.DataType, chunk: int, l
 def near_links(fps: DataFrame) -> DataFrame:
     """(u, v): for a table of distinct fingerprints (id), links within RADIUS that connect what all such links connect."""
     rows = fps.select("id", F.explode(_keys(F.col("id"))).alias("bucket"))
-    return bucket_links(rows, "id", pa.int64(), CHUNK, lambda ids, starts: link_runs(np.ascontiguousarray(ids).view(np.uint64), starts))
+    return bucket_links(rows, "id", CHUNK, lambda ids, starts: link_runs(np.ascontiguousarray(ids).view(np.uint64), starts))
 
 
 def near_components(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:

@@ -295,8 +295,8 @@ def _links_in_blocks(left: DataFrame, signatures: DataFrame, scratch: Scratch) -
     inside = at.groupBy("bucket", "block").agg((F.min("component") != F.max("component")).alias("several"))
     others = inside.groupBy("bucket").agg(F.collect_list(F.struct("block", "several")).alias("others"))
     pairs = F.transform(F.filter("others", lambda o: (o["block"] != F.col("block")) | o["several"]), lambda o: F.least("block", o["block"]).cast("long") * (1 << 31) + F.greatest("block", o["block"]))
-    met = at.join(others, "bucket").select("id", "component", "block", F.explode(pairs).alias("pair")).distinct()
-    met = scratch.save(met.groupBy("id", "component", "block").agg(F.collect_list("pair").alias("pairs")), "blocks")
+    met = at.join(others, "bucket").select("id", "component", "block", F.array_sort(pairs).alias("pairs"))
+    met = scratch.save(met.groupBy("id", "component", "block").agg(F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs")), "blocks")
     dealt = met.join(signatures, "id").select(F.explode("pairs").alias("pair"), "id", "component", "block", "signature")
     dealt = dealt.repartition("pair").sortWithinPartitions("pair", "id")
 
@@ -352,9 +352,11 @@ def image_links(rows: DataFrame, signatures: DataFrame, scratch: Scratch, rounds
     rows = scratch.save(rows.join(counted, "bucket").select("bucket", "id"), "shared")
     links = scratch.save(rows.select(F.col("id").alias("u"), F.col("id").alias("v")).limit(0), "none")
     tried, classed = links, rows.withColumn("component", F.col("id"))
-    for _ in range(rounds):
+    for k in range(rounds):
         lead = classed.groupBy("bucket").agg(F.min(F.struct("id", "component")).alias("lead"))
-        met = classed.join(lead, "bucket").where("component <> lead.component").groupBy(F.col("lead.id").alias("u"), F.col("id").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+        # the pairs of images that nothing has joined are those of the round before
+        open_rows = classed.join(parts.select("id"), "id", "left_semi") if k else classed
+        met = open_rows.join(lead, "bucket").where("component <> lead.component").groupBy(F.col("lead.id").alias("u"), F.col("id").alias("v")).agg(F.count(F.lit(1)).alias("n"))
         best = met.groupBy("v").agg(F.max(F.struct("n", (-F.col("u")).alias("m"))).alias("b")).select((-F.col("b.m")).alias("u"), "v")
         best = scratch.save(best.join(tried, ["u", "v"], "left_anti"), "best")
         tried = tried.union(best)
@@ -408,7 +410,7 @@ def copies(images: DataFrame, image: Column | None = None) -> DataFrame:
     marked = scratch.save(images.select(F.col("image_id").cast("long").alias("image_id"), made.alias("m")).select("image_id", "m.*"), "signatures")
     groups = marked.where("content is not null").groupBy("content").agg(F.min("image_id").alias("id"), F.any_value("signature").alias("signature"))
     groups = scratch.save(groups, "distinct")
-    rows = groups.where("id is not null").select("id", F.explode(key_column("signature")).alias("key")).select("id", F.explode("key").alias("bucket"))
+    rows = groups.where("id is not null").select("id", F.explode(F.array_distinct(F.flatten(key_column("signature")))).alias("bucket"))
     links = scratch.save(image_links(rows, groups.where("id is not null").select("id", "signature"), scratch), "links")
     parts = connected_components(links, scratch).select(F.col("node").alias("id"), "component")
     named = groups.select("content", "id").join(parts, "id", "left").select("content", F.coalesce("component", "id").alias("class_id"), F.col("component").isNotNull().alias("linked"))

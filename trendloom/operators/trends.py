@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from trendloom.functions.vectors import two_sided
+from trendloom.plans.scratch import Scratch
 
 
 def series(rows: DataFrame, key: list[str], time: str, value: str, out: str = "xs") -> DataFrame:
@@ -134,18 +135,37 @@ def theil_sen(ys: Column, ts: Column | None = None) -> Column:
     return F.when((F.size(ys) < 2) | (n <= 0), 0.0).otherwise(mid)
 
 
+#: Bins of p-values for each halving of p, by which a family is dealt out.
+P_BINS = 256
+
+
 def bh_fdr(df: DataFrame, p: str, out: str, by: list[str] = ()) -> DataFrame:
     """Q7: Benjamini-Hochberg q-values of the finite p within each group of ``by``; other rows get null.
 
-    Ranks are over a whole family of tests, which is a row for each topic or concept.
+    Equal p have equal q, so distinct p are counted, binned by logarithm and ranked within their
+    bin, after all that lower bins hold; q is the least p m / rank of the bin from there on and
+    of higher bins. So no task has to hold a whole family, unless its p fall into few bins. df
+    and the counts are written, as they are read more than once.
     """
+    scratch = Scratch(df.sparkSession, "bh")
+    held = scratch.save(df, "tests")
+    family = F.struct(F.lit(0).alias("all"), *by)  # equal to itself where a field is null
     ok = F.col(p).isNotNull() & ~F.isnan(p)
-    ranked = Window.partitionBy(*by, ok).orderBy(p)
-    whole = Window.partitionBy(*by, ok)
-    up = Window.partitionBy(*by, ok).orderBy("_r").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    df = df.withColumns({"_r": F.row_number().over(ranked), "_m": F.count(F.lit(1)).over(whole)})
-    q = F.least(F.greatest(F.min(F.col(p) * F.col("_m") / F.col("_r")).over(up), F.lit(0.0)), F.lit(1.0))
-    return df.withColumn(out, F.when(ok, q)).drop("_r", "_m")
+    bin_ = F.coalesce(F.floor(F.log2(F.col("_p").cast("double")) * P_BINS), F.lit(-(1 << 40)))  # the lowest if p is 0 or less
+    cells = held.where(ok).groupBy(family.alias("_k"), F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    cells = scratch.save(cells.withColumn("_b", bin_), "counts")
+    bins = cells.groupBy("_k", "_b").agg(F.sum("_n").alias("_all"))
+    before = F.sum("_all").over(Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_all")
+    bins = bins.select("_k", "_b", before.alias("_before"), F.sum("_all").over(Window.partitionBy("_k")).alias("_m"))
+    inside = Window.partitionBy("_k", "_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = cells.join(bins, ["_k", "_b"]).withColumn("_r", F.col("_before") + F.sum("_n").over(inside.orderBy("_p")))
+    ranked = scratch.save(ranked.select("_k", "_b", "_p", (F.col("_p") * F.col("_m") / F.col("_r")).alias("_v")), "ranked")
+    least = ranked.groupBy("_k", "_b").agg(F.min("_v").alias("_low"))
+    later = F.min("_low").over(Window.partitionBy("_k").orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1))
+    least = least.select("_k", "_b", later.alias("_later"))
+    q = F.least(F.greatest(F.least(F.min("_v").over(inside.orderBy(F.desc("_p"))), F.col("_later")), F.lit(0.0)), F.lit(1.0))
+    found = ranked.join(least, ["_k", "_b"]).select("_k", "_p", q.alias("_q"))
+    return held.join(found, (family == F.col("_k")) & (F.col(p) == F.col("_p")), "left").select(*[F.col(f"`{c}`") for c in df.columns], F.col("_q").alias(out))
 
 
 def bursts(xs: Column, base: float = 2.0, gamma: float = 1.0) -> Column:

@@ -250,3 +250,61 @@ def test_pushdown_reaches_the_scan(spark, sf):
     assert "GreaterThan(o_totalprice,200000.0)" in plan and "o_orderpriority" not in plan
     plan = QUERIES["a1_topic_sizes"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "l_extendedprice" not in plan and "BroadcastHashJoin" in plan
+
+
+def _unit(x):
+    return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-12)
+
+
+@pytest.mark.parametrize("columns", [7, 50, 8192])
+def test_nearest_by_blocks_is_a_stable_sort(monkeypatch, columns):
+    monkeypatch.setattr(C, "BLOCK_COLUMNS", columns)
+    rng = np.random.default_rng(0)
+    for n, k in [(1, 5), (4, 10), (60, 3), (300, 10)]:
+        m, x = _unit(rng.normal(size=(n, 8))), _unit(rng.normal(size=(600, 8)))
+        m[rng.integers(0, n, n // 2)], x[::7], x[5] = m[0], m[0], 0
+        if n == 60:
+            m[3], x[9] = np.nan, np.nan
+        s = np.round(x @ m.T, 9)
+        number = np.argsort(-s, axis=1, kind="stable")[:, :k]
+        got = C._nearest(x, m, m.astype(np.float32), k)
+        assert np.array_equal(got[0], number) and np.allclose(got[1], np.take_along_axis(s, number, axis=1), equal_nan=True)
+        some = C._first_of_equal(m, k)
+        assert np.array_equal(some[C._nearest(x, m[some], m[some].astype(np.float32), k)[0]], number) or n == 60
+
+
+def _most_held(run):
+    """MB that one large batch takes in Python, in this process, through a matrix of 60,000 rows."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    vectors = rng.normal(size=(60_000, 16))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10_000)), pa.array(list(vectors[:10_000]), pa.list_(pa.float64()))], ["a", "_v"])
+    x, m = C._unit_rows(batch.column(1)), _unit(vectors)
+    tracemalloc.start()
+    run(x, m, m.astype(np.float32))
+    most = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    return most
+
+
+def test_memory_of_products_is_bounded():
+    """10,000 x 60,000 products were 4800 MB at once."""
+    assert _most_held(lambda x, m, m32: C._nearest(x, m, m32, 5)) < 300
+    assert _most_held(lambda x, m, m32: [None for _ in C._near(x, m, m32, 0.9, lambda i, j: i < j)]) < 300
+
+
+@pytest.mark.parametrize("cells", [20_000_000, 400])
+def test_near_forest_joins_what_near_pairs_join(spark, monkeypatch, cells):
+    monkeypatch.setattr(C, "MATRIX_CELLS", cells)
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(300, 6))
+    v[100:200] = v[0]
+    labels = spark.createDataFrame([(f"n{i:03d}", x.tolist()) for i, x in enumerate(v)] + [("none", None)], "id string, embedding array<double>")
+    pairs, forest = C.near_pairs(labels, 0.8), C.near_forest(labels, 0.8)
+    edges = {(r["u"], r["v"]) for r in forest.collect()}
+    assert edges <= {(r["a"], r["b"]) for r in pairs.collect()} and len(edges) < pairs.count() / 2
+    parts = [sorted(map(tuple, connected_components(e).collect())) for e in (forest, pairs.selectExpr("a u", "b v"))]
+    assert parts[0] == parts[1] and len(parts[0]) > 150

@@ -296,12 +296,12 @@ def refine_taxonomy(topics: DataFrame, min_freq: int = 2, sim: float = 0.85, mos
 
     A group's label is that with the highest frequency, ties to the smaller; frequencies add up.
     """
-    from trendloom.operators.centroids import near_pairs
+    from trendloom.operators.centroids import near_forest
     from trendloom.operators.components import connected_components
 
     often = topics.where(F.col("gen_freq") >= min_freq)
     kept = topics if often.isEmpty() else often
-    parts = connected_components(near_pairs(kept, sim).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    parts = connected_components(near_forest(kept, sim))
     named = kept.join(parts.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     out = named.groupBy("component").agg(F.min(F.struct((-F.col("gen_freq")).alias("m"), "label")).alias("s"), F.sum("gen_freq").alias("gen_freq"), F.count(F.lit(1)).alias("members"))
     return out.select("component", F.col("s.label").alias("label"), "gen_freq", "members").orderBy(F.desc("gen_freq"), "label").limit(most)

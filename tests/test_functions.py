@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,3 +97,68 @@ def test_ami():
 
 def test_render(spark):
     assert "| x |" in render("T", ("A", spark.createDataFrame([(1,)], "x int")))
+
+
+def test_weak_labels_of_texts_by_hand_and_read_once(spark):
+    """Words and verdicts as the rules say, and each text is split once, not for each use."""
+    import re
+
+    from trendloom.functions.vocabulary import GENERIC_LABEL_WORDS, WEAK_LABELS
+    from trendloom.plans.catalog import QUERIES
+
+    def plain(t):
+        low = re.sub(r"[^a-z0-9\s/_\-]+", " ", (t or "").lower(), flags=re.ASCII).strip(" ")
+        ts = [w for w in re.split(r"[\s/_\-]+", low, flags=re.ASCII) if w]
+        generic = all(w in GENERIC_LABEL_WORDS for w in ts)
+        return len(ts), not ts or low in WEAK_LABELS or (len(ts) == 1 and (generic or len(ts[0]) < 4)) or (len(ts) <= 2 and generic)
+
+    words = ["misc", "Topic", "data", "method", "ab", "Graphs", "é", "\x85", "\u2003", "/", "_", "-", "!", "\n", "x1"]
+    rng = np.random.default_rng(0)
+    texts = [None, "", " ", "misc/", " Misc! ", "other", *("".join(rng.choice([*words, " "], size=rng.integers(1, 6))) for _ in range(400))]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select("t", F.size(text.label_tokens("t")), text.is_weak_label("t")).collect()
+    assert [tuple(r)[1:] for r in got] == [plain(r[0]) for r in got]
+    plan = QUERIES["t12_weak_label"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 1 and "split(" not in plan
+
+
+def test_files_of_several_splits_are_dealt_out(spark, tmp_path):
+    """A file's splits may hold a row group in one of them and nothing in the others."""
+    from trendloom.plans.views import spread
+
+    spark.range(200_000).coalesce(1).write.parquet(str(tmp_path / "t.parquet"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        df = spark.read.parquet(str(tmp_path / "t.parquet"))
+        n = df.rdd.getNumPartitions()
+        assert n > 2 * spark.sparkContext.defaultParallelism and spread(df).rdd.getNumPartitions() == 4 * n
+        sizes = spread(df).rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+        assert sum(sizes) == 200_000 and max(sizes) < 20_000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_hashed_projection_is_the_plain_sum_and_faster():
+    import hashlib
+    import re
+    import time
+
+    from trendloom.providers.embedders import HashedProjection
+
+    def plain(t, dim):
+        row, counts = np.zeros(dim, dtype=np.float32), {}
+        ws = re.findall(r"\w+", t.lower())
+        for w in [*ws, *(f"{a} {b}" for a, b in zip(ws, ws[1:], strict=False))]:
+            counts[w] = counts.get(w, 0) + 1
+        for w, n in counts.items():
+            h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
+            row[h % dim] += (1 if h >> 63 else -1) * np.log1p(n)
+        return row / max(float(np.linalg.norm(row)), 1e-12)
+
+    rng = np.random.default_rng(0)
+    texts = ["", "a", "a a a", *(" ".join(f"w{i}" for i in rng.zipf(1.3, 400) % 5000) for _ in range(300))]
+    began = time.perf_counter()
+    want = np.array([plain(t, 64) for t in texts])
+    took, began = time.perf_counter() - began, time.perf_counter()
+    got = HashedProjection(64).encode(texts)
+    assert np.array_equal(got, want) and time.perf_counter() - began < 0.8 * took

@@ -26,7 +26,7 @@ from trendloom.functions.vocabulary import GENERIC_LABEL_WORDS, STOP_WORDS
 from trendloom.operators.concepts import mark_ambiguous
 from trendloom.operators.keywords import coherence, ctfidf, diversity, finalize, refine, token_documents
 from trendloom.plans.registry import query, rounded
-from trendloom.plans.views import corpus, table
+from trendloom.plans.views import corpus, spread, table
 
 V4_SQL = "v4 AS (SELECT doc_id, text, lang, nullif(regexp_extract(source, '([0-9]+)$', 1), '')::INTEGER AS topic FROM documents)"
 STOP_SQL = "[" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "]"
@@ -119,7 +119,8 @@ _GENERIC_SQL = "[" + ", ".join(f"'{w}'" for w in GENERIC_LABEL_WORDS) + "]"
         OR (len(ts) <= 2 AND len(list_filter(ts, lambda x: NOT list_contains({_GENERIC_SQL}, x))) = 0) AS weak FROM t
 """)
 def t12(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.size(label_tokens("text")).alias("n"), is_weak_label("text").alias("weak"))
+    docs = spread(table(spark, d, "documents")).select("doc_id", "text", label_tokens("text").alias("ts"))
+    return docs.select("doc_id", F.size("ts").alias("n"), is_weak_label("text", tokens="ts").alias("weak"))
 
 
 @query("t15_clean_label", "SELECT p_partkey, p_name AS label FROM part")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -29,12 +30,10 @@ class HashedProjection:
         out = np.zeros((len(texts), self.dim), dtype=np.float32)
         for row, text in zip(out, texts, strict=True):
             ws = re.findall(r"\w+", text.lower())
-            counts: dict[str, int] = {}
-            for t in [*ws, *(f"{a} {b}" for a, b in zip(ws, ws[1:], strict=False))]:
-                counts[t] = counts.get(t, 0) + 1
-            for t, n in counts.items():
-                h = int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "little")
-                row[h % self.dim] += (1 if h >> 63 else -1) * np.log1p(n)
+            counts = Counter([*ws, *map(" ".join, zip(ws, ws[1:], strict=False))])  # in order of appearance
+            h = np.frombuffer(b"".join([hashlib.blake2b(t.encode(), digest_size=8).digest() for t in counts]), "<u8")
+            n = np.log1p(np.fromiter(counts.values(), dtype=float, count=len(counts)))
+            np.add.at(row, (h % np.uint64(self.dim)).astype(np.intp), np.where(h >> np.uint64(63), n, -n))  # one after the other
             row /= max(float(np.linalg.norm(row)), 1e-12)
         return out
 
